@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, packing, quality_rules
+from . import bpe, language_id, packing, quality_classifier, quality_rules
 from ._run import table
 
 
@@ -13,6 +13,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learned = language_id.held_in("doc_id", 4, 2)
+    model = quality_classifier.learn(docs, labels.where(learned))
+    found = quality_classifier.score(docs, model)
+    return found.select("doc_id", (~learned).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = language_id.held_in("doc_id", 3, 1)
@@ -36,6 +44,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_quality_classifier": op3_quality_classifier,
     "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
