@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, minhash, packing, quality_classifier, quality_rules
+from . import bpe, language_id, line_dedup, minhash, packing, quality_classifier, quality_rules
 from ._run import table
 
 
@@ -46,6 +46,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(ids).select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_dedup.dedup(docs.select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_packing": op2_packing,
@@ -53,6 +58,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}
