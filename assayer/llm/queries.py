@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, minhash, packing, quality_classifier, quality_rules
+from . import bpe, language_id, line_dedup, minhash, packing, quality_classifier, quality_rules, warc
 from ._run import table
 
 
@@ -25,6 +25,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~learned).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = language_id.held_in("doc_id", 3, 1)
@@ -55,10 +60,29 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_packing": op2_packing,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_warc": op4_warc,
     "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages
+        ), b AS (
+            SELECT page_id, strlen(body) AS payload_bytes, hex,
+                array_to_string([format('{:04b}', strpos('0123456789abcdef', hex[i]) - 1) FOR i IN range(1, 41)], '') AS bits,
+                max(page_id) OVER (PARTITION BY body) AS largest
+            FROM p
+        )
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+            array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1
+                + 16 * CAST(bits[5 * i + 1] AS INTEGER) + 8 * CAST(bits[5 * i + 2] AS INTEGER) + 4 * CAST(bits[5 * i + 3] AS INTEGER)
+                + 2 * CAST(bits[5 * i + 4] AS INTEGER) + CAST(bits[5 * i + 5] AS INTEGER) AS BIGINT), 1) FOR i IN range(0, 32)], '') AS payload_digest,
+            CASE WHEN page_id IS NOT DISTINCT FROM largest THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id IS NOT DISTINCT FROM largest THEN NULL ELSE largest END AS refers_to
+        FROM b
+    """,
+}
