@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from ._run import ship
 
 UNKNOWN = "und"
+#: Mean difference in rank beyond which a text is of no known language.
+MAX_DISTANCE = 0.9
 _BITS = 21  # of a code point
 
 
@@ -163,3 +165,27 @@ def predict(df: DataFrame, profiles: Profiles, *, text: str = "text", orders: in
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.float64(), pa.float64()))], [*names, "lang_pred", "score", "distance"])
 
     return source.mapInArrow(predicted, schema)
+
+
+def keep(df: DataFrame, profiles: Profiles, *, text: str = "text", lang: str = "lang", max_distance: float = MAX_DISTANCE, orders: int = 3) -> DataFrame:
+    """The rows of ``df``, with its columns, whose language is known.
+
+    Rejected are texts without a letter and texts farther than ``max_distance`` from
+    every profile.  Rows without a language get the predicted one.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(profiles)
+
+    def kept(batches):
+        p = sent.value
+        for batch in batches:
+            found, names = [], []
+            for t, la in zip(batch.column(text).to_pylist(), batch.column(lang).to_pylist()):
+                d = p.distances(t, orders)
+                found.append(d is not None and float(d.min()) <= max_distance)
+                names.append(la if la is not None or d is None else p.languages[int(d.argmin())])
+            at = batch.schema.get_field_index(lang)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(names, batch.schema.field(at).type)).filter(pa.array(found, pa.bool_()))
+
+    return df.mapInArrow(kept, df.schema)

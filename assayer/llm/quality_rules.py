@@ -213,6 +213,32 @@ def verdict(text: str, words: list[bytes], reference: Reference | None, limits:
 OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
 
 
+def _decide(t: str, reference: Reference | None, limits: Limits) -> tuple:
+    """The values of OUT for one text."""
+    words = words_of(t)
+    base = base_features(t, words)
+    failed = len(words) < limits.min_words or base[3] > limits.max_repeat_share * len(words)
+    by_char, by_word, good = verdict(t, words, reference, limits)
+    return len(words), *base, failed, good and not failed, by_char, by_word
+
+
+def keep(df: DataFrame, references: dict[str | None, Reference] | None = None, limits: Limits = Limits(), *, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``df``, with its columns, that ``judge`` keeps."""
+    spark = df.sparkSession
+    ship(spark)
+    if references is None:
+        references = build_references(df, limits, text, lang)
+    sent = spark.sparkContext.broadcast(references)
+
+    def kept(batches):
+        refs = sent.value
+        for batch in batches:
+            rows = zip(batch.column(text).to_pylist(), batch.column(lang).to_pylist())
+            yield batch.filter(pa.array([_decide(t or "", refs.get(None if la is None else str(la), refs.get(None)), limits)[6] for t, la in rows], pa.bool_()))
+
+    return df.mapInArrow(kept, df.schema)
+
+
 def judge(df: DataFrame, references: dict[str | None, Reference] | None = None, limits: Limits = Limits(), *, id_column: str = "doc_id", text: str = "text", lang: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: the id, the columns in ``carry``, and those of OUT."""
     spark = df.sparkSession
@@ -230,12 +256,7 @@ def judge(df: DataFrame, references: dict[str | None, Reference] | None = None,
             texts, langs = batch.column("__text").to_pylist(), batch.column("__lang").to_pylist()
             rows = []
             for t, la in zip(texts, langs):
-                t = t or ""
-                words = words_of(t)
-                base = base_features(t, words)
-                failed = len(words) < limits.min_words or base[3] > limits.max_repeat_share * len(words)
-                by_char, by_word, good = verdict(t, words, refs.get(la, refs.get(None)), limits)
-                rows.append((len(words), *base, failed, good and not failed, by_char, by_word))
+                rows.append(_decide(t or "", refs.get(la, refs.get(None)), limits))
             columns = list(zip(*rows)) or [[]] * 9
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
             names = [f.name for f in kept_columns]

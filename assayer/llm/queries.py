@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, minhash, packing, quality_classifier, quality_rules, warc
+from . import bpe, chat_format, language_id, line_dedup, minhash, packing, quality_classifier, quality_rules, top_k, warc
 from ._run import table
 
 
@@ -45,6 +45,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat_format.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ";")
+    return found.withColumn("spans", spans)
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(table(spark, sf_dir, "documents"))
     text = F.concat_ws(" ", F.col("token_ids").cast("array<string>"))
@@ -63,6 +74,8 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op8_top_k": op8_top_k,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_line_dedup": op10_line_dedup,
 }
@@ -85,4 +98,40 @@ ORACLES: dict[str, str] = {
             CASE WHEN page_id IS NOT DISTINCT FROM largest THEN NULL ELSE largest END AS refers_to
         FROM b
     """,
+    "op7_chat_formatting": """
+        WITH rows AS (
+            SELECT conv_id, turn AS t, replace(coalesce(text, ''), '<|', '< |') AS x,
+                coalesce(CAST(floor(turn / 64) AS BIGINT), -1) AS segment,
+                CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE regexp_replace(trim(role), '\\s+', '_', 'g') END AS r
+            FROM conversations
+        ), speakers AS (
+            SELECT DISTINCT conv_id AS c, r AS perspective FROM rows WHERE r <> 'system'
+        ), parts AS (
+            SELECT conv_id, perspective, segment, t, r, x, r = perspective AS mine,
+                '<|im_start|>' || CASE WHEN r = perspective THEN 'assistant' WHEN r = 'system' THEN 'system' ELSE 'user name=' || r END || chr(10) AS head,
+                x || '<|im_end|>' AS content
+            FROM rows JOIN speakers ON conv_id IS NOT DISTINCT FROM c
+        ), placed AS (
+            SELECT *, length(head) + coalesce(sum(length(head) + length(content) + 1) OVER (
+                PARTITION BY conv_id, perspective, segment ORDER BY t NULLS FIRST, r, x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+            FROM parts
+        )
+        SELECT conv_id, perspective, segment, count(*) AS n_messages,
+            string_agg(head || content || chr(10), '' ORDER BY t NULLS FIRST, r, x) AS text,
+            coalesce(string_agg(CAST(start AS VARCHAR) || '-' || CAST(start + length(content) AS VARCHAR), ';' ORDER BY t NULLS FIRST, r, x) FILTER (WHERE mine), '') AS spans,
+            CAST(coalesce(sum(length(content)) FILTER (WHERE mine), 0) AS BIGINT) AS n_target_chars
+        FROM placed GROUP BY conv_id, perspective, segment
+    """,
+    "op8_top_k": """
+        WITH v AS (
+            SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
 }
