@@ -14,8 +14,9 @@
    part shared; collisions over the whole signature are counted, and links
    confirmed on the full sets.  Lists that one component covers need no more.  In
    the others, members outside of the list's main component meet the members of
-   other components under the same bounds.  So no list gives all its pairs, and
-   no link between components is lost.
+   other components, once for each pair, where their sizes, shared parts and what
+   each shares with the leader leave the threshold in reach.  So no list gives all
+   its pairs, and no link between components is lost.
 5. Components of the links give each document its smallest reachable id.
 
 Defined results
@@ -83,19 +84,29 @@ def full_sets(df: DataFrame, wanted: DataFrame, *, id_column: str, text: str, wi
     return source.mapInArrow(made, "id long, k1 long, k2 long, members array<long>")
 
 
-def _may_link(percent: int, a: str, b: str) -> Column:
-    """Whether two sets can reach the threshold, by their sizes and their shared parts."""
+def _may_link(percent: int, a: str, b: str, through: bool = False) -> Column:
+    """Whether two sets can reach the threshold, by their sizes and their shared parts.
+
+    ``through`` adds what is known by a leader both were held against: ``t`` shingles
+    shared with it, ``g - t`` others that aren't the set's alone.  Two sets share at
+    most the lesser of each.
+    """
     most = F.least(F.col(f"{a}.g"), F.col(f"{b}.g"))
+    if through:
+        rest = F.least(F.col(f"{a}.g") - F.col(f"{a}.t"), F.col(f"{b}.g") - F.col(f"{b}.t"))
+        known = F.col(f"{a}.t").isNotNull() & F.col(f"{b}.t").isNotNull()
+        most = F.when(known, F.least(F.col(f"{a}.t"), F.col(f"{b}.t")) + rest).otherwise(most)
     return 100 * most >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n") - most)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, needed: int) -> DataFrame:
-    """Pairs a, b whose signatures collide often enough and whose full sets reach the threshold."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, needed: int) -> DataFrame:
+    """Pairs a, b with ``i``, the size of what their full sets share, and ``linked``: signatures collide often enough and the sets reach the threshold."""
     left = sets.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("members").alias("ma"))
     right = sets.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("members").alias("mb"))
-    joined = pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("sa", "sb")) >= needed)
+    collisions = F.size(F.array_intersect("sa", "sb"))
     both = F.size(F.array_intersect("ma", "mb"))
-    return joined.select("a", "b", both.alias("i"), (F.size("ma") + F.size("mb")).alias("s")).where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
+    counted = pairs.join(left, "a").join(right, "b").select("a", "b", collisions.alias("k"), both.alias("i"), (F.size("ma") + F.size("mb")).alias("s"))
+    return counted.select("a", "b", "i", ((F.col("k") >= needed) & (100 * F.col("i") >= percent * (F.col("s") - F.col("i")))).alias("linked"))
 
 
 def link(df: DataFrame, *, percent: int = 80, id_column: str = "doc_id", text: str = "text", width: int = 5, size: int = SIZE) -> DataFrame:
@@ -116,23 +127,36 @@ def link(df: DataFrame, *, percent: int = 80, id_column: str = "doc_id", text: s
     sets = cut(wanted.join(members, ["id", "k1", "k2"]), "sets")
     alone = sets.select("id", F.explode("members").alias("m")).groupBy("m").agg(F.count("*").alias("f"), F.min("id").alias("id")).where("f = 1").groupBy("id").agg(F.count("*").alias("u"))
     posts = sets.select("id", "n", "prefix").join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("g"), "prefix")
-    posts = cut(posts.where(100 * F.col("g") >= percent * F.col("n")).select("id", "n", "g", F.explode("prefix").alias("v")), "posts")
+    posts = cut(posts.where(100 * F.col("g") >= percent * F.col("n")).select("id", "n", "g", "prefix", F.explode("prefix").alias("v")), "posts")
 
     rank = F.struct((F.col("g") / F.col("n")).alias("r"), (-F.col("id")).alias("i"))
-    leaders = posts.groupBy("v").agg(F.count("*").alias("f"), F.max(F.struct(rank.alias("rank"), "id", "n", "g")).alias("lead")).where("f > 1").select("v", "lead.id", "lead.n", "lead.g")
+    leaders = posts.groupBy("v").agg(F.count("*").alias("f"), F.max(F.struct(rank.alias("rank"), "id", "n", "g")).alias("lead")).where("f > 1")
+    leaders = cut(leaders.select("v", "f", "lead.id", "lead.n", "lead.g"), "leaders")
     star = posts.alias("x").join(leaders.alias("l"), (F.col("x.v") == F.col("l.v")) & (F.col("x.id") != F.col("l.id")) & _may_link(percent, "x", "l"))
     star = star.select(F.col("l.id").alias("a"), F.col("x.id").alias("b")).distinct()
-    links = cut(_confirmed(star, sets, percent, needed), "links")
+    star = cut(_compared(star, sets, percent, needed), "star")
+    links = star.where("linked").select("a", "b")
     roots = components.connected(links)
 
-    placed = cut(posts.join(roots, "id", "left").select("id", "n", "g", "v", F.coalesce("root", "id").alias("c")), "placed")
-    mixed = placed.groupBy("v").agg(F.count("*").alias("f"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("f > 2 AND c0 <> c1").select("v")
+    long = leaders.where("f > 2").select("v", F.col("id").alias("lead"))
+    placed = posts.join(long, "v").join(roots, "id", "left").join(star.select(F.col("a").alias("lead"), F.col("b").alias("id"), F.col("i").alias("t")), ["lead", "id"], "left")
+    shared_with_lead = F.when(F.col("id") == F.col("lead"), F.col("n")).otherwise(F.col("t"))
+    placed = cut(placed.select("id", "n", "g", "prefix", "v", F.coalesce("root", "id").alias("c"), shared_with_lead.alias("t")), "placed")
+    mixed = placed.groupBy("v").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("v")
     held = placed.join(mixed, "v")
     main = held.groupBy("v", "c").agg(F.count("*").alias("f")).groupBy("v").agg(F.max(F.struct("f", "c"))["c"].alias("main"))
-    odd = held.join(main, "v").where("c <> main").select("v", "id", "n", "g", "c")
-    tried = held.join(main, "v").alias("x").join(odd.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.c") != F.col("y.c")) & ((F.col("x.c") == F.col("x.main")) | (F.col("x.id") < F.col("y.id"))) & _may_link(percent, "x", "y"))
-    tried = tried.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    more = cut(_confirmed(tried, sets, percent, needed), "more_links")
+    held = held.join(main, "v")
+    odd = held.where("c <> main")
+    tried = held.alias("x").join(
+        odd.alias("y"),
+        (F.col("x.v") == F.col("y.v"))
+        & (F.col("x.c") != F.col("y.c"))
+        & ((F.col("x.c") == F.col("x.main")) | (F.col("x.id") < F.col("y.id")))
+        & _may_link(percent, "x", "y", through=True)
+        & (F.get(F.array_intersect("x.prefix", "y.prefix"), F.lit(0)) == F.col("x.v")),  # once for each pair: at the first value in common
+    )
+    tried = tried.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    more = cut(_compared(tried, sets, percent, needed).where("linked").select("a", "b"), "more_links")
     if not more.isEmpty():
         roots = components.connected(links.union(more))
 
