@@ -1,0 +1 @@
+"""Data quality on Spark: profile, validate, watch, recommend and repair wide tables."""
