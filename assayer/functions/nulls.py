@@ -29,9 +29,9 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c.cast("string"), f"(?U)^{_SPACE}+|{_SPACE}+$", "")
 
 
-def is_null_like(c: Column, name: str | Column = "") -> Column:
+def is_null_like(c: Column, name: str | Column = "", *, stripped: bool = False) -> Column:
     """Whether a value counts as missing; ``name`` is the column's name, as text or as a column of long rows."""
-    low = F.lower(strip(c))
+    low = F.lower(c if stripped else strip(c))
     listed = c.isNull() | low.isin(*NULL_TOKENS)
     if isinstance(name, Column):
         return listed & ~((name == EIN) & (low == "<unavail>") & c.isNotNull())

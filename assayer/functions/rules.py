@@ -99,7 +99,7 @@ RULE_TYPES: dict[str, Callable[[Column, Mapping, str, Column], Column]] = {
 }
 
 
-def matches(c: Column, rule: Rule | None, name: str = "", as_of: dt.date | str | Column | None = None) -> Column:
+def matches(c: Column, rule: Rule | None, name: str = "", as_of: dt.date | str | Column | None = None, *, stripped: bool = False) -> Column:
     """Whether a value that isn't missing satisfies the rule; without a rule every such value does, an unknown type none."""
     if rule is None:
         return F.lit(True)
@@ -107,7 +107,7 @@ def matches(c: Column, rule: Rule | None, name: str = "", as_of: dt.date | str |
     if made is None:
         return F.lit(False)
     day = as_of if isinstance(as_of, Column) else today(as_of)
-    return F.coalesce(made(strip(c), rule.rule_config, name or rule.column_name, day), F.lit(False))
+    return F.coalesce(made(c if stripped else strip(c), rule.rule_config, name or rule.column_name, day), F.lit(False))
 
 
 def conforms(c: Column, rule: Rule | None, name: str = "", as_of: dt.date | str | None = None) -> Column:
@@ -117,12 +117,12 @@ def conforms(c: Column, rule: Rule | None, name: str = "", as_of: dt.date | str
 
 
 def matches_long(name: Column, value: Column, rules: Mapping[str, Rule], as_of: dt.date | str | None = None) -> Column:
-    """The same over rows of (column's name, value): columns that share a rule's settings share its expression."""
+    """The same over rows of (column's name, stripped value): columns that share a rule's settings share its expression."""
     groups: dict[tuple, list[str]] = {}
     for column, rule in rules.items():
         key = (rule.rule_type, repr(sorted(rule.rule_config.items(), key=str)), column == ENTITY_TYPE)
         groups.setdefault(key, []).append(column)
-    cases = [(name.isin(*columns), matches(value, rules[columns[0]], columns[0], as_of)) for columns in groups.values()]
+    cases = [(name.isin(*columns), matches(value, rules[columns[0]], columns[0], as_of, stripped=True)) for columns in groups.values()]
     if not cases:
         return F.lit(True)
     return reduce(lambda a, x: a.when(*x), cases[1:], F.when(*cases[0])).otherwise(True)

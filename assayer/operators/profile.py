@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.nulls import is_null_like, quoted
+from ..functions.nulls import is_null_like, quoted, strip
 from ..functions.rules import ENTITY_TYPE, NAME_COLUMNS, Rule, conditionally_complete, entity_type, matches_long, required_of
 from ..sources.files import ROW
 
@@ -45,9 +45,9 @@ def histogram(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def judged(hist: DataFrame, rules: Mapping[str, Rule], as_of: dt.date | str | None = None) -> DataFrame:
     """The histogram with is_null and ok for each value."""
-    name, value = F.col("column_name"), F.col("value")
-    out = hist.withColumn("is_null", is_null_like(value, name))
-    return out.withColumn("ok", F.when(F.col("is_null"), False).otherwise(matches_long(name, value, rules, as_of)))
+    name, value = F.col("column_name"), F.col("__v")  # read often, so a projection of its own
+    out = hist.withColumn("__v", strip(F.col("value"))).withColumn("is_null", is_null_like(value, name, stripped=True))
+    return out.withColumn("ok", F.when(F.col("is_null"), False).otherwise(matches_long(name, value, rules, as_of))).drop("__v")
 
 
 def counts(hist: DataFrame) -> DataFrame:
@@ -149,8 +149,9 @@ def violations(df: DataFrame, rules: Mapping[str, Rule], n: int = 50, columns: l
     if not columns:
         return df.sparkSession.createDataFrame([], schema)
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), quoted(c).cast("string").alias("value")) for c in columns]))
-    name, value = F.col("x.column_name"), F.col("x.value")
-    bad = df.select(ROW, cells.alias("x")).where(~is_null_like(value, name) & ~matches_long(name, value, {c: rules[c] for c in columns}, as_of)).select("x.column_name", ROW, "x.value")
+    name, v = F.col("column_name"), F.col("__v")
+    long = df.select(ROW, cells.alias("x")).select("x.column_name", ROW, "x.value").withColumn("__v", strip(F.col("value")))
+    bad = long.where(~is_null_like(v, name, stripped=True) & ~matches_long(name, v, {c: rules[c] for c in columns}, as_of)).drop("__v")
     order = Window.partitionBy("column_name").orderBy(ROW)
     return bad.select("column_name", F.row_number().over(order).alias("position"), F.col(ROW).alias("row_index"), "value").where(F.col("position") <= n)
 

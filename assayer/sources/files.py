@@ -79,8 +79,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> Dat
 
     if encoding:
         return read(encoding)
-    broken = spark.read.text(path).where(F.col("value").contains("�")).limit(1).isEmpty()
-    return read("UTF-8" if broken else "ISO-8859-1")
+    return read("UTF-8" if spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).isEmpty() else "ISO-8859-1")
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
