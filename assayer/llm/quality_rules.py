@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,9 @@ CLASSES = ("lower", "upper", "digit", "space", "line end", "sentence", "quote",
 class Limits:
     """Limits of the verdict; shares and distances are between 0 and 1.
 
-    A histogram of n events strays from its source by about 1 / sqrt(n), so the
-    limit of a distance is its base and ``noise`` / sqrt(n).
+    A histogram of n events in k bins strays from its source by about
+    sqrt((k - 1) / (8 n ln 2)), so the limit of a distance is its base and ``noise``
+    times that.
     """
 
     min_words: int = 50
@@ -47,13 +49,15 @@ class Limits:
     common_words: int = 50
     common_share: float = 0.002
     min_reference_words: int = 2_000
+    noise: float = 1.1
     max_char_distance: float = 0.20
-    char_noise: float = 1.2
     char_guard: int = 200
-    max_word_distance: float = 0.14
-    word_noise: float = 1.9
+    max_word_distance: float = 0.09
     word_guard: int = 50
 
+    def within(self, distance: float | None, base: float, bins: int, events: int) -> bool:
+        return distance is None or distance <= base + self.noise * ((bins - 1) / (8 * events * log(2))) ** 0.5
+
 
 @dataclass
 class Reference:
@@ -205,8 +209,8 @@ def verdict(text: str, words: list[bytes], reference: Reference | None, limits:
         for w, n in Counter(words).items():
             counts[where.get(w.decode("utf-8", "replace"), len(where))] += n
         by_word = js_distance(counts, reference.word_shares)
-    good = by_char is None or by_char <= limits.max_char_distance + limits.char_noise / len(text) ** 0.5
-    good = good and (by_word is None or by_word <= limits.max_word_distance + limits.word_noise / len(words) ** 0.5)
+    good = limits.within(by_char, limits.max_char_distance, len(CLASSES), len(text))
+    good = good and limits.within(by_word, limits.max_word_distance, len(reference.words) + 1 if reference else 1, len(words))
     return by_char, by_word, good
 
 

@@ -62,8 +62,8 @@ def members(file, size: int) -> dict[str, tuple[int, int]]:
     tail_at = max(0, size - 22 - 65_535)
     tail = read(tail_at, size - tail_at)
     k = tail.rfind(_END)
-    while k >= 0 and len(tail) - k - 22 < struct.unpack_from("<H", tail, k + 20)[0]:
-        k = tail.rfind(_END, 0, k)
+    while k >= 0 and (len(tail) < k + 22 or len(tail) != k + 22 + struct.unpack_from("<H", tail, k + 20)[0]):
+        k = tail.rfind(_END, 0, k)  # the mark can also stand in a comment, which ends the file
     if k < 0:
         raise ValueError("no end of a ZIP directory")
     entries, length, at = struct.unpack_from("<HII", tail, k + 10)
