@@ -156,16 +156,28 @@ def violations(df: DataFrame, rules: Mapping[str, Rule], n: int = 50, columns: l
     return bad.select("column_name", F.row_number().over(order).alias("position"), F.col(ROW).alias("row_index"), "value").where(F.col("position") <= n)
 
 
-def profile(df: DataFrame, rules: Mapping[str, Rule], *, columns: list[str] | None = None, as_of=None, dataset_name: str = "dataset", top: int = 5, examples: int = 50, weighting: str = "columns", keep_histogram: bool = True) -> Profile:
-    """All of a dataset's profile; ``df`` has a ``row_index`` where examples are wanted."""
+def held(df: DataFrame) -> DataFrame:
+    """The same rows as a local table: for results of a few rows for each column, which later steps read often."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def profile(df: DataFrame, rules: Mapping[str, Rule], *, columns: list[str] | None = None, as_of=None, dataset_name: str = "dataset", top: int = 5, examples: int = 50, weighting: str = "columns") -> Profile:
+    """All of a dataset's profile; ``df`` has a ``row_index`` where examples are wanted.
+
+    The dataset is read for the histogram, for the conditional columns and for the
+    examples.  What comes of it has a bounded number of rows for each column and is
+    computed here, once.
+    """
     columns = profiled_columns(df) if columns is None else columns
-    hist = judged(histogram(df, columns), rules, as_of)
-    if keep_histogram:
-        hist = hist.persist()
+    hist = judged(histogram(df, columns), rules, as_of).persist()
     conditional = conditional_counts(df, columns)
-    found = metrics(df, rules, columns, as_of, hist, conditional)
-    bad = violations(df, rules, examples, columns, as_of) if ROW in df.columns else df.sparkSession.createDataFrame([], "column_name string, position int, row_index long, value string")
-    return Profile(found, dataset_profile(found, weighting=weighting, dataset_name=dataset_name), top_values(hist, top), bad, conditional)
+    conditional = None if conditional is None else held(conditional)
+    found = held(metrics(df, rules, columns, as_of, hist, conditional))
+    most = held(top_values(hist, top))
+    hist.unpersist()
+    none = df.sparkSession.createDataFrame([], "column_name string, position int, row_index long, value string")
+    bad = held(violations(df, rules, examples, columns, as_of)) if ROW in df.columns else none
+    return Profile(found, held(dataset_profile(found, weighting=weighting, dataset_name=dataset_name)), most, bad, conditional)
 
 
 def critical_columns(found: DataFrame, least: float = 95.0) -> DataFrame:

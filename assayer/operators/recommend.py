@@ -197,13 +197,13 @@ def recommend(issues: DataFrame, metrics: DataFrame | None, rules: Mapping[str,
     )
     counts = entity_type_counts(df) if df is not None else None
     if counts is not None:
-        rows = rows.crossJoin(F.broadcast(counts.select("n_missing", "n_organization", "n_individual", "ratio", "confidence")))  # one row, so no product
-        told = F.col("n_organization") + F.col("n_individual")
+        c = counts.first()
+        told, missing = c.n_organization + c.n_individual, c.n_missing
         by_row = rec(
-            "conditional_imputation", text("Fill ", n.cast("string"), " missing Entity Type Code values from the names in each row"), F.col("confidence"), _impact(pct), F.lit(True), F.lit("Row-specific: '2' with an organization name, '1' with an individual name"),
-            text(told.cast("string"), " of ", F.col("n_missing").cast("string"), " rows tell their type (", F.col("n_organization").cast("string"), " organizations, ", F.col("n_individual").cast("string"), " individuals)"),
+            "conditional_imputation", text("Fill ", n.cast("string"), " missing Entity Type Code values from the names in each row"), c.confidence, _impact(pct), F.lit(True), F.lit("Row-specific: '2' with an organization name, '1' with an individual name"),
+            F.lit(f"{told} of {missing} rows tell their type ({c.n_organization} organizations, {c.n_individual} individuals)"),
         )
-        complete = F.when((name == ENTITY_TYPE) & (told > 0), by_row).when(name == ENTITY_TYPE, rec("default_imputation", fill, 0.5, "high", no)).otherwise(complete)
+        complete = F.when(name == ENTITY_TYPE, by_row if told else rec("default_imputation", fill, 0.5, "high", no)).otherwise(complete)
 
     k, f, said = F.col("k"), F.col("f"), F.array_join(F.slice("s", 1, 3), ", ")
     fixable = (f > 0) & (F.size("s") > 0)

@@ -22,6 +22,7 @@ from ..sources.catalog import MAILING, PRACTICE, find_column
 from ..sources.files import ROW
 from .recommend import imputed_entity_type
 
+#: Labels and reasons of audit rows.
 SIDECAR = f"{ROW} long, `column` string, issue_type string, original_value string, recommended_value string, strategy string, confidence double, reason string"
 REASONS = {"enum": "enum normalization", "regex": "regex cleanup", "length": "length truncation", "phone": "phone cleanup", "date": "date reformat", "numeric": "numeric parse"}
 STRATEGIES = {"default_imputation": "Default imputation (standard value)", "mode_imputation": "Mode imputation (most common value)", "context_imputation": "Context-based inference", "conditional_imputation": "Conditional imputation"}
@@ -82,6 +83,7 @@ def recommendation_text(rec: Recommendation, original: Column, fixed: Column, ru
         how = {"default_imputation": "Default imputation", "context_imputation": "Context-based inference"}.get(rec.fix_strategy, rec.fix_strategy)
         yes = F.concat(F.lit("Missing value imputed: NULL → '"), fixed, F.lit(f"' ({how}). Confidence: {sure}. Action: Auto-fix applied."))
         return F.coalesce(yes, F.lit(f"Missing value detected. Recommendation: Review and fill manually. Issue: Completeness violation. Impact: {rec.estimated_impact}. Requires: Manual intervention."))
+    # The sentences a reader gets.
     done = {
         "enum": ("Format corrected", " (normalized to valid enum value)"), "regex": ("Format corrected", " (cleaned to match required pattern)"), "length": ("Length corrected", " (truncated to valid length)"),
         "phone": ("Phone format corrected", " (normalized to digits only)"), "date": ("Date format corrected", " (reformatted to standard format)"), "numeric": ("Numeric format corrected", " (parsed and normalized)"),

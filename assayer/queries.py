@@ -297,7 +297,7 @@ ISSUES = (
 
 
 def _issues(spark: SparkSession, sf_dir: str) -> tuple[profile.Profile, DataFrame]:
-    found = profile.profile(providers(spark, sf_dir), RULES, as_of=AS_OF, keep_histogram=False)
+    found = profile.profile(providers(spark, sf_dir), RULES, as_of=AS_OF)
     return found, issues.detect(found, RULES)
 
 
