@@ -10,15 +10,20 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = str(Path(__file__).resolve().parents[2])
+#: Rows that a Python worker gets at once.
+BATCH_ROWS = 1_000
 _made: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers that this session starts import this library.
+    """Lets Python workers that this session starts import this library, and bounds what they get at once.
 
     On a cluster the library is installed or sent with --py-files; in local mode
-    the workers only need the folder that the driver imported it from.
+    the workers only need the folder that the driver imported it from.  Rows are
+    whole documents, so Arrow batches of the default ten thousand rows can be large.
     """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") or 0) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if _ROOT not in paths:
@@ -48,14 +53,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: lineage ends there."""
+def cut(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it again: lineage ends there.
+
+    ``slim`` is for rows of a few numbers: they come in a few files for each core
+    instead of one for each shuffle partition.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(few(spark)) if slim else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(spark: SparkSession) -> int:
+    """Tasks for work that more of them wouldn't speed up: four for each core."""
+    return 4 * spark.sparkContext.defaultParallelism
+
+
 def _clean() -> None:
     for spark, path in _made:
         try:

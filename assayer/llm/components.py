@@ -28,7 +28,7 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     mark = None
     while True:
-        edges = cut(_hung(edges), "edges")
+        edges = cut(_hung(edges), "edges", slim=True)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))

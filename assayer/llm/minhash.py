@@ -118,34 +118,33 @@ def link(df: DataFrame, *, percent: int = 80, id_column: str = "doc_id", text: s
     linked = documents.where("id IS NOT NULL AND n > 0")
     classes = linked.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     posted = classes.select("id", F.explode("sig").alias("v"))
-    times = posted.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
+    times = cut(posted.groupBy("v").agg(F.count("*").alias("f")).where("f > 1"), "times", slim=True)  # a table, so that skewed values of the join can be split
     shared = posted.join(times, "v").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("p")).where(F.size("p") >= needed)
-    prefixes = cut(shared.select("id", F.transform(F.slice("p", 1, F.size("p") - needed + 1), lambda x: x["v"]).alias("prefix")), "prefixes")
+    prefixes = cut(shared.select("id", F.transform(F.slice("p", 1, F.size("p") - needed + 1), lambda x: x["v"]).alias("prefix")), "prefixes", slim=True)
 
     wanted = cut(classes.join(prefixes, "id").select("id", "k1", "k2", "n", "sig", "prefix"), "wanted")
     members = full_sets(df, wanted, id_column=id_column, text=text, width=width).dropDuplicates(["id", "k1", "k2"])
     sets = cut(wanted.join(members, ["id", "k1", "k2"]), "sets")
     alone = sets.select("id", F.explode("members").alias("m")).groupBy("m").agg(F.count("*").alias("f"), F.min("id").alias("id")).where("f = 1").groupBy("id").agg(F.count("*").alias("u"))
     posts = sets.select("id", "n", "prefix").join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("g"), "prefix")
-    posts = cut(posts.where(100 * F.col("g") >= percent * F.col("n")).select("id", "n", "g", "prefix", F.explode("prefix").alias("v")), "posts")
+    posts = cut(posts.where(100 * F.col("g") >= percent * F.col("n")).select("id", "n", "g", "prefix", F.explode("prefix").alias("v")), "posts", slim=True)
 
     rank = F.struct((F.col("g") / F.col("n")).alias("r"), (-F.col("id")).alias("i"))
     leaders = posts.groupBy("v").agg(F.count("*").alias("f"), F.max(F.struct(rank.alias("rank"), "id", "n", "g")).alias("lead")).where("f > 1")
-    leaders = cut(leaders.select("v", "f", "lead.id", "lead.n", "lead.g"), "leaders")
+    leaders = cut(leaders.select("v", "f", "lead.id", "lead.n", "lead.g"), "leaders", slim=True)
     star = posts.alias("x").join(leaders.alias("l"), (F.col("x.v") == F.col("l.v")) & (F.col("x.id") != F.col("l.id")) & _may_link(percent, "x", "l"))
     star = star.select(F.col("l.id").alias("a"), F.col("x.id").alias("b")).distinct()
-    star = cut(_compared(star, sets, percent, needed), "star")
+    star = cut(_compared(star, sets, percent, needed), "star", slim=True)
     links = star.where("linked").select("a", "b")
     roots = components.connected(links)
 
     long = leaders.where("f > 2").select("v", F.col("id").alias("lead"))
     placed = posts.join(long, "v").join(roots, "id", "left").join(star.select(F.col("a").alias("lead"), F.col("b").alias("id"), F.col("i").alias("t")), ["lead", "id"], "left")
     shared_with_lead = F.when(F.col("id") == F.col("lead"), F.col("n")).otherwise(F.col("t"))
-    placed = cut(placed.select("id", "n", "g", "prefix", "v", F.coalesce("root", "id").alias("c"), shared_with_lead.alias("t")), "placed")
-    mixed = placed.groupBy("v").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("v")
+    placed = cut(placed.select("id", "n", "g", "prefix", "v", F.coalesce("root", "id").alias("c"), shared_with_lead.alias("t")), "placed", slim=True)
+    shares = placed.groupBy("v", "c").agg(F.count("*").alias("f")).groupBy("v").agg(F.count("*").alias("parts"), F.max(F.struct("f", "c"))["c"].alias("main"))
+    mixed = cut(shares.where("parts > 1").select("v", "main"), "mixed", slim=True)
     held = placed.join(mixed, "v")
-    main = held.groupBy("v", "c").agg(F.count("*").alias("f")).groupBy("v").agg(F.max(F.struct("f", "c"))["c"].alias("main"))
-    held = held.join(main, "v")
     odd = held.where("c <> main")
     tried = held.alias("x").join(
         odd.alias("y"),
@@ -156,7 +155,7 @@ def link(df: DataFrame, *, percent: int = 80, id_column: str = "doc_id", text: s
         & (F.get(F.array_intersect("x.prefix", "y.prefix"), F.lit(0)) == F.col("x.v")),  # once for each pair: at the first value in common
     )
     tried = tried.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    more = cut(_compared(tried, sets, percent, needed).where("linked").select("a", "b"), "more_links")
+    more = cut(_compared(tried, sets, percent, needed).where("linked").select("a", "b"), "more_links", slim=True)
     if not more.isEmpty():
         roots = components.connected(links.union(more))
 
