@@ -83,12 +83,13 @@ def repeated_lines(df: DataFrame, *, id_column: str = "doc_id", text: str = "tex
     """id, th (hash of the text) and ``removed``, the places among all the text's lines that go."""
     near = run_words + window_words
     docs = cut(_lines(df, id_column, text), "lines")
-    prints = docs.select("id", "th", "n", _grams(run_words).alias("grams")).where(F.size("grams") > 0)
-    prints = cut(prints.select("id", "th", F.explode(_selected(window_words)).alias("x")).select("id", "th", "x.g", "x.i", "x.len"), "prints")
+    prints = docs.select("id", "th", "n", _grams(run_words).alias("grams"))
+    prints = cut(prints.select("id", "th", F.explode(_selected(window_words)).alias("x")).select("id", "th", "x.g", "x.i", "x.len"), "prints", slim=True)
     first = prints.groupBy("g").agg(F.count("*").alias("f"), F.min(F.struct("id", "th", "i")).alias("first")).where("f > 1")
+    first = cut(first, "first", slim=True)  # a table, so that skewed grams of the join can be split
     later = prints.join(first.select("g", "first"), "g").where(~F.struct("id", "th", "i").eqNullSafe(F.col("first")))
     later = later.select("id", "th", "i", "len", F.col("first.id").alias("id0"), F.col("first.th").alias("th0"), F.col("first.i").alias("i0"))
-    later = cut(later, "matches")
+    later = cut(later, "matches", slim=True)
 
     a, b = docs.alias("a"), docs.alias("b")
     mine = later.alias("m").join(b, F.col("m.id").eqNullSafe(F.col("b.id")) & (F.col("m.th") == F.col("b.th")))
@@ -111,7 +112,8 @@ def dedup(df: DataFrame, *, id_column: str = "doc_id", text: str = "text", run_w
     joined = docs.join(gone, F.col(f"d.{id_column}").eqNullSafe(F.col("g.id")) & (F.col("d.__th") == F.col("g.th")) & F.col(f"d.{text}").isNotNull(), "left")
     lines = F.split(F.col(f"d.{text}"), "\n", -1)
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("g.removed"))
-    left = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+    held = F.transform(F.array(lines), lambda x: F.transform(places, lambda i: F.get(x, i)))  # split once, not for each place
+    left = F.array_join(F.get(held, F.lit(0)), "\n")
     new = F.when(F.col("g.removed").isNull(), F.col(f"d.{text}")).otherwise(left)
     out = [new.alias(c) if c == text else F.col(f"d.`{c}`") for c in names]
     return joined.select(*out, F.when(F.col(f"d.{text}").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size("g.removed"), F.lit(0)).cast("long").alias("n_removed_lines"))
