@@ -19,7 +19,7 @@ from __future__ import annotations
 import base64
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -69,31 +69,44 @@ def _first(values: list[int], least: int) -> int:
 
 
 class Vocabulary:
-    """Ranks of a vocabulary file, and the pieces met so far with their ids."""
+    """Ranks of a vocabulary file, and pieces met lately with their ids.
 
-    def __init__(self, path: str, pattern: str, kept: int = 300_000):
+    Pieces are kept in two generations of ``kept`` each, so frequent ones stay.
+    """
+
+    def __init__(self, path: str, pattern: str, kept: int = 150_000):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
         self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
+        tokens = [b""] * (max(ranks.values()) + 1)
         for b, i in ranks.items():
-            self.bytes_of[i] = b
-        self.pieces: dict[str, tuple[int, ...]] = {}
+            tokens[i] = b
+        self.lengths = np.array([len(b) for b in tokens], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.kept = kept
 
     def encode(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, pool: ThreadPoolExecutor | None = None) -> np.ndarray:
         pieces = pretokenise(text, self.pattern, chunk, overlap, pool)
-        known = self.pieces
-        if len(known) > self.kept:
-            known.clear()
-        for p in pieces:
+        if len(self.young) > self.kept:
+            self.young, self.old = {}, self.young
+        known, before = self.young, self.old
+        for p in set(pieces):
             if p not in known:
-                known[p] = tuple(self.library._encode_single_piece(p))
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), np.int32)
+                known[p] = before.get(p) or np.array(self.library._encode_single_piece(p), np.int32).tobytes()
+        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """The bytes of all ids, one behind the other."""
+        ids = np.asarray(ids, np.int64)
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.starts[ids] - (ends - lengths), lengths)
+        at += np.arange(len(at))
+        return self.bytes[at].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -150,7 +163,9 @@ def decode(df: DataFrame, *, ids: str = "token_ids", path: str | None = None, pa
         for whole in batches:
             for at in range(0, whole.num_rows, rows_at_once):
                 batch = whole.slice(at, rows_at_once)
-                found = [v.decode(x) if x is not None else b"" for x in batch.column(ids).to_pylist()]
+                lists = batch.column(ids)
+                values, cuts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+                found = [v.decode(values[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]  # of a null list both are the same
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*names, out])
 
     return df.mapInArrow(decoded, schema)

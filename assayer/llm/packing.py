@@ -209,6 +209,7 @@ def pack(df: DataFrame, *, id_column: str = "doc_id", text: str = "text", capaci
                 if len(packer.closed) >= 4096:
                     yield given()
         packer.finish()
-        yield given()
+        if packer.closed:
+            yield given()
 
     return source.mapInArrow(packed, schema)

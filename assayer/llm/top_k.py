@@ -10,7 +10,8 @@ Queries come to the tasks in passes of bounded size, each over all candidates;
 every task keeps k candidates for each query, and the best k of these are final.
 
 Defined results
-  null id, null vector, null or non-finite component   takes no part
+  null id, null vector, null or non-finite component   takes no part, nor does a
+                       vector with a component too large for a double once scaled
   vectors of another length than the query's           are no candidates for it
   repeated query ids   one query, the largest of its vectors
   repeated candidates  each row is a candidate; rows with the query's id are its own
