@@ -356,9 +356,9 @@ _JUDGE = """, z AS (SELECT *, value - baseline_value AS delta, abs(value - basel
 TIGHT = anomaly.Settings(z_limit=1.5, limits={"completeness": 2.0, "uniqueness": 1.0, "conformity": 2.0})
 
 
-@query(POINTS + " SELECT column_name, profiling_timestamp, round(value, 6) AS value FROM points")
+@query(POINTS + " SELECT column_name, run_id, round(value, 6) AS value FROM points")
 def metric_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return only(points(spark, sf_dir), "column_name", "profiling_timestamp", "value")
+    return only(points(spark, sf_dir), "column_name", "run_id", "value")
 
 
 @query(POINTS + " SELECT arg_max(run_id, profiling_timestamp) AS run_id FROM points")
@@ -637,11 +637,11 @@ def deterministic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.sample(table(spark, sf_dir, "orders"), 100, key="o_orderkey")
 
 
-@query("SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS window_start, count(*) AS total_count, count(*) AS non_null_count, count(*) FILTER (WHERE event_type IN ('click', 'view')) AS conforming_count, CAST(100 AS DOUBLE) AS completeness_score, round(100.0::DOUBLE * count(*) FILTER (WHERE event_type IN ('click', 'view')) / count(*), 6) AS conformity_score FROM events GROUP BY CAST(ts AS DATE)")
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS window_start, count(*) AS total_count, count(*) AS non_null_count, count(*) FILTER (WHERE event_type IN ('click', 'view')) AS conforming_count, CAST(100 AS DOUBLE) AS completeness_score, round(100.0::DOUBLE * count(*) FILTER (WHERE event_type IN ('click', 'view')) / count(*), 6) AS conformity_score FROM events GROUP BY CAST(ts AS DATE)")
 def multi_window_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = Rule("KIND", "event_type", "enum", {"values": ["click", "view"]})
     found = quality.windowed(table(spark, sf_dir, "events"), "ts", "event_type", rule)
-    return rounded(found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
+    return rounded(found.withColumn("window_start", F.to_date("window_start").cast("string")))
 
 
 @query(f"SELECT * FROM (VALUES {', '.join(f'({i}, $${c}$$)' for i, c in enumerate(focused_columns()))}) t(position, column_name)")
