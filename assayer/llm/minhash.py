@@ -160,6 +160,7 @@ def link(df: DataFrame, *, percent: int = 80, id_column: str = "doc_id", text: s
         roots = components.connected(links.union(more))
 
     found = classes.select("k1", "k2", "id").join(roots, "id", "left").select("k1", "k2", F.coalesce("root", "id").alias("component_id"))
+    found = cut(found, "found", slim=True)
     out = documents.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "k1", "k2").join(found, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
