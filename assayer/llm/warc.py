@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._run import cut, scratch, ship
+from ._run import cut, few, scratch, ship
 
 RECORDS, INDEX, ABOUT = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 DATE = "1970-01-01T00:00:00Z"
@@ -185,7 +185,7 @@ def write(df: DataFrame, folder: str, *, id_column: str = "page_id", url: str =
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("body"))
     rows = rows.withColumn("sha", F.unhex(F.sha1(F.col("body").cast("binary"))))
     largest = rows.select("id", "sha").groupBy("sha").agg(F.max("id").alias("largest"))
-    source = rows.join(largest, "sha").select("id", "url", "body", "largest")
+    source = rows.join(largest, "sha").select("id", "url", "body", "largest").coalesce(few(spark))  # rather large archives than many
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
@@ -282,7 +282,7 @@ def read(archives: DataFrame, *, archive: str = "archive", with_payload: bool =
                 yield given(rows)
 
     paths = archives.select(archive)
-    return paths.repartition(tasks or spark.sparkContext.defaultParallelism * 2, archive).mapInArrow(found, schema)
+    return paths.repartition(tasks or few(spark)).mapInArrow(found, schema)
 
 
 def round_trip(spark: SparkSession, df: DataFrame, **names: str) -> DataFrame:
