@@ -31,6 +31,7 @@ from ._run import ship
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
+PIECE_WORDS = 200_000
 #: Character classes, in the order of the histogram.
 CLASSES = ("lower", "upper", "digit", "space", "line end", "sentence", "quote", "symbol", "other ascii", "wide lower", "wide upper", "other wide")
 
@@ -130,26 +131,37 @@ def build_references(df: DataFrame, limits: Limits = Limits(), text: str = "text
     """The references of each language, and under None those of the whole corpus.
 
     Common words are those with at least ``common_share`` of a language's words.
-    One such word has that share in one Arrow batch at least, so the union of the
-    batches' own common words holds them all; a second pass counts these exactly.
-    What comes to the driver is a few hundred words for each language.
+    However the corpus is cut, one such word has that share in one piece at least,
+    so the union of the pieces' own common words holds them all; a second pass counts
+    these exactly.  Pieces are of ``PIECE_WORDS`` words or a whole task's, so what
+    comes to the driver is a few hundred words for each language.
     """
     ship(df.sparkSession)
     share = limits.common_share
     source = df.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
 
     def candidates(batches):
-        for batch in batches:
-            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            counts: dict[str | None, Counter] = {None: Counter()}
-            for t, la in zip(texts, langs):
-                if t:
-                    counts.setdefault(la, Counter()).update(words_of(t))
-            for la, c in counts.items():
-                if la is not None:
-                    counts[None].update(c)
-            out = [(la, w.decode("utf-8", "replace")) for la, c in counts.items() if (n := sum(c.values())) for w, k in c.items() if k >= share * n]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], ["l", "w"])
+        done: dict[str | None, Counter] = {}  # the last whole piece: what is left at the end is added to it
+        counts: dict[str | None, Counter] = {}
+        size = 0
+
+        def common(pieces: dict[str | None, Counter]) -> pa.RecordBatch:
+            listed = {la: c for la, c in pieces.items() if la is not None}
+            listed[None] = sum(pieces.values(), Counter())
+            out = [(la, w.decode("utf-8", "replace")) for la, c in listed.items() if (n := c.total()) for w, k in c.items() if k >= share * n]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], ["l", "w"])
+
+        for t, la in _rows(batches):
+            if t:
+                words = words_of(t)
+                size += len(words)
+                counts.setdefault(la, Counter()).update(words)
+            if size >= PIECE_WORDS:
+                yield common(done)
+                done, counts, size = counts, {}, 0
+        for key, c in counts.items():
+            done.setdefault(key, Counter()).update(c)
+        yield common(done)
 
     found = source.mapInArrow(candidates, "l string, w string").distinct().collect()
     wanted: dict[str | None, set[bytes]] = {}
@@ -159,21 +171,27 @@ def build_references(df: DataFrame, limits: Limits = Limits(), text: str = "text
 
     def counted(batches):
         chars: dict[str | None, np.ndarray] = {}
-        counts: dict[tuple, int] = {}
-        wanted = sent.value
+        totals: dict[str | None, int] = {}
+        times: dict[str | None, dict[bytes, int]] = {}
+        everywhere = sent.value.get(None, set())
+        either: dict[str | None, set[bytes]] = {}
         for t, la in _rows(batches):
             if not t:
                 continue
-            h, words = char_histogram(t), words_of(t)
-            for key in {la, None}:
-                chars[key] = chars.get(key, 0) + h
-                counts[key, None] = counts.get((key, None), 0) + len(words)
-                mine = wanted.get(key, ())
-                for w in words:
-                    if w in mine:
-                        counts[key, w] = counts.get((key, w), 0) + 1
-        rows = [(la, "c", str(i), int(n)) for la, h in chars.items() for i, n in enumerate(h)]
-        rows += [(la, "n" if w is None else "w", "" if w is None else w.decode("utf-8", "replace"), n) for (la, w), n in counts.items()]
+            words = words_of(t)
+            chars[la] = chars.get(la, 0) + char_histogram(t)
+            totals[la] = totals.get(la, 0) + len(words)
+            if la not in either:
+                either[la], times[la] = sent.value.get(la, set()) | everywhere, {}
+            mine, n = either[la], times[la]
+            for w in words:
+                if w in mine:
+                    n[w] = n.get(w, 0) + 1
+        rows = []
+        for la in chars:  # each language, and all languages under None
+            for key, kept in {la: sent.value.get(la, set()), None: everywhere}.items():
+                rows += [(key, "c", str(i), int(n)) for i, n in enumerate(chars[la])] + [(key, "n", "", totals[la])]
+                rows += [(key, "w", w.decode("utf-8", "replace"), n) for w, n in times[la].items() if w in kept]
         columns = list(zip(*rows)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(),) * 3 + (pa.int64(),))], ["l", "kind", "item", "n"])
 
