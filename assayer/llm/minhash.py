@@ -4,7 +4,7 @@
    whole set.  Texts with equal sets form a class; from here on a class counts as
    one document, so copies cost nothing.
 2. Each coordinate's value is posted.  Of two sets at the threshold, ``needed``
-   of the ``size`` coordinates are equal (but for a chance below one in a
+   of the ``size`` coordinates are equal (but for a chance of about one in a
    million), so both hold a common value among their ``size - needed + 1`` rarest.
    Only that prefix is joined, rarest first; values that no other class has fill
    it without being posted, and a class with too few shared values is out.
