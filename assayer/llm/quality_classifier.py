@@ -210,11 +210,12 @@ def fit(texts: list[str], labels: np.ndarray, *, size: int = 96, window: int = 2
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 2_400, **settings) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 2_400, longest: int = 100_000, **settings) -> Model:
     """A model from at most ``sample`` labelled ids, those with the smallest hashes.
 
     The sample's size doesn't grow with the corpus, so its texts fit the driver,
-    and the broadcast of its ids is of bounded size.
+    and the broadcast of its ids is of bounded size.  Texts of more than ``longest``
+    characters are scored like any other but not learned from.
     """
     ship(docs.sparkSession)
     drawn = (
@@ -224,7 +225,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
         .orderBy(F.xxhash64("__id"), "__id")
         .limit(sample)
     )
-    rows = docs.select(F.col(id_column).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(drawn), "__id").collect()
+    rows = docs.select(F.col(id_column).alias("__id"), F.col(text).alias("__text")).where(F.coalesce(F.char_length("__text"), F.lit(0)) <= longest).join(F.broadcast(drawn), "__id").collect()
     rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["__id"]).encode()), r["__text"] or ""))
     return fit([r["__text"] or "" for r in rows], np.array([r["__label"] for r in rows], np.float32), **settings)
 
