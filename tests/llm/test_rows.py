@@ -198,6 +198,22 @@ def test_language_edge_cases(spark, docs):
     assert language_id.predict(odd.limit(0), p).count() == 0
 
 
+PL = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa każdy człowiek posiada wszystkie prawa i wolności zawarte w niniejszej deklaracji bez względu na różnice rasy koloru płci języka wyznania".split()
+FI = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä jokainen on oikeutettu kaikkiin tässä julistuksessa esitettyihin oikeuksiin ja vapauksiin ilman minkäänlaista rotuun väriin sukupuoleen".split()
+
+
+def test_languages_that_were_not_learned_go(spark, docs):
+    rng = random.Random(5)
+    letters = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n))
+    rows = [(1000 + 10 * k + i, f(n), la, 0) for k, n in enumerate((50, 100, 400)) for i, (f, la) in enumerate(((lambda n: text_of(rng, PL, n), None), (lambda n: text_of(rng, FI, n), "en"), (letters, None), (letters, "de")))]
+    short = [(2000 + i, text_of(rng, EN if i % 2 else DE, n), None, 1) for i, n in enumerate((3, 3, 5, 5, 10, 10, 20, 20))]
+    p = language_id.learn(docs)
+    got = {r.doc_id: r.lang for r in language_id.keep(spark.createDataFrame(rows + short, SCHEMA).union(docs), p).collect()}
+    assert not got.keys() & {r[0] for r in rows}
+    assert {i: got.get(i) for i, _, la, _ in corpus()} == {i: la for i, _, la, _ in corpus()}
+    assert {i: got.get(i) for i, *_ in short} == {i: "en" if i % 2 else "de" for i, *_ in short}
+
+
 # --- tokens
 
 
