@@ -5,11 +5,14 @@ documents: classes of characters, and its commonest words (all other words fall
 into one more bin).  A document passes if the Jensen-Shannon distance of its own
 histograms to those of its language stays within a limit.  A histogram of few
 events is noise, so each comparison has a minimum length below which it abstains.
+A text without a reference of its own is held against that of the language which is
+nearest by n-grams (see ``language_id``); where none is near, both comparisons abstain.
 
 Defined results
   null text      as an empty one: no words, ``base_failed``, not kept
-  null language  compared with the reference of the whole corpus, as are
-                 languages with fewer than ``min_reference_words`` words
+  null language  has no reference of its own, and neither has a language with
+                 fewer than ``min_reference_words`` words
+  no letter      and no reference of its own: the nearest by classes of characters
   repeated rows  each row is judged by itself, so equal rows get equal results
   extra columns  are not touched: results are joined to nothing but the id
 """
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._run import ship
+from .language_id import Profiles, learn
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -67,6 +71,22 @@ class Reference:
     word_shares: np.ndarray | None = None
 
 
+class References(dict[str, Reference]):
+    """The reference of each language, and the n-grams that tell these languages apart."""
+
+    profiles: Profiles | None = None  # None: every text has a reference of its own, or there is none at all
+
+    def of(self, text: str, lang: str | None) -> Reference | None:
+        """What a text is held against; None if no language is near."""
+        if lang in self or not self or not text or self.profiles is None:
+            return self.get(lang)
+        near, known = self.profiles.nearest(text)
+        if near is None:
+            chars = char_histogram(text)
+            return min(self.values(), key=lambda r: js_distance(chars, r.chars))
+        return self[near] if known else None
+
+
 @lru_cache(maxsize=1)
 def _class_table() -> np.ndarray:
     """The class of each code point."""
@@ -127,32 +147,34 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*columns)
 
 
-def build_references(df: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> dict[str | None, Reference]:
-    """The references of each language, and under None those of the whole corpus.
+def build_references(df: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang", *, id_column: str = "doc_id", for_others: bool = True) -> References:
+    """The references of each language.
 
     Common words are those with at least ``common_share`` of a language's words.
     However the corpus is cut, one such word has that share in one piece at least,
     so the union of the pieces' own common words holds them all; a second pass counts
     these exactly.  Pieces are of ``PIECE_WORDS`` words or a whole task's, so what
     comes to the driver is a few hundred words for each language.
+
+    N-grams are learned from a bounded sample of each language.  With ``for_others``
+    false only the rows of ``df`` are to be judged, so if each has a reference of its
+    own, there is nothing to learn them for.
     """
     ship(df.sparkSession)
     share = limits.common_share
     source = df.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
 
     def candidates(batches):
-        done: dict[str | None, Counter] = {}  # the last whole piece: what is left at the end is added to it
-        counts: dict[str | None, Counter] = {}
+        done: dict[str, Counter] = {}  # the last whole piece: what is left at the end is added to it
+        counts: dict[str, Counter] = {}
         size = 0
 
-        def common(pieces: dict[str | None, Counter]) -> pa.RecordBatch:
-            listed = {la: c for la, c in pieces.items() if la is not None}
-            listed[None] = sum(pieces.values(), Counter())
-            out = [(la, w.decode("utf-8", "replace")) for la, c in listed.items() if (n := c.total()) for w, k in c.items() if k >= share * n]
+        def common(pieces: dict[str, Counter]) -> pa.RecordBatch:
+            out = [(la, w.decode("utf-8", "replace")) for la, c in pieces.items() if (n := c.total()) for w, k in c.items() if k >= share * n]
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], ["l", "w"])
 
         for t, la in _rows(batches):
-            if t:
+            if t and la is not None:
                 words = words_of(t)
                 size += len(words)
                 counts.setdefault(la, Counter()).update(words)
@@ -164,41 +186,39 @@ def build_references(df: DataFrame, limits: Limits = Limits(), text: str = "text
         yield common(done)
 
     found = source.mapInArrow(candidates, "l string, w string").distinct().collect()
-    wanted: dict[str | None, set[bytes]] = {}
+    wanted: dict[str, set[bytes]] = {}
     for la, w in found:
         wanted.setdefault(la, set()).add(w.encode())
     sent = df.sparkSession.sparkContext.broadcast(wanted)
 
     def counted(batches):
-        chars: dict[str | None, np.ndarray] = {}
+        chars: dict[str, np.ndarray] = {}
         totals: dict[str | None, int] = {}
-        times: dict[str | None, dict[bytes, int]] = {}
-        everywhere = sent.value.get(None, set())
-        either: dict[str | None, set[bytes]] = {}
+        times: dict[str, dict[bytes, int]] = {}
         for t, la in _rows(batches):
             if not t:
                 continue
+            if la is None:  # has no reference, but asks for one
+                totals[None] = totals.get(None, 0) + 1
+                continue
             words = words_of(t)
             chars[la] = chars.get(la, 0) + char_histogram(t)
             totals[la] = totals.get(la, 0) + len(words)
-            if la not in either:
-                either[la], times[la] = sent.value.get(la, set()) | everywhere, {}
-            mine, n = either[la], times[la]
+            mine, n = sent.value.get(la, set()), times.setdefault(la, {})
             for w in words:
                 if w in mine:
                     n[w] = n.get(w, 0) + 1
-        rows = []
-        for la in chars:  # each language, and all languages under None
-            for key, kept in {la: sent.value.get(la, set()), None: everywhere}.items():
-                rows += [(key, "c", str(i), int(n)) for i, n in enumerate(chars[la])] + [(key, "n", "", totals[la])]
-                rows += [(key, "w", w.decode("utf-8", "replace"), n) for w, n in times[la].items() if w in kept]
+        rows = [(la, "n", "", n) for la, n in totals.items()]
+        for la in chars:
+            rows += [(la, "c", str(i), int(n)) for i, n in enumerate(chars[la])]
+            rows += [(la, "w", w.decode("utf-8", "replace"), n) for w, n in times[la].items()]
         columns = list(zip(*rows)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(),) * 3 + (pa.int64(),))], ["l", "kind", "item", "n"])
 
     rows = source.mapInArrow(counted, "l string, kind string, item string, n long").groupBy("l", "kind", "item").agg(F.sum("n").alias("n")).collect()
-    chars: dict[str | None, np.ndarray] = {}
+    chars: dict[str, np.ndarray] = {}
     totals: dict[str | None, int] = {}
-    words: dict[str | None, list[tuple[int, str]]] = {}
+    words: dict[str, list[tuple[int, str]]] = {}
     for la, kind, item, n in rows:
         if kind == "c":
             chars.setdefault(la, np.zeros(len(CLASSES)))[int(item)] = n
@@ -206,13 +226,15 @@ def build_references(df: DataFrame, limits: Limits = Limits(), text: str = "text
             totals[la] = n
         else:
             words.setdefault(la, []).append((-n, item))
-    out: dict[str | None, Reference] = {}
+    out = References()
     for la, total in totals.items():
-        if la is not None and total < limits.min_reference_words or not total:
+        if la is None or total < limits.min_reference_words or not total:
             continue
         top = [x for x in sorted(words.get(la, [])) if -x[0] >= share * total][: limits.common_words]
         shares = np.array([-n for n, _ in top] + [total + sum(n for n, _ in top)], float)
         out[la] = Reference(chars[la], {w: i for i, (_, w) in enumerate(top)}, shares)
+    if out and (for_others or len(out) < len(totals)):
+        out.profiles = learn(df.where(F.col(lang).cast("string").isin(*out)), id_column=id_column, text=text, lang=lang)
     return out
 
 
@@ -244,29 +266,29 @@ def _decide(t: str, reference: Reference | None, limits: Limits) -> tuple:
     return len(words), *base, failed, good and not failed, by_char, by_word
 
 
-def keep(df: DataFrame, references: dict[str | None, Reference] | None = None, limits: Limits = Limits(), *, text: str = "text", lang: str = "lang") -> DataFrame:
+def keep(df: DataFrame, references: References | None = None, limits: Limits = Limits(), *, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``df``, with its columns, that ``judge`` keeps."""
     spark = df.sparkSession
     ship(spark)
     if references is None:
-        references = build_references(df, limits, text, lang)
+        references = build_references(df, limits, text, lang, id_column=id_column, for_others=False)
     sent = spark.sparkContext.broadcast(references)
 
     def kept(batches):
         refs = sent.value
         for batch in batches:
             rows = zip(batch.column(text).to_pylist(), batch.column(lang).to_pylist())
-            yield batch.filter(pa.array([_decide(t or "", refs.get(None if la is None else str(la), refs.get(None)), limits)[6] for t, la in rows], pa.bool_()))
+            yield batch.filter(pa.array([_decide(t or "", refs.of(t or "", None if la is None else str(la)), limits)[6] for t, la in rows], pa.bool_()))
 
     return df.mapInArrow(kept, df.schema)
 
 
-def judge(df: DataFrame, references: dict[str | None, Reference] | None = None, limits: Limits = Limits(), *, id_column: str = "doc_id", text: str = "text", lang: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
+def judge(df: DataFrame, references: References | None = None, limits: Limits = Limits(), *, id_column: str = "doc_id", text: str = "text", lang: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: the id, the columns in ``carry``, and those of OUT."""
     spark = df.sparkSession
     ship(spark)
     if references is None:
-        references = build_references(df, limits, text, lang)
+        references = build_references(df, limits, text, lang, id_column=id_column, for_others=False)
     sent = spark.sparkContext.broadcast(references)
     source = df.select(id_column, *carry, F.col(text).alias("__text"), F.col(lang).cast("string").alias("__lang"))
     kept_columns = [f for f in source.schema if f.name not in ("__text", "__lang")]
@@ -278,7 +300,7 @@ def judge(df: DataFrame, references: dict[str | None, Reference] | None = None,
             texts, langs = batch.column("__text").to_pylist(), batch.column("__lang").to_pylist()
             rows = []
             for t, la in zip(texts, langs):
-                rows.append(_decide(t or "", refs.get(la, refs.get(None)), limits))
+                rows.append(_decide(t or "", refs.of(t or "", la), limits))
             columns = list(zip(*rows)) or [[]] * 9
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
             names = [f.name for f in kept_columns]

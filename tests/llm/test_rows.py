@@ -89,6 +89,27 @@ def test_quality_rules_equal_brute_force(spark, docs):
     assert {r.doc_id for r in quality_rules.keep(df, refs, limits).collect()} == kept
 
 
+def test_quality_rules_without_a_language(spark):
+    rng = random.Random(6)
+    rows = corpus()
+    odd = [(500 + i, t, la, q) for i, t, _, q in rows for la in (None if i % 2 else f"x{i % 7}",) if i % 3 == 1 or i % 6 == 0 or not q][:60]
+    odd += [(900, "12 %% 34 $ " * 40 + "5", None, 0), (901, text_of(rng, PL, 200), None, 1), (902, text_of(rng, PL, 120), "pl", 1), (903, text_of(rng, PL, 20), "pl", 0)]
+    df = spark.createDataFrame(rows + odd, SCHEMA)
+    limits = quality_rules.Limits(min_reference_words=5_000)
+    got = {r.doc_id: r for r in quality_rules.judge(df, None, limits).collect()}
+    refs = quality_rules.build_references(df, limits)
+    assert sorted(refs) == ["de", "en"]
+    want = {i for i, _, _, q in rows + odd if q == 1}
+    assert {i for i, r in got.items() if r.kept} == want == {r.doc_id for r in quality_rules.keep(df, None, limits).collect()}
+    for i, t, *_ in odd[:-4]:  # as if the row had its language
+        assert (got[i].char_distance, got[i].word_distance, got[i].kept) == (got[i - 500].char_distance, got[i - 500].word_distance, got[i - 500].kept)
+    assert got[901].word_distance is None and got[902].char_distance is None and got[900].char_distance > 0.2
+    labelled = quality_rules.build_references(spark.createDataFrame(rows, SCHEMA), limits)
+    assert {r.doc_id for r in quality_rules.judge(df, labelled, limits).where("kept").collect()} == want
+    none = quality_rules.Limits(min_reference_words=10**9)
+    assert quality_rules.judge(df, None, none).where("char_distance is not null").isEmpty()
+
+
 def test_distance_is_jensen_shannon():
     p, q = np.array([1.0, 0, 3]), np.array([0.0, 2, 2])
     a, b = p / 4, q / 4
