@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.fixes import DEGREE_COLUMN, fix_value, split_name_and_degree
 from ..functions.nulls import is_null_like, quoted, strip
 from ..functions.rules import ENTITY_TYPE, NAME_COLUMNS, Rule, conditionally_complete, conforms, entity_type, matches, required_of
-from ..functions.states import CODES, foreign_postal, infer_city, infer_state, joined_address, normal_postal_code, state_code
+from ..functions.states import CODES, city_candidates, foreign_postal, infer_city, infer_state, joined_address, normal_postal_code, state_code
 from ..sources import reference
 from ..sources.catalog import MAILING, PRACTICE, find_column
 from ..sources.files import ROW
@@ -115,6 +115,12 @@ def _sibling(columns: list[str], name: str, what: str) -> Column | None:
     return quoted(found).cast("string") if found else None
 
 
+def _address(columns: list[str], name: str) -> Column:
+    """Both lines of the address that a column belongs to."""
+    lines = [_sibling(columns, name, what) for what in ("First Line", "Second Line")]
+    return joined_address(*[F.lit(None).cast("string") if x is None else x for x in lines])
+
+
 def _row(rec: Recommendation, original: Column, value: Column, reason: Column | str, *, column: str | None = None, kind: str | None = None, confidence: float | None = None) -> Column:
     text = F.lit(None).cast("string")
     return F.struct(
@@ -207,8 +213,11 @@ def conformity_outcome(df: DataFrame, rec: Recommendation, rule: Rule, *, as_of=
     return out
 
 
-def completeness_outcome(df: DataFrame, rec: Recommendation, rule: Rule | None, *, city: Column | None = None, postal: Column | None = None, city_map: Column | None = None, steps: Steps) -> Column | None:
-    """The repair of missing values: by the row's names, by its address, or by the suggested value.  None: nothing to do."""
+def completeness_outcome(df: DataFrame, rec: Recommendation, rule: Rule | None, *, city: Column | None = None, postal: Column | None = None, city_map: Column | None = None, agreed: Column | None = None, steps: Steps) -> Column | None:
+    """The repair of missing values: by the row's names, by its address, or by the suggested value.  None: nothing to do.
+
+    Candidates for a city are held against ``city_map``; ``agreed`` is what a join found, where the map is too large for that.
+    """
     name = rec.column_name
     v = quoted(find_column(df.columns, name)).cast("string")
     missing, none = steps.bind(0, is_null_like(v, name)), F.lit(None).cast("string")
@@ -228,8 +237,7 @@ def completeness_outcome(df: DataFrame, rec: Recommendation, rule: Rule | None,
         return F.when(F.coalesce(needed, F.lit(False)), _outcome(text=recommendation_text(rec, v, none, None), n_failed=1)).otherwise(_outcome())
     is_state, is_city = "State Name" in name and "Address" in name, "City Name" in name and "Address" in name
     if rec.fix_strategy == "context_imputation" and (is_state or is_city):
-        one, two = _sibling(df.columns, name, "First Line"), _sibling(df.columns, name, "Second Line")
-        address = joined_address(one if one is not None else none, two if two is not None else none)
+        address = _address(df.columns, name)
         code = _sibling(df.columns, name, "Postal Code")
         if is_state:
             value = infer_state(F.lit(""), city_state=city, address=address, postal_code=code, postal_state=postal)
@@ -239,6 +247,7 @@ def completeness_outcome(df: DataFrame, rec: Recommendation, rule: Rule | None,
             reason = "state inference from context"
         else:
             value, reason = infer_city(address, _sibling(df.columns, name, "State Name"), city_map), "city inference from context"
+            value = value if agreed is None else F.coalesce(agreed, value)
         value = steps.bind(1, value)
         done = _outcome(value, reason, recommendation_text(rec, v, value, None), n_fixed=1, rows=[_row(rec, None, value, reason)])
         failed = _outcome(text=recommendation_text(rec, v, none, None), n_failed=1, rows=[_row(rec, None, None, NO_INFERENCE)])
@@ -249,7 +258,7 @@ def completeness_outcome(df: DataFrame, rec: Recommendation, rule: Rule | None,
     return F.when(missing, _outcome(value, reason, recommendation_text(rec, v, value, None), n_fixed=1, rows=[_row(rec, None, value, reason)])).otherwise(_outcome())
 
 
-CITY_MAP_ROWS = 10_000  # up to so many cities are held as one literal map, for the choice among several candidates
+CITY_MAP_ROWS = 10_000  # up to so many cities are held as one literal map, for the choice among several candidates; more are joined
 
 
 def repair(df: DataFrame, recs: Iterable[Recommendation], rules: Mapping[str, Rule], *, maps: Maps | None = None, as_of=None, only_actionable: bool = True, kinds: Iterable[str] = ("conformity", "completeness"), recommendations_only: bool = False, city_suffix: str = "state_code") -> Repaired:
@@ -260,9 +269,9 @@ def repair(df: DataFrame, recs: Iterable[Recommendation], rules: Mapping[str, Ru
     maps, spark = maps or Maps(), df.sparkSession
     states = sorted({s for c, r in rules.items() if "State Name" in c and "Address" in c and r.rule_type == "enum" for s in r.rule_config.get("values", ())})
     base, plan, extra, steps = df, [], [], Steps()
-    city_map = None
+    city_map, few = None, False
     if maps.cities is not None and maps.cities.limit(CITY_MAP_ROWS + 1).count() <= CITY_MAP_ROWS:
-        pairs = maps.cities.collect()  # counted above
+        pairs, few = maps.cities.collect(), True  # counted above
         city_map = F.create_map(*[F.lit(x) for r in pairs for x in (r.city, r.state)]) if pairs else None
     for i, rec in enumerate(chosen(recs, only_actionable=only_actionable, kinds=kinds)):
         column = find_column(df.columns, rec.column_name)
@@ -280,7 +289,7 @@ def repair(df: DataFrame, recs: Iterable[Recommendation], rules: Mapping[str, Ru
                 extra.append(f"__f{i}")
             found = conformity_outcome(df, rec, rule, as_of=as_of, address_states=states, foreign=hit, city_suffix=city_suffix, steps=steps)
         elif rec.issue_type == "completeness":
-            by_city = by_code = None
+            by_city = by_code = agreed = None
             city, code = _sibling(df.columns, rec.column_name, "City Name"), _sibling(df.columns, rec.column_name, "Postal Code")
             if state and maps.cities is not None and city is not None:
                 base = reference.lookup(base, F.upper(strip(city)), maps.cities, "city", "state", f"__c{i}")
@@ -290,7 +299,14 @@ def repair(df: DataFrame, recs: Iterable[Recommendation], rules: Mapping[str, Ru
                 base = reference.postal_lookup(base, normal_postal_code(code), maps.postal, f"__p{i}")
                 by_code = F.col(f"__p{i}")
                 extra.append(f"__p{i}")
-            found = completeness_outcome(df, rec, rule, city=by_city, postal=by_code, city_map=city_map, steps=steps)
+            here = _sibling(df.columns, rec.column_name, "State Name")
+            if "City Name" in rec.column_name and "Address" in rec.column_name and rec.fix_strategy == "context_imputation" and maps.cities is not None and not few and here is not None:
+                named = city_candidates(F.coalesce(_address(df.columns, rec.column_name), F.lit("")))
+                named = F.when(is_null_like(quoted(column).cast("string"), rec.column_name) & (F.size(named) > 1), named)
+                base = reference.first_in_state(base, df, ROW, named, F.upper(strip(here)), maps.cities, f"__a{i}")
+                agreed = F.col(f"__a{i}")
+                extra.append(f"__a{i}")
+            found = completeness_outcome(df, rec, rule, city=by_city, postal=by_code, city_map=city_map, agreed=agreed, steps=steps)
         plan.append((rec, column, found))
     done = [(r, c, o) for r, c, o in plan if o is not None]
     if not done:

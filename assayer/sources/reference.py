@@ -74,6 +74,17 @@ def lookup(df: DataFrame, key: Column, table: DataFrame, table_key: str, value:
     return df.withColumn("__key", key).join(side, F.col("__key") == F.col("__k"), "left").drop("__key", "__k")
 
 
+def first_in_state(df: DataFrame, rows: DataFrame, row: str, candidates: Column, state: Column, cities: DataFrame, out: str) -> DataFrame:
+    """``df`` with ``out``, the first of the candidates that ``cities`` has in the row's state, or null.
+
+    Candidates and state are of ``rows``, the same rows as those of ``df`` by ``row``; only hits are joined back.
+    """
+    side = small(cities.select(F.col("city").alias("__k"), F.col("state").alias("__v")))
+    asked = rows.select(F.col(row).alias("__r"), state.alias("__s"), F.posexplode(candidates).alias("__n", "__x"))
+    hits = asked.join(side, (F.col("__x") == F.col("__k")) & (F.col("__s") == F.col("__v"))).groupBy("__r").agg(F.min_by("__x", "__n").alias(out))
+    return df.join(hits, F.col(row) == F.col("__r"), "left").drop("__r")
+
+
 def postal_lookup(df: DataFrame, code: Column, table: DataFrame, out: str) -> DataFrame:
     """The state of a normalized code in full, else of its first five digits, else of three."""
     for n, name in ((None, "__s0"), (5, "__s5"), (3, "__s3")):

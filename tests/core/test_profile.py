@@ -179,6 +179,19 @@ def test_context_imputation(spark):
     assert side == {(0, "City"): "BOSTON", (2, "City"): None, (0, "State"): None, (1, "State"): "MA", (2, "State"): "CA"}
 
 
+@pytest.mark.parametrize("others", [0, repair.CITY_MAP_ROWS])
+def test_city_agrees_with_state_whatever_the_size_of_the_map(spark, others):
+    place = "Provider Business Mailing Address"
+    lines = ["Springfield Gardens, Boston, Salem", "Springfield Gardens, Salem, Boston", "Springfield Gardens, Boston", "Springfield Gardens, Boston", "Boston", "Springfield Gardens, Boston", None]
+    cols = {"Provider First Line Business Mailing Address": lines, f"{place} City Name": [None] * 5 + ["Given", None], f"{place} State Name": ["ma", " MA ", "TX", None, "TX", "MA", "MA"]}
+    cities = spark.createDataFrame([("BOSTON", "MA"), ("SALEM", "MA"), *((f"TOWN {i}", "MA") for i in range(others))], "city string, state string")
+    rec = repair.Recommendation(f"{place} City Name", "completeness", "context_imputation", 0.8, True)
+    out = repair.repair(frame(spark, **cols), [rec], RULES, maps=repair.Maps(cities=cities))
+    got = {r[ROW]: r[f"{place} City Name__auto_fixed"] for r in out.table.collect()}
+    assert got == {0: "BOSTON", 1: "SALEM", 2: "SPRINGFIELD GARDENS", 3: "SPRINGFIELD GARDENS", 4: "BOSTON", 5: None, 6: None}
+    assert {r[ROW]: r.recommended_value for r in out.sidecar.collect()} == {i: x for i, x in got.items() if i != 5}
+
+
 def test_reports(spark):
     runs = spark.createDataFrame([("d", f"r{i}", n) for i, n in enumerate([1, 2, 3, 7])], "dataset_name string, run_id string, total_rows long")
     assert [r.run_id for r in reports.outlier_runs(runs).collect()] == ["r3"]  # upper median 3
