@@ -210,12 +210,13 @@ def fit(texts: list[str], labels: np.ndarray, *, size: int = 96, window: int = 2
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 2_400, longest: int = 100_000, **settings) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 2_400, sample_chars: int = 100_000_000, **settings) -> Model:
     """A model from at most ``sample`` labelled ids, those with the smallest hashes.
 
     The sample's size doesn't grow with the corpus, so its texts fit the driver,
-    and the broadcast of its ids is of bounded size.  Texts of more than ``longest``
-    characters are scored like any other but not learned from.
+    and the broadcast of its ids is of bounded size.  Texts of any length are learned
+    from: if those drawn have more than ``sample_chars`` characters, fewer ids are
+    taken, still by their hashes.
     """
     ship(docs.sparkSession)
     drawn = (
@@ -225,7 +226,16 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
         .orderBy(F.xxhash64("__id"), "__id")
         .limit(sample)
     )
-    rows = docs.select(F.col(id_column).alias("__id"), F.col(text).alias("__text")).where(F.coalesce(F.char_length("__text"), F.lit(0)) <= longest).join(F.broadcast(drawn), "__id").collect()
+    texts = docs.select(F.col(id_column).alias("__id"), F.col(text).alias("__text"))
+    sizes = texts.join(F.broadcast(drawn), "__id").groupBy("__id").agg(F.sum(F.coalesce(F.char_length("__text"), F.lit(0))).alias("n"), F.first("__label").alias("__label"))
+    taken, total = [], 0
+    for r in sizes.orderBy(F.xxhash64("__id"), "__id").collect():  # at most ``sample`` rows
+        total += r.n
+        if taken and total > sample_chars:
+            break
+        taken.append((r["__id"], r["__label"]))
+    taken = docs.sparkSession.createDataFrame(taken, drawn.schema)
+    rows = texts.join(F.broadcast(taken), "__id").collect()
     rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["__id"]).encode()), r["__text"] or ""))
     return fit([r["__text"] or "" for r in rows], np.array([r["__label"] for r in rows], np.float32), **settings)
 

@@ -149,6 +149,21 @@ def test_classifier_edge_cases(spark, docs):
     assert quality_classifier.score(docs.limit(0), nothing).count() == 0
 
 
+def test_classifier_learns_from_long_texts(spark, docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_classifier, "fit", lambda texts, y, **_: seen.append((sorted(map(len, texts)), len(y))))
+    few = docs.where("doc_id < 10").select("doc_id", "text").union(spark.createDataFrame([(500, "long " * 30_000)], "doc_id long, text string"))
+    labels = few.select("doc_id", F.lit(1).alias("quality"))
+    quality_classifier.learn(few, labels)
+    quality_classifier.learn(few, labels, sample_chars=2_000)
+    assert seen[0][1] == 11 and seen[0][0][-1] == 150_000
+    order = [r.n for r in few.orderBy(F.xxhash64("doc_id")).select(F.char_length("text").alias("n")).collect()]
+    k = max(k for k in range(1, 12) if k == 1 or sum(order[:k]) <= 2_000)
+    assert seen[1] == (sorted(order[:k]), k)
+    quality_classifier.learn(few, labels.limit(0))
+    assert seen[2] == ([], 0)
+
+
 def test_pooling_knows_the_tokens_of_the_stream():
     for t in ("The the the%% x", "a b\na b\nA1!! a", "", "\n\n", "é ÉÉ--"):
         words = Counter(quality_classifier.stream(t))
