@@ -5,13 +5,14 @@ from __future__ import annotations
 import atexit
 import os
 import uuid
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = str(Path(__file__).resolve().parents[2])
-#: Rows that a Python worker gets at once.
-BATCH_ROWS = 1_000
+#: Rows and bytes that a Python worker gets at once; a single row may have more bytes.
+BATCH_ROWS, BATCH_BYTES = 1_000, 32 << 20
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -24,6 +25,7 @@ def ship(spark: SparkSession) -> None:
     """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") or 0) not in range(1, BATCH_ROWS + 1):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if _ROOT not in paths:
@@ -33,11 +35,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    A cluster names it in spark.checkpoint.dir.  Where that is unset (tests, local
-    mode), a folder below the warehouse is used and set as the checkpoint folder.
+    A cluster names it in spark.checkpoint.dir.  Where that is unset in local mode, a
+    folder below the warehouse is used and set as the checkpoint folder; elsewhere
+    there is no such folder to guess, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set("spark.checkpoint.dir", named)
@@ -53,21 +58,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
+def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: lineage ends there.
 
-    ``slim`` is for rows of a few numbers: they come in a few files for each core
-    instead of one for each shuffle partition.
+    Tasks stay those of ``df``; adaptive execution merges small shuffle partitions, and
+    the scan packs small files.
     """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    (df.coalesce(few(spark)) if slim else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def few(spark: SparkSession) -> int:
-    """Tasks for work that more of them wouldn't speed up: four for each core."""
-    return 4 * spark.sparkContext.defaultParallelism
+def fresh(columns: Iterable[str], name: str) -> str:
+    """``name``, with as many underscores behind it as make it none of ``columns``, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def refuse_clash(carried: Iterable[str], results: Iterable[str]) -> None:
+    """An error for carried columns that have a result's name, since nobody could tell them apart."""
+    taken = {c.lower() for c in results}
+    if both := [c for c in carried if c.lower() in taken]:
+        raise ValueError(f"rename these columns, results have their names: {', '.join(both)}")
 
 
 def _clean() -> None:

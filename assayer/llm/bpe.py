@@ -12,11 +12,16 @@ Defined results
   null text      as an empty one: no ids
   null ids       as an empty list: no bytes
   repeated rows  each row is encoded by itself
+  long texts     cost time in proportion to their length; a row is one array of ids
+  extra columns  stay behind unless named in ``carry``; a carried one with the name
+                 of the result is refused
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 from itertools import accumulate
@@ -28,22 +33,30 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._run import ship
+from ._run import refuse_clash, ship
 
 CHUNK, OVERLAP, THREADS = 1 << 15, 512, 2
+#: Characters that the pattern looks at behind the end of a match that could be another one: of "'re" the last two.
+LOOK_AHEAD = 2
 
 
 def ends(text: str, pattern: regex.Pattern, start: int, stop: int) -> list[int]:
-    """Ends of the matches from ``start`` on that hold whatever follows ``stop``."""
+    """Ends of the matches from ``start`` on that hold whatever follows ``stop``.
+
+    A match that could have been longer, had more of the text been seen, ends less
+    than ``LOOK_AHEAD`` characters before ``stop``.
+    """
     found = list(accumulate(map(len, pattern.findall(text, start, stop, concurrent=True)), initial=start))[1:]
     if stop < len(text):
-        while found and found[-1] >= stop:
+        while found and found[-1] > stop - LOOK_AHEAD:
             found.pop()
     return found
 
 
 def pretokenise(text: str, pattern: regex.Pattern, chunk: int = CHUNK, overlap: int = OVERLAP, pool: ThreadPoolExecutor | None = None) -> list[str]:
-    """All matches of a pattern that covers every character, by chunks."""
+    """All matches of a pattern that covers every character, by chunks; the time grows with the text's length alone."""
+    if overlap <= LOOK_AHEAD or chunk < 1:
+        raise ValueError(f"chunks must overlap by more than {LOOK_AHEAD} characters")
     n = len(text)
     if n <= chunk:
         return pattern.findall(text)
@@ -55,9 +68,10 @@ def pretokenise(text: str, pattern: regex.Pattern, chunk: int = CHUNK, overlap:
         mine = {s, *part}
         k = next((k for k in range(_first(true, s), len(true)) if true[k] in mine), None)
         if k is None:  # no boundary in common: go on from the last one that is sure
-            true = true + ends(text, pattern, true[-1] if true else 0, span[3])
+            true += ends(text, pattern, true[-1] if true else 0, span[3])
         else:
-            true = true[: k + 1] + part[_first(part, true[k] + 1) :]
+            del true[k + 1 :]
+            true += part[_first(part, true[k] + 1) :]
     cuts = [0, *true]
     return [text[a:b] for a, b in zip(cuts, cuts[1:])] + ([text[cuts[-1] :]] if cuts[-1] < n else [])
 
@@ -68,26 +82,13 @@ def _first(values: list[int], least: int) -> int:
     return bisect_left(values, least)
 
 
-class Vocabulary:
-    """Ranks of a vocabulary file, and pieces met lately with their ids.
-
-    Pieces are kept in two generations of ``kept`` each, so frequent ones stay.
-    """
+class Pieces:
+    """Pre-tokenised pieces met lately with their ids, in two generations of ``kept`` each, so frequent ones stay."""
 
-    def __init__(self, path: str, pattern: str, kept: int = 150_000):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.pattern = regex.compile(pattern)
-        self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        tokens = [b""] * (max(ranks.values()) + 1)
-        for b, i in ranks.items():
-            tokens[i] = b
-        self.lengths = np.array([len(b) for b in tokens], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+    def __init__(self, pattern: str, ids_of: Callable[[str], list[int]], kept: int = 150_000):
+        self.pattern, self.ids_of, self.kept = regex.compile(pattern), ids_of, kept
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.kept = kept
 
     def encode(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, pool: ThreadPoolExecutor | None = None) -> np.ndarray:
         pieces = pretokenise(text, self.pattern, chunk, overlap, pool)
@@ -96,9 +97,25 @@ class Vocabulary:
         known, before = self.young, self.old
         for p in set(pieces):
             if p not in known:
-                known[p] = before.get(p) or np.array(self.library._encode_single_piece(p), np.int32).tobytes()
+                known[p] = before.get(p) or np.array(self.ids_of(p), np.int32).tobytes()
         return np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
 
+
+class Vocabulary(Pieces):
+    """Ranks of a vocabulary file."""
+
+    def __init__(self, path: str, pattern: str, kept: int = 150_000):
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        super().__init__(pattern, self.library._encode_single_piece, kept)
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for b, i in ranks.items():
+            tokens[i] = b
+        self.lengths = np.array([len(b) for b in tokens], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
     def decode(self, ids) -> bytes:
         """The bytes of all ids, one behind the other."""
         ids = np.asarray(ids, np.int64)
@@ -132,6 +149,7 @@ def encode(df: DataFrame, *, text: str = "text", path: str | None = None, patter
     ``path`` and ``pattern`` are found on each worker if not given.
     """
     ship(df.sparkSession)
+    refuse_clash(carry, (out,))
     source = df.select(*carry, F.col(text).alias("__text"))
     fields = source.schema.fields[:-1]
     names = [f.name for f in fields]
@@ -143,7 +161,7 @@ def encode(df: DataFrame, *, text: str = "text", path: str | None = None, patter
             for whole in batches:
                 for at in range(0, whole.num_rows, rows_at_once):
                     batch = whole.slice(at, rows_at_once)
-                    ids = [v.encode(t or "", chunk, overlap, pool) for t in batch.column("__text").to_pylist()]
+                    ids = [v.encode(t or "", chunk, overlap, pool) for t in batch.column(len(names)).to_pylist()]
                     cuts = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
                     yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [lists], [*names, out])
@@ -154,6 +172,7 @@ def encode(df: DataFrame, *, text: str = "text", path: str | None = None, patter
 def decode(df: DataFrame, *, ids: str = "token_ids", path: str | None = None, pattern: str | None = None, out: str = "decoded", rows_at_once: int = 256) -> DataFrame:
     """``df`` with the bytes that its ids stand for."""
     ship(df.sparkSession)
+    refuse_clash(df.columns, (out,))
     fields = df.schema.fields
     names = [f.name for f in fields]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{out}` binary"])
@@ -169,3 +188,29 @@ def decode(df: DataFrame, *, ids: str = "token_ids", path: str | None = None, pa
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*names, out])
 
     return df.mapInArrow(decoded, schema)
+
+
+def digests(df: DataFrame, *, ids: str = "token_ids", decoded: str = "decoded", carry: tuple[str, ...] = ("doc_id",), block: int = 1 << 16) -> DataFrame:
+    """The columns in ``carry``, ``n_tokens``, and SHA-256 of the ids (decimal, joined by one space) and of the decoded bytes.
+
+    Ids are hashed block by block, so no text of all of them is ever held.
+    """
+    ship(df.sparkSession)
+    refuse_clash(carry, ("n_tokens", "ids_sha256", "decoded_sha256"))
+    source = df.select(*carry, F.col(ids), F.col(decoded))
+    names = [f.name for f in source.schema.fields[:-2]]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-2]] + ["n_tokens long, ids_sha256 string, decoded_sha256 string"])
+
+    def hashed(batches):
+        for batch in batches:
+            lists, rows = batch.column(len(names)), []
+            values, cuts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            for a, b, data in zip(cuts[:-1].tolist(), cuts[1:].tolist(), batch.column(len(names) + 1)):
+                h = hashlib.sha256()
+                for at in range(a, b, block):
+                    h.update((" " * (at > a) + " ".join(map(str, values[at : min(b, at + block)].tolist()))).encode())
+                rows.append((b - a, h.hexdigest(), hashlib.sha256(data.as_buffer() or b"").hexdigest()))
+            columns = list(zip(*rows)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string())))], [*names, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return source.mapInArrow(hashed, schema)
