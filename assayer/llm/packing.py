@@ -10,17 +10,22 @@ are.
 Each partition of the input packs its own windows, so nothing is shuffled and no
 task sees more than its partition.  Open windows are bounded: when there are more
 than ``max_open`` of them, or at a partition's end, the emptiest are dissolved and
-their pieces, cut where needed, fill the fullest.  One window of a partition at
-most then stays unfilled.
+their pieces placed again by the same rule, now without new windows.  A piece that
+no window has room for fills the emptiest one, and its rest is placed in turn.  One
+window of a partition at most then stays unfilled.
 
 Defined results
   null text       packed as an empty one: the end id alone
   repeated rows   each row is packed by itself
   null id         carried as null
+  long texts      of any kind and length are encoded in linear time; a document
+                  of more than a window is cut into whole windows and a rest
+  extra columns   stay behind; an id column with the name of a result is refused
 """
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from ._run import ship
+from ._run import refuse_clash, ship
 
 CAPACITY, END_ID, SPECIAL = 1024, 0, "<|endoftext|>"
 
@@ -55,17 +60,18 @@ class Packer:
         self.open = 0
         self.closed: list[list[Piece]] = []
 
-    def place(self, size: int) -> int:
-        """The level of the window to put ``size`` ids into (0: a new one)."""
+    def place(self, size: int, new: bool = True) -> int:
+        """The level of the window to put ``size`` ids into (0: a new one; without ``new``, none has room)."""
         n, c = self.levels, self.capacity
         before = n[: c - size + 1].copy()
         after = n[size : c + 1]
         growth = 2 * (after - before) + 2
         growth[before == 0] = np.iinfo(np.int64).max
-        growth[0] = 2 * n[size] + 1
+        growth[0] = 2 * n[size] + 1 if new else np.iinfo(np.int64).max
         if before[c - size] and c - size:  # a full window counts no more
             growth[c - size] = 1 - 2 * before[c - size]
-        return int(len(growth) - 1 - np.argmin(growth[::-1]))  # of equals, the fullest
+        level = int(len(growth) - 1 - np.argmin(growth[::-1]))  # of equals, the fullest
+        return level if new or growth[level] < np.iinfo(np.int64).max else 0
 
     def add(self, document: int, ids: np.ndarray) -> None:
         whole = len(ids) // self.capacity * self.capacity
@@ -97,75 +103,82 @@ class Packer:
             self.windows[level].append(window)
 
     def compact(self, most: int) -> None:
-        """Dissolves the emptiest windows into the fullest until ``most`` at most are open."""
-        order = [(level, w) for level in range(self.capacity - 1, 0, -1) for w in self.windows[level]]
-        first, last, room = 0, len(order) - 1, 0
-        spare: list[Piece] = []
-        while last - first + 1 > most and first < last:
-            level, window = order[first]
-            while level < self.capacity and (spare or first < last):
-                if not spare:
-                    spare = order[last][1][::-1]
-                    last -= 1
-                piece, room = spare.pop(), self.capacity - level
-                if len(piece.ids) > room:
-                    spare.append(Piece(piece.document, piece.start + room, piece.ids[room:]))
-                    piece = Piece(piece.document, piece.start, piece.ids[:room])
-                window.append(piece)
-                level += len(piece.ids)
-            order[first] = (level, window)
-            if level == self.capacity:
-                self.closed.append(window)
-                first += 1
-        rest = [w for _, w in order[first : last + 1]]
-        if spare:
-            rest.append(spare[::-1])
-        self.levels[:], self.open = 0, 0
-        self.windows = [[] for _ in range(self.capacity)]
-        for window in rest:
-            self._keep(window, sum(len(p.ids) for p in window))
+        """Dissolves the emptiest windows into the others until ``most`` at most are open."""
+        while self.open > most:
+            for piece in self._take(self._emptiest()):
+                self._refill(piece)
+
+    def _emptiest(self) -> int:
+        return int(np.flatnonzero(self.levels)[0])
+
+    def _refill(self, piece: Piece) -> None:
+        while self.open:
+            size = len(piece.ids)
+            if size <= self.capacity and (level := self.place(size, new=False)):
+                self._keep([*self._take(level), piece], level + size)
+                return
+            level = self._emptiest()
+            room = self.capacity - level
+            self._keep([*self._take(level), Piece(piece.document, piece.start, piece.ids[:room])], self.capacity)
+            piece = Piece(piece.document, piece.start + room, piece.ids[room:])
+        self._keep([piece], len(piece.ids))
 
     def finish(self) -> None:
-        while self.open > 1:
-            self.compact(1)
+        self.compact(1)
         for level in range(self.capacity):
             self.closed += self.windows[level]
         self.levels[:], self.open = 0, 0
         self.windows = [[] for _ in range(self.capacity)]
 
 
-@lru_cache(maxsize=1)
-def _library(path: str):
-    from tokenizers import Tokenizer
+class Tokenizer:
+    """The ids that the tokenizers library gives for a file of a byte-level vocabulary.
 
-    return Tokenizer.from_file(path)
+    Texts are split as that library does, and each different piece is encoded by its
+    model once.  Characters that are unassigned in the Unicode version of this Python
+    can be letters to one splitter and not to another, so a text with one of them goes
+    through the library whole.
+    """
 
+    def __init__(self, path: str, pattern: str, special: str = SPECIAL):
+        import tokenizers
 
-def token_ids(text: str, json_path: str, ranks: bpe.Vocabulary) -> np.ndarray:
-    """The ids that the tokenizers library gives for ``json_path``.
+        self.library = tokenizers.Tokenizer.from_file(path)
+        self.special, self.special_id = special, self.library.token_to_id(special)
+        alphabet = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        model = self.library.model
+        self.pieces = bpe.Pieces(pattern, lambda p: [t.id for mapped, _ in alphabet.pre_tokenize_str(p) for t in model.tokenize(mapped)])
 
-    The rank file holds the same vocabulary and is several times as fast, so it
-    serves texts of Latin-1 characters without the special token's string; on
-    these both give the same ids.  All other texts go to the library itself.
-    """
-    try:
-        text.encode("latin-1")
-        if SPECIAL not in text:
-            return np.asarray(ranks.library.encode_to_numpy(text, disallowed_special=()), np.uint32)
-    except UnicodeEncodeError:
-        pass
-    return np.asarray(_library(json_path).encode(text, add_special_tokens=False).ids, np.uint32)
+    def encode(self, text: str) -> np.ndarray:
+        if not text.isascii() and _unassigned()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
+            return np.asarray(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        parts = text.split(self.special) if self.special_id is not None else [text]
+        out = [self.pieces.encode(parts[0])]
+        for part in parts[1:]:
+            out += [np.array([self.special_id], np.int32), self.pieces.encode(part)]
+        return np.concatenate(out).astype(np.uint32)
+
+
+@lru_cache(maxsize=1)
+def _unassigned() -> np.ndarray:
+    return np.fromiter((unicodedata.category(chr(i)) == "Cn" for i in range(0x110000)), bool, 0x110000)
+
+
+@lru_cache(maxsize=1)
+def tokenizer(path: str, pattern: str) -> Tokenizer:
+    return Tokenizer(path, pattern)
 
 
 OUT = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(df: DataFrame, *, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY, max_open: int = 2048, json_path: str | None = None, ranks_path: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, *, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY, max_open: int = 2048, json_path: str | None = None, with_ids: bool = False) -> DataFrame:
     """A row for each piece: where it lies in its document and in its sequence; ``with_ids`` adds the ids.
 
     ``sequence_id`` joins the partition's number and a count, so it is unique.
     """
     ship(df.sparkSession)
+    refuse_clash((id_column,), [*(x.split()[0] for x in OUT.split(", ")), "token_ids"])
     source = df.select(F.col(id_column), F.col(text).alias("__text"))
     kind = source.schema[0].dataType.simpleString()
     names = [id_column, *[x.split()[0] for x in OUT.split(", ")]] + ["token_ids"] * with_ids
@@ -174,8 +187,7 @@ def pack(df: DataFrame, *, id_column: str = "doc_id", text: str = "text", capaci
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        json_file = json_path or public_tokenizers.path("byte_bpe_50k.json")
-        ranks = bpe.vocabulary(ranks_path or bpe.default_path(), bpe.default_pattern())
+        encoder = tokenizer(json_path or public_tokenizers.path("byte_bpe_50k.json"), bpe.default_pattern())
         packer = Packer(capacity, max_open)
         documents: dict[int, list] = {}  # place: id, its tokens, tokens not yet given out
         context = TaskContext.get()
@@ -202,7 +214,7 @@ def pack(df: DataFrame, *, id_column: str = "doc_id", text: str = "text", capaci
         for batch in batches:
             id_type = batch.column(0).type
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(token_ids(t or "", json_file, ranks), np.uint32(END_ID))
+                ids = np.append(encoder.encode(t or ""), np.uint32(END_ID))
                 documents[place] = [doc, len(ids), len(ids)]
                 packer.add(place, ids)
                 place += 1
