@@ -14,6 +14,9 @@ Defined results
   rows without label, or
   with a null label         scored, not learned from
   an id labelled twice      its mean label, 1 from one half on
+  an id with several texts  one of them is learned from, the one with the least hash
+  long texts                are learned from and scored whole; no text comes to the driver
+  extra columns             stay behind unless carried; a carried ``score`` is refused
   one class or none in the
   sample                    the smoothed share of label 1 is everyone's score
   repeated rows             each row is scored by itself
@@ -22,7 +25,8 @@ Defined results
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 from operator import eq
@@ -33,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._run import ship
+from ._run import cut, refuse_clash, ship
 
 REPEATED_WORD, REPEATED_LINE = "\x00word", "\x00line"
 _RUNS = ((re.compile(r"[^\W\d_]+"), None), (re.compile(r"\d+"), "9"))
@@ -47,7 +51,7 @@ def shape(word: str) -> str:
         x = m[0]
         return "A" if x.isupper() and len(x) > 1 else "Aa" if x[0].isupper() else "a"
 
-    return _SIGNS.sub(r"\1\1", _RUNS[1][0].sub("9", _RUNS[0][0].sub(letters, word)))[:12]
+    return _SIGNS.sub(r"\1\1", _RUNS[1][0].sub("9", _RUNS[0][0].sub(letters, word)))
 
 
 def word_tokens(word: str) -> tuple[str, ...]:
@@ -134,19 +138,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x).astype(np.float64) / self.temperature, -60, 60)))
 
 
-def word_vectors(texts: Iterable[str], size: int, window: int, most_tokens: int, least_times: int = 3) -> tuple[dict[str, int], np.ndarray]:
-    """Random indexing over the sample: unit vectors of its tokens, the most frequent ``most_tokens``."""
-    streams = [stream(t) for t in texts]
-    times: dict[str, int] = {}
-    for s in streams:
-        for t in s:
-            times[t] = times.get(t, 0) + 1
-    chosen = sorted((t for t, n in times.items() if n >= least_times), key=lambda t: (-times[t], t))[:most_tokens]
-    tokens = {t: i for i, t in enumerate(chosen)}
-    index = np.stack([index_vector(t, size) for t in chosen]) if chosen else np.zeros((0, size), np.float32)
-    around = np.zeros_like(index)
-    for s in _groups(streams, 20_000):
-        ids = np.fromiter(chain.from_iterable((*(tokens.get(t, -1) for t in x), *[-1] * window) for x in s), np.int32)
+def context_sums(texts: Iterable[str], tokens: dict[str, int], index: np.ndarray, window: int) -> np.ndarray:
+    """For each token, the sum of the index vectors of its neighbours: whole numbers, so the order of adding is of no account."""
+    around = np.zeros(index.shape)
+    for group in _groups(map(stream, texts), 20_000):
+        ids = np.fromiter(chain.from_iterable((*(tokens.get(t, -1) for t in x), *[-1] * window) for x in group), np.int32)
         for apart in range(1, window + 1):
             left, right = ids[:-apart], ids[apart:]
             both = (left >= 0) & (right >= 0)
@@ -154,13 +150,18 @@ def word_vectors(texts: Iterable[str], size: int, window: int, most_tokens: int,
                 order = np.argsort(a, kind="stable")
                 which, first = np.unique(a[order], return_index=True)
                 if len(which):
-                    around[which] += np.add.reduceat(index[b[order]], first, axis=0)
+                    around[which] += np.add.reduceat(index[b[order]].astype(np.float64), first, axis=0)
+    return around
+
+
+def word_vectors(index: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """A token's neighbours, as a unit vector, and its own index vector, as another."""
     norm = np.linalg.norm(around, axis=1, keepdims=True)
-    vectors = around / np.where(norm > 0, norm, 1) + index / np.sqrt(8)
-    return tokens, vectors.astype(np.float32)
+    ones = np.linalg.norm(index.astype(np.float64), axis=1, keepdims=True)
+    return (around / np.where(norm > 0, norm, 1) + index / np.where(ones > 0, ones, 1)).astype(np.float32)
 
 
-def _groups(streams: list[list[str]], tokens: int) -> Iterable[list[list[str]]]:
+def _groups(streams: Iterable[list[str]], tokens: int) -> Iterator[list[list[str]]]:
     group, n = [], 0
     for s in streams:
         group.append(s)
@@ -172,15 +173,12 @@ def _groups(streams: list[list[str]], tokens: int) -> Iterable[list[list[str]]]:
         yield group
 
 
-def fit(texts: list[str], labels: np.ndarray, *, size: int = 96, window: int = 2, hidden: int = 32, most_tokens: int = 8_000, steps: int = 300, seed: int = 11) -> Model:
-    """A model from labelled texts; every fifth is kept from training, for the temperature."""
-    tokens, vectors = word_vectors(texts, size, window, most_tokens)
-    model = Model(tokens, vectors, np.zeros(size + 2, np.float32), np.ones(size + 2, np.float32))
+def fit(model: Model, x: np.ndarray, labels: np.ndarray, *, hidden: int = 32, steps: int = 300, seed: int = 11) -> Model:
+    """Fits the network to pooled documents; every fifth is kept from training, for the temperature."""
     labels = np.asarray(labels, np.float32)
     if len(labels) < 10 or labels.min() == labels.max():
         model.constant = float((labels.sum() + 1) / (len(labels) + 2))
         return model
-    x = np.stack([model.pooled(t) for t in texts])
     kept = np.arange(len(x)) % 5 == 4
     if labels[kept].min() == labels[kept].max() or labels[~kept].min() == labels[~kept].max():
         kept = np.zeros(len(x), bool)
@@ -210,40 +208,70 @@ def fit(texts: list[str], labels: np.ndarray, *, size: int = 96, window: int = 2
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 2_400, sample_chars: int = 100_000_000, **settings) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 2_400, size: int = 96, window: int = 2, most_tokens: int = 8_000, least_times: int = 3, **network) -> Model:
     """A model from at most ``sample`` labelled ids, those with the smallest hashes.
 
-    The sample's size doesn't grow with the corpus, so its texts fit the driver,
-    and the broadcast of its ids is of bounded size.  Texts of any length are learned
-    from: if those drawn have more than ``sample_chars`` characters, fewer ids are
-    taken, still by their hashes.
+    The sample's size doesn't grow with the corpus, so the broadcast of its ids is of
+    bounded size.  Its texts, of any length, stay in a table: tasks count tokens, add
+    up contexts and pool documents.  What comes to the driver is the ``most_tokens``
+    most frequent tokens (of ``least_times`` at least), their sums, and the pooled
+    documents.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     drawn = (
         labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull())
-        .groupBy(F.col(id_column).alias("__id"))
-        .agg((F.avg(label) >= 0.5).cast("int").alias("__label"))
-        .orderBy(F.xxhash64("__id"), "__id")
+        .groupBy(F.col(id_column).alias("id"))
+        .agg((F.avg(label) >= 0.5).cast("int").alias("label"))
+        .orderBy(F.xxhash64("id"), "id")
         .limit(sample)
     )
-    texts = docs.select(F.col(id_column).alias("__id"), F.col(text).alias("__text"))
-    sizes = texts.join(F.broadcast(drawn), "__id").groupBy("__id").agg(F.sum(F.coalesce(F.char_length("__text"), F.lit(0))).alias("n"), F.first("__label").alias("__label"))
-    taken, total = [], 0
-    for r in sizes.orderBy(F.xxhash64("__id"), "__id").collect():  # at most ``sample`` rows
-        total += r.n
-        if taken and total > sample_chars:
-            break
-        taken.append((r["__id"], r["__label"]))
-    taken = docs.sparkSession.createDataFrame(taken, drawn.schema)
-    rows = texts.join(F.broadcast(taken), "__id").collect()
-    rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["__id"]).encode()), r["__text"] or ""))
-    return fit([r["__text"] or "" for r in rows], np.array([r["__label"] for r in rows], np.float32), **settings)
+    drawn = F.broadcast(cut(drawn, "drawn"))  # ``sample`` rows at most
+    texts = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(drawn, "id")
+    rows = texts.groupBy("id", "label").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
+    rows = cut(rows.repartition(spark.sparkContext.defaultParallelism, "id"), "sample")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = Counter(chain.from_iterable(stream(t) for batch in batches for t in batch.column(0).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(times), pa.string()), pa.array(list(times.values()), pa.int64())], ["token", "n"])
+
+    found = rows.select("t").mapInArrow(counted, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    chosen = [r.token for r in found.where(F.col("n") >= least_times).orderBy(F.desc("n"), "token").limit(most_tokens).collect()]
+    tokens = {t: i for i, t in enumerate(chosen)}
+    index = np.stack([index_vector(t, size) for t in chosen]).astype(np.int8) if chosen else np.zeros((0, size), np.int8)
+    sent = spark.sparkContext.broadcast((tokens, index))
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, vectors = sent.value
+        around = context_sums((t for batch in batches for t in batch.column(0).to_pylist()), known, vectors, window)
+        some = np.flatnonzero(around.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(list(around[some]), pa.list_(pa.float64()))], ["token", "sums"])
+
+    parts = rows.select("t").mapInArrow(added, "token int, sums array<double>")
+    sums = parts.groupBy("token").agg(F.array(*[F.sum(F.get("sums", F.lit(d))) for d in range(size)]).alias("sums")).collect()
+    around = np.zeros(index.shape)
+    for r in sums:
+        around[r.token] = r.sums
+    model = Model(tokens, word_vectors(index, around), np.zeros(size + 2, np.float32), np.ones(size + 2, np.float32))
+    told = spark.sparkContext.broadcast(model)
+
+    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [told.value.pooled(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float32()))], ["h", "label", "x"])
+
+    made = rows.select(F.xxhash64("id").alias("h"), "label", "t").mapInArrow(pooled, "h long, label int, x array<float>").orderBy("h", "label", "x").collect()
+    sent.destroy()
+    told.destroy()
+    x = np.array([r.x for r in made], np.float32).reshape(len(made), size + 2)
+    return fit(model, x, np.array([r.label for r in made], np.float32), **network)
 
 
 def score(df: DataFrame, model: Model, *, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in ``carry`` and ``score``, the calibrated probability of label 1."""
     spark = df.sparkSession
     ship(spark)
+    refuse_clash(carry, ("score",))
     sent = spark.sparkContext.broadcast(model)
     source = df.select(*carry, F.col(text).alias("__text"))
     fields = source.schema.fields[:-1]
@@ -253,7 +281,7 @@ def score(df: DataFrame, model: Model, *, text: str = "text", carry: tuple[str,
     def scored(batches):
         m = sent.value
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
+            texts = batch.column(len(names)).to_pylist()
             x = np.stack([m.pooled(t) for t in texts]) if texts else np.zeros((0, len(m.mean)), np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(m.scores(x), pa.float64())], [*names, "score"])
 
