@@ -17,6 +17,9 @@ Defined results
                         are responses
   repeated largest ids  each of these rows is a response
   null address          an empty target URI
+  long payloads         a record is held whole by one task; archives are of bounded size
+  a frequent payload    its rows are dealt over many tasks; revisits carry no body
+  extra columns         stay behind
 """
 
 from __future__ import annotations
@@ -38,9 +41,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._run import cut, few, scratch, ship
+from ._run import cut, scratch, ship
 
 RECORDS, INDEX, ABOUT = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
+ARCHIVES_AT_ONCE = 4  # that a task reads, at most
 DATE = "1970-01-01T00:00:00Z"
 _END, _END64, _LOCATOR64, _ENTRY, _LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 
@@ -176,7 +180,8 @@ class _Counted(io.RawIOBase):
 def write(df: DataFrame, folder: str, *, id_column: str = "page_id", url: str = "url", payload: str = "html", archive_bytes: int = 64 << 20, zip64: bool = False) -> DataFrame:
     """Writes archives into ``folder``, an address that all executors reach, and returns their list.
 
-    A task writes archives of about ``archive_bytes``, under names of its own, so an
+    Tasks are those of the join, which adaptive execution sizes by bytes.  A task
+    writes archives of about ``archive_bytes``, under names of its own, so an
     attempt that is repeated leaves no part of another's; only the archives of
     attempts that succeeded are in the list.
     """
@@ -184,8 +189,11 @@ def write(df: DataFrame, folder: str, *, id_column: str = "page_id", url: str =
     ship(spark)
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("body"))
     rows = rows.withColumn("sha", F.unhex(F.sha1(F.col("body").cast("binary"))))
-    largest = rows.select("id", "sha").groupBy("sha").agg(F.max("id").alias("largest"))
-    source = rows.join(largest, "sha").select("id", "url", "body", "largest").coalesce(few(spark))  # rather large archives than many
+    several = rows.select("id", "sha").groupBy("sha").agg(F.max("id").alias("largest"), F.count("*").alias("n")).where("n > 1").select("sha", "largest", F.lit(True).alias("several"))
+    several = cut(several, "several")  # a table, so that the join can be split at a frequent payload
+    joined = rows.join(several, "sha", "left").withColumn("largest", F.when(F.col("several"), F.col("largest")).otherwise(F.col("id")))
+    response = F.col("id").eqNullSafe(F.col("largest"))
+    source = joined.select("id", "url", F.when(response, F.col("body")).alias("body"), F.octet_length("body").cast("long").alias("size"), "sha", "largest", response.alias("response"))
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
@@ -200,15 +208,14 @@ def write(df: DataFrame, folder: str, *, id_column: str = "page_id", url: str =
             done.append((path, len(archive.index)))
 
         for batch in batches:
-            for page, address, body, top in zip(*(c.to_pylist() for c in batch.columns)):
+            for page, address, body, size, sha, top, is_response in zip(*(c.to_pylist() for c in batch.columns)):
                 if archive is None:
                     path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.wacz"
                     stream = fs.open_output_stream(f"{base}/{path.rsplit('/', 1)[1]}")
                     archive = ArchiveWriter(_Counted(stream), zip64)
-                data = body.encode("utf-8", "surrogatepass")
-                kind = "response" if page == top else "revisit"
                 address = " ".join(address.split())
-                archive.add(address, record(kind, page, address, data if kind == "response" else None, len(data), digest(data), None if kind == "response" else top))
+                data = body.encode("utf-8", "surrogatepass") if is_response else None
+                archive.add(address, record("response" if is_response else "revisit", page, address, data, size, base64.b32encode(sha).decode(), None if is_response else top))
                 if archive.at >= archive_bytes:
                     close()
                     archive = None
@@ -282,7 +289,7 @@ def read(archives: DataFrame, *, archive: str = "archive", with_payload: bool =
                 yield given(rows)
 
     paths = archives.select(archive)
-    return paths.repartition(tasks or few(spark)).mapInArrow(found, schema)
+    return paths.repartition(tasks or max(spark.sparkContext.defaultParallelism, -(-paths.count() // ARCHIVES_AT_ONCE))).mapInArrow(found, schema)
 
 
 def round_trip(spark: SparkSession, df: DataFrame, **names: str) -> DataFrame:
