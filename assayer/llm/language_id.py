@@ -11,7 +11,13 @@ Defined results
   null text, or no letter    ``und`` with score 0
   no profile at all          ``und`` with score 0
   null language              such a row is not learned from, but is predicted
-  repeated rows              each row is predicted by itself
+  repeated rows              each row is predicted by itself; learned from once
+  null ids                   rows are drawn by id and text, so they are drawn as any other
+  very many languages        each is one column of sparse ranks; what comes to the
+                             driver is ``size`` n-grams of each
+  long texts                 are read whole; a text's n-grams are numbers in arrays
+  extra columns              stay behind unless carried; a carried one with a result's
+                             name is refused
 """
 
 from __future__ import annotations
@@ -24,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._run import ship
+from ._run import cut, refuse_clash, ship
 
 UNKNOWN = "und"
 #: Mean difference in rank beyond which a text is of no known language.  On sf0.1, with the sizes that
@@ -34,7 +41,9 @@ UNKNOWN = "und"
 MAX_DISTANCE = 0.6
 #: A text of fewer different n-grams tells less, so its limit rises in proportion, by ``FEW_ALLOWANCE`` at most.
 FEW_GRAMS, FEW_ALLOWANCE = 100, 0.2
-_BITS = 21  # of a code point
+_BITS, MOST_ORDERS = 21, 3  # bits of a code point, and how many of these an integer holds
+#: Learned languages up to which their sampling shares are broadcast; of more they are joined like any table.
+_BROADCAST_LANGUAGES = 20_000
 
 
 @lru_cache(maxsize=1)
@@ -44,6 +53,8 @@ def _letters() -> np.ndarray:
 
 def grams(text: str, orders: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams as integers, ascending, and how often each occurs; a gram holds one letter at least."""
+    if not 1 <= orders <= MOST_ORDERS:
+        raise ValueError(f"n-grams of 1 to {MOST_ORDERS} characters fit an integer, not of {orders}")
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[codes]
     if not letter.any():
@@ -70,10 +81,12 @@ def most_frequent(values: np.ndarray, counts: np.ndarray, size: int) -> np.ndarr
 
 @dataclass
 class Profiles:
-    """Ranks of all profiles' n-grams: a row for each n-gram, a column for each language."""
+    """Ranks of all profiles' n-grams: of each n-gram, the languages that hold it and its rank in each."""
 
     languages: list[str]
-    values: np.ndarray
+    values: np.ndarray  # all n-grams, ascending
+    starts: np.ndarray  # where each one's languages begin, and the end of all
+    holders: np.ndarray  # places in ``languages``
     ranks: np.ndarray
     size: int
     document_size: int
@@ -81,11 +94,13 @@ class Profiles:
     @classmethod
     def of(cls, tops: dict[str, np.ndarray], size: int, document_size: int) -> Profiles:
         languages = sorted(tops)
-        values = np.unique(np.concatenate([tops[x] for x in languages])) if languages else np.empty(0, np.int64)
-        ranks = np.full((len(values), len(languages)), -1, np.int64)
-        for k, x in enumerate(languages):
-            ranks[np.searchsorted(values, tops[x]), k] = np.arange(len(tops[x]))
-        return cls(languages, values, ranks, size, document_size)
+        lengths = [len(tops[x]) for x in languages]
+        grams_of = np.concatenate([np.empty(0, np.int64), *(tops[x] for x in languages)])
+        holders = np.repeat(np.arange(len(languages)), lengths)
+        ranks = np.concatenate([np.empty(0, np.int64), *(np.arange(n) for n in lengths)])
+        order = np.argsort(grams_of, kind="stable")
+        values, first = np.unique(grams_of[order], return_index=True)
+        return cls(languages, values, np.append(first, len(order)), holders[order].astype(np.int32), ranks[order].astype(np.int32), size, document_size)
 
     def distances(self, text: str | None, orders: int = 3) -> np.ndarray | None:
         """Mean difference in rank to each language, from 0 to 1; None without a letter."""
@@ -106,9 +121,13 @@ class Profiles:
             return None, 0
         top = most_frequent(values, counts, self.document_size)
         at = np.minimum(np.searchsorted(self.values, top), len(self.values) - 1)
-        ranks = np.where((self.values[at] == top)[:, None], self.ranks[at], -1)
-        apart = np.where(ranks < 0, self.size, np.minimum(np.abs(ranks - np.arange(len(top))[:, None]), self.size))
-        return apart.sum(0) / (self.size * len(top)), len(top)
+        places = np.flatnonzero(self.values[at] == top)
+        begin, n = self.starts[at[places]], self.starts[at[places] + 1] - self.starts[at[places]]
+        mine = np.repeat(places, n)
+        where = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+        saved = self.size - np.minimum(np.abs(self.ranks[where] - mine), self.size)  # of the difference for a gram that is lacking
+        total = np.bincount(self.holders[where], saved, len(self.languages))
+        return (self.size * len(top) - total) / (self.size * len(top)), len(top)
 
 
 def held_in(id_column: str, folds: int, fold: int) -> Column:
@@ -120,18 +139,17 @@ def learn(df: DataFrame, *, id_column: str = "doc_id", text: str = "text", lang:
     """Profiles from rows with a language.
 
     ``sample_per_language`` bounds what is learned from: rows are taken by the hash
-    of their id, with the chance that makes so many rows of a language expected.
+    of their id and text, with the chance that makes so many rows of a language
+    expected, and equal ones once.
     """
     spark = df.sparkSession
     ship(spark)
-    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(id_column)).alias("h"))
-    shares = {r.l: min(1.0, sample_per_language / r.n) for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    if not shares:
-        return Profiles.of({}, size, document_size)
-    chance = F.lit(0.0)
-    for la, p in shares.items():
-        chance = F.when(F.col("l") == la, F.lit(p)).otherwise(chance)
-    taken = rows.where((F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))) < chance).select("l", "t")
+    if not 1 <= orders <= MOST_ORDERS:
+        raise ValueError(f"n-grams of 1 to {MOST_ORDERS} characters fit an integer, not of {orders}")
+    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(id_column), F.col(text)).alias("h"))
+    shares = cut(rows.groupBy("l").agg(F.least(F.lit(1.0), F.lit(float(sample_per_language)) / F.count("*")).alias("p")), "shares")
+    chances = F.broadcast(shares) if shares.count() <= _BROADCAST_LANGUAGES else shares
+    taken = rows.join(chances, "l").where((F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))) < F.col("p")).dropDuplicates(["l", "h"]).select("l", "t")
 
     def count(batches):
         for batch in batches:
@@ -144,8 +162,12 @@ def learn(df: DataFrame, *, id_column: str = "doc_id", text: str = "text", lang:
                 yield pa.RecordBatch.from_arrays([pa.array([la] * len(values), pa.string()), pa.array(values, pa.int64()), pa.array(totals, pa.int64())], ["l", "g", "n"])
 
     counted = taken.mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
-    ranked = counted.groupBy("l").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "g"))), 1, size).alias("top"))
-    tops = {r.l: np.array([x.g for x in r.top], np.int64) for r in ranked.collect()}
+    order = Window.partitionBy("l").orderBy(F.desc("n"), "g")
+    ranked = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).select("l", "g", "rank").toArrow()
+    found, tops = ranked.sort_by([("l", "ascending"), ("rank", "ascending")]), {}
+    if found.num_rows:
+        names, first = np.unique(found["l"].to_numpy(), return_index=True)
+        tops = dict(zip(names.tolist(), np.split(found["g"].to_numpy(), first[1:])))
     return Profiles.of(tops, size, document_size)
 
 
@@ -158,6 +180,7 @@ def predict(df: DataFrame, profiles: Profiles, *, text: str = "text", orders: in
     """
     spark = df.sparkSession
     ship(spark)
+    refuse_clash(carry, ("lang_pred", "score", "distance"))
     sent = spark.sparkContext.broadcast(profiles)
     source = df.select(*carry, F.col(text).alias("__text"))
     fields = source.schema.fields[:-1]
@@ -167,7 +190,7 @@ def predict(df: DataFrame, profiles: Profiles, *, text: str = "text", orders: in
         p = sent.value
         for batch in batches:
             rows = []
-            for t in batch.column("__text").to_pylist():
+            for t in batch.column(len(fields)).to_pylist():
                 d = p.distances(t, orders)
                 if d is None:
                     rows.append((UNKNOWN, 0.0, None))

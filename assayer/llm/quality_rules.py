@@ -14,7 +14,8 @@ Defined results
                  fewer than ``min_reference_words`` words
   no letter      and no reference of its own: the nearest by classes of characters
   repeated rows  each row is judged by itself, so equal rows get equal results
-  extra columns  are not touched: results are joined to nothing but the id
+  long texts     are judged whole
+  extra columns  stay behind unless carried; a carried one with a result's name is refused
 """
 
 from __future__ import annotations
@@ -29,13 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._run import ship
+from ._run import cut, refuse_clash, ship
 from .language_id import Profiles, learn
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-PIECE_WORDS = 200_000
+HELD_WORDS = 200_000  # different words that a task counts before it gives them out
 #: Character classes, in the order of the histogram.
 CLASSES = ("lower", "upper", "digit", "space", "line end", "sentence", "quote", "symbol", "other ascii", "wide lower", "wide upper", "other wide")
 
@@ -150,90 +152,72 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def build_references(df: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang", *, id_column: str = "doc_id", for_others: bool = True) -> References:
     """The references of each language.
 
-    Common words are those with at least ``common_share`` of a language's words.
-    However the corpus is cut, one such word has that share in one piece at least,
-    so the union of the pieces' own common words holds them all; a second pass counts
-    these exactly.  Pieces are of ``PIECE_WORDS`` words or a whole task's, so what
-    comes to the driver is a few hundred words for each language.
+    Tasks count classes of characters and words; Spark adds them up, and takes of each
+    language the most frequent words with at least ``common_share`` of all its words.
+    Only these, ``common_words`` of a language at most, and its classes come to the
+    driver, for languages that have a reference.
 
     N-grams are learned from a bounded sample of each language.  With ``for_others``
     false only the rows of ``df`` are to be judged, so if each has a reference of its
     own, there is nothing to learn them for.
     """
     ship(df.sparkSession)
-    share = limits.common_share
     source = df.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
 
-    def candidates(batches):
-        done: dict[str, Counter] = {}  # the last whole piece: what is left at the end is added to it
-        counts: dict[str, Counter] = {}
-        size = 0
-
-        def common(pieces: dict[str, Counter]) -> pa.RecordBatch:
-            out = [(la, w.decode("utf-8", "replace")) for la, c in pieces.items() if (n := c.total()) for w, k in c.items() if k >= share * n]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], ["l", "w"])
-
-        for t, la in _rows(batches):
-            if t and la is not None:
-                words = words_of(t)
-                size += len(words)
-                counts.setdefault(la, Counter()).update(words)
-            if size >= PIECE_WORDS:
-                yield common(done)
-                done, counts, size = counts, {}, 0
-        for key, c in counts.items():
-            done.setdefault(key, Counter()).update(c)
-        yield common(done)
-
-    found = source.mapInArrow(candidates, "l string, w string").distinct().collect()
-    wanted: dict[str, set[bytes]] = {}
-    for la, w in found:
-        wanted.setdefault(la, set()).add(w.encode())
-    sent = df.sparkSession.sparkContext.broadcast(wanted)
-
     def counted(batches):
+        words: dict[str, Counter] = {}
         chars: dict[str, np.ndarray] = {}
         totals: dict[str | None, int] = {}
-        times: dict[str, dict[bytes, int]] = {}
+        held = 0
+
+        def given(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(),) * 3 + (pa.int64(),))], ["l", "kind", "item", "n"])
+
+        def all_words() -> Iterator[pa.RecordBatch]:
+            for la, c in words.items():
+                items = list(c.items())
+                for at in range(0, len(items), 10_000):
+                    yield given([(la, "w", w.decode("utf-8", "replace"), n) for w, n in items[at : at + 10_000]])
+            words.clear()
+
         for t, la in _rows(batches):
             if not t:
                 continue
             if la is None:  # has no reference, but asks for one
                 totals[None] = totals.get(None, 0) + 1
                 continue
-            words = words_of(t)
+            found = words_of(t)
+            mine = words.setdefault(la, Counter())
+            held -= len(mine)
+            mine.update(found)
+            held += len(mine)
             chars[la] = chars.get(la, 0) + char_histogram(t)
-            totals[la] = totals.get(la, 0) + len(words)
-            mine, n = sent.value.get(la, set()), times.setdefault(la, {})
-            for w in words:
-                if w in mine:
-                    n[w] = n.get(w, 0) + 1
-        rows = [(la, "n", "", n) for la, n in totals.items()]
-        for la in chars:
-            rows += [(la, "c", str(i), int(n)) for i, n in enumerate(chars[la])]
-            rows += [(la, "w", w.decode("utf-8", "replace"), n) for w, n in times[la].items()]
-        columns = list(zip(*rows)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(),) * 3 + (pa.int64(),))], ["l", "kind", "item", "n"])
-
-    rows = source.mapInArrow(counted, "l string, kind string, item string, n long").groupBy("l", "kind", "item").agg(F.sum("n").alias("n")).collect()
-    chars: dict[str, np.ndarray] = {}
-    totals: dict[str | None, int] = {}
-    words: dict[str, list[tuple[int, str]]] = {}
-    for la, kind, item, n in rows:
-        if kind == "c":
-            chars.setdefault(la, np.zeros(len(CLASSES)))[int(item)] = n
-        elif kind == "n":
-            totals[la] = n
-        else:
-            words.setdefault(la, []).append((-n, item))
+            totals[la] = totals.get(la, 0) + len(found)
+            if held > HELD_WORDS:
+                yield from all_words()
+                held = 0
+        yield from all_words()
+        yield given([(la, "n", "", n) for la, n in totals.items()] + [(la, "c", str(i), int(n)) for la, c in chars.items() for i, n in enumerate(c)])
+
+    counts = source.mapInArrow(counted, "l string, kind string, item string, n long").groupBy("l", "kind", "item").agg(F.sum("n").alias("n"))
+    counts = cut(counts, "counts")
+    totals = counts.where("kind = 'n'").select("l", F.col("n").alias("total"))
+    large = totals.where(F.col("l").isNotNull() & (F.col("total") >= max(1, limits.min_reference_words)))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "item"))
+    common = counts.where("kind = 'w'").join(large, "l").where(F.col("n") >= limits.common_share * F.col("total"))
+    common = common.withColumn("rank", rank).where(F.col("rank") <= limits.common_words).select("l", "rank", "item", "n")
+    classes = counts.where("kind = 'c'").join(large, "l").select("l", F.col("item").cast("int").alias("rank"), "item", "n")
     out = References()
-    for la, total in totals.items():
-        if la is None or total < limits.min_reference_words or not total:
-            continue
-        top = [x for x in sorted(words.get(la, [])) if -x[0] >= share * total][: limits.common_words]
-        shares = np.array([-n for n, _ in top] + [total + sum(n for n, _ in top)], float)
-        out[la] = Reference(chars[la], {w: i for i, (_, w) in enumerate(top)}, shares)
-    if out and (for_others or len(out) < len(totals)):
+    for la, total in large.toArrow().to_pandas().itertuples(index=False):
+        out[la] = Reference(np.zeros(len(CLASSES)), {}, np.array([total], float))
+    for la, part in classes.toArrow().to_pandas().groupby("l"):
+        out[la].chars[part["rank"].to_numpy()] = part["n"].to_numpy()
+    for la, part in common.toArrow().to_pandas().sort_values(["l", "rank"]).groupby("l"):
+        times, total = part["n"].to_numpy(), out[la].word_shares[0]
+        out[la].words = {w: i for i, w in enumerate(part["item"])}
+        out[la].word_shares = np.append(times, total - times.sum()).astype(float)
+    if out and (for_others or not totals.join(large.select("l"), "l", "left_anti").isEmpty()):
         out.profiles = learn(df.where(F.col(lang).cast("string").isin(*out)), id_column=id_column, text=text, lang=lang)
     return out
 
@@ -290,20 +274,21 @@ def judge(df: DataFrame, references: References | None = None, limits: Limits =
     if references is None:
         references = build_references(df, limits, text, lang, id_column=id_column, for_others=False)
     sent = spark.sparkContext.broadcast(references)
+    refuse_clash((id_column, *carry), (x.split()[0] for x in OUT.split(", ")))
     source = df.select(id_column, *carry, F.col(text).alias("__text"), F.col(lang).cast("string").alias("__lang"))
-    kept_columns = [f for f in source.schema if f.name not in ("__text", "__lang")]
+    kept_columns = source.schema.fields[:-2]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept_columns) + ", " + OUT
 
     def judged(batches):
         refs = sent.value
         for batch in batches:
-            texts, langs = batch.column("__text").to_pylist(), batch.column("__lang").to_pylist()
+            texts, langs = (c.to_pylist() for c in batch.columns[-2:])
             rows = []
             for t, la in zip(texts, langs):
                 rows.append(_decide(t or "", refs.of(t or "", la), limits))
             columns = list(zip(*rows)) or [[]] * 9
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
             names = [f.name for f in kept_columns]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(c, k) for c, k in zip(columns, kinds)], names + [x.split()[0] for x in OUT.split(", ")])
+            yield pa.RecordBatch.from_arrays(batch.columns[:-2] + [pa.array(c, k) for c, k in zip(columns, kinds)], names + [x.split()[0] for x in OUT.split(", ")])
 
     return source.mapInArrow(judged, schema)
