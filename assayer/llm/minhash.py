@@ -24,6 +24,8 @@ Defined results
   null id              takes no part: component null, kept
   repeated rows        are in one class and share its component; a repeated id
                        is kept wherever it equals its component
+  long texts           give sets of as many shingles; a set is one row
+  extra columns        stay behind
 """
 
 from __future__ import annotations
@@ -105,46 +107,52 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int, needed: int) -> D
     right = sets.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("members").alias("mb"))
     collisions = F.size(F.array_intersect("sa", "sb"))
     both = F.size(F.array_intersect("ma", "mb"))
-    counted = pairs.join(left, "a").join(right, "b").select("a", "b", collisions.alias("k"), both.alias("i"), (F.size("ma") + F.size("mb")).alias("s"))
+    # ``a`` is the one with many pairs, if any: its set is sent to them, and isn't shuffled once for each
+    counted = pairs.join(right, "b").join(left, "a").select("a", "b", collisions.alias("k"), both.alias("i"), (F.size("ma") + F.size("mb")).alias("s"))
     return counted.select("a", "b", "i", ((F.col("k") >= needed) & (100 * F.col("i") >= percent * (F.col("s") - F.col("i")))).alias("linked"))
 
 
-def link(df: DataFrame, *, percent: int = 80, id_column: str = "doc_id", text: str = "text", width: int = 5, size: int = SIZE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and class_size for each row of ``df``."""
+def link(df: DataFrame, *, percent: int = 80, id_column: str = "doc_id", text: str = "text", width: int = 5, size: int = SIZE, deviations: float = 5.0) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of ``df``.
+
+    A link right at the threshold is missed if fewer coordinates are equal than
+    expected less ``deviations`` standard deviations, about once in a million at 5;
+    with more, the chance falls further and prefixes get longer.
+    """
     ship(df.sparkSession)
-    needed = needed_matches(size, percent / 100)
+    needed = needed_matches(size, percent / 100, deviations)
     documents = cut(signatures(df, id_column=id_column, text=text, width=width, size=size), "signatures")
 
     linked = documents.where("id IS NOT NULL AND n > 0")
     classes = linked.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     posted = classes.select("id", F.explode("sig").alias("v"))
-    times = cut(posted.groupBy("v").agg(F.count("*").alias("f")).where("f > 1"), "times", slim=True)  # a table, so that skewed values of the join can be split
+    times = cut(posted.groupBy("v").agg(F.count("*").alias("f")).where("f > 1"), "times")  # a table, so that skewed values of the join can be split
     shared = posted.join(times, "v").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("p")).where(F.size("p") >= needed)
-    prefixes = cut(shared.select("id", F.transform(F.slice("p", 1, F.size("p") - needed + 1), lambda x: x["v"]).alias("prefix")), "prefixes", slim=True)
+    prefixes = cut(shared.select("id", F.transform(F.slice("p", 1, F.size("p") - needed + 1), lambda x: x["v"]).alias("prefix")), "prefixes")
 
     wanted = cut(classes.join(prefixes, "id").select("id", "k1", "k2", "n", "sig", "prefix"), "wanted")
     members = full_sets(df, wanted, id_column=id_column, text=text, width=width).dropDuplicates(["id", "k1", "k2"])
     sets = cut(wanted.join(members, ["id", "k1", "k2"]), "sets")
     alone = sets.select("id", F.explode("members").alias("m")).groupBy("m").agg(F.count("*").alias("f"), F.min("id").alias("id")).where("f = 1").groupBy("id").agg(F.count("*").alias("u"))
     posts = sets.select("id", "n", "prefix").join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("g"), "prefix")
-    posts = cut(posts.where(100 * F.col("g") >= percent * F.col("n")).select("id", "n", "g", "prefix", F.explode("prefix").alias("v")), "posts", slim=True)
+    posts = cut(posts.where(100 * F.col("g") >= percent * F.col("n")).select("id", "n", "g", "prefix", F.explode("prefix").alias("v")), "posts")
 
     rank = F.struct((F.col("g") / F.col("n")).alias("r"), (-F.col("id")).alias("i"))
     leaders = posts.groupBy("v").agg(F.count("*").alias("f"), F.max(F.struct(rank.alias("rank"), "id", "n", "g")).alias("lead")).where("f > 1")
-    leaders = cut(leaders.select("v", "f", "lead.id", "lead.n", "lead.g"), "leaders", slim=True)
+    leaders = cut(leaders.select("v", "f", "lead.id", "lead.n", "lead.g"), "leaders")
     star = posts.alias("x").join(leaders.alias("l"), (F.col("x.v") == F.col("l.v")) & (F.col("x.id") != F.col("l.id")) & _may_link(percent, "x", "l"))
     star = star.select(F.col("l.id").alias("a"), F.col("x.id").alias("b")).distinct()
-    star = cut(_compared(star, sets, percent, needed), "star", slim=True)
+    star = cut(_compared(star, sets, percent, needed), "star")
     links = star.where("linked").select("a", "b")
     roots = components.connected(links)
 
     long = leaders.where("f > 2").select("v", F.col("id").alias("lead"))
     placed = posts.join(long, "v").join(roots, "id", "left").join(star.select(F.col("a").alias("lead"), F.col("b").alias("id"), F.col("i").alias("t")), ["lead", "id"], "left")
     shared_with_lead = F.when(F.col("id") == F.col("lead"), F.col("n")).otherwise(F.col("t"))
-    placed = cut(placed.select("id", "n", "g", "prefix", "v", F.coalesce("root", "id").alias("c"), shared_with_lead.alias("t")), "placed", slim=True)
+    placed = cut(placed.select("id", "n", "g", "prefix", "v", F.coalesce("root", "id").alias("c"), shared_with_lead.alias("t")), "placed")
     shares = placed.groupBy("v", "c").agg(F.count("*").alias("f")).groupBy("v").agg(F.count("*").alias("parts"), F.max(F.struct("f", "c"))["c"].alias("main"))
-    mixed = cut(shares.where("parts > 1").select("v", "main"), "mixed", slim=True)
-    held = placed.join(mixed, "v")
+    mixed = cut(shares.where("parts > 1").select("v", "main"), "mixed")
+    held = cut(placed.join(mixed, "v"), "held")  # a table, so that both sides of the next join can be split at a frequent value
     odd = held.where("c <> main")
     tried = held.alias("x").join(
         odd.alias("y"),
@@ -155,12 +163,12 @@ def link(df: DataFrame, *, percent: int = 80, id_column: str = "doc_id", text: s
         & (F.get(F.array_intersect("x.prefix", "y.prefix"), F.lit(0)) == F.col("x.v")),  # once for each pair: at the first value in common
     )
     tried = tried.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    more = cut(_compared(tried, sets, percent, needed).where("linked").select("a", "b"), "more_links", slim=True)
+    more = cut(_compared(tried, sets, percent, needed).where("linked").select("a", "b"), "more_links")
     if not more.isEmpty():
         roots = components.connected(links.union(more))
 
     found = classes.select("k1", "k2", "id").join(roots, "id", "left").select("k1", "k2", F.coalesce("root", "id").alias("component_id"))
-    found = cut(found, "found", slim=True)
+    found = cut(found, "found")
     out = documents.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "k1", "k2").join(found, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
