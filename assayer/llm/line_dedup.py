@@ -7,11 +7,14 @@ every window of ``window_words`` words of starts, so a repeated run holds a
 selected gram in all its copies as soon as it is about ``run_words`` and
 ``window_words`` long; a line of ``run_words`` words always is one by itself.
 
-Each selected gram is joined with its first occurrence, in the order of id, hash
-of the text, and place: one row per occurrence, whatever the group's size.  The
-match is extended line by line both ways, and the lines of the later run go.
-Neighbouring selected grams are less than ``run_words + window_words`` lines
-apart, so hashes of that many lines around a match are enough.
+Occurrences of a selected gram are ordered by id, hash of the text, and place.  All
+but the first meet the first one, line by line to both sides.  Those that leave it at
+the same place with the same next line then meet the first among themselves from
+there, and so on: every occurrence finds the longest agreement with any earlier one,
+yet there is one row per occurrence and round, whatever the group's size.  The lines
+of the later run go.  Lines around a gram are looked at as far as the next selected
+gram can begin and end, ``run_words + window_words`` words; agreement beyond that is
+found from that gram.
 
 Defined results
   null text       stays null, nothing removed
@@ -19,6 +22,8 @@ Defined results
   null id         comes first in the order of occurrences
   repeats inside
   a document      the later ones go
+  long texts      cost work in proportion to their lines; one text is one row
+  extra columns   stay, but ``n_lines`` and ``n_removed_lines`` are replaced
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._run import cut
+from ._run import cut, fresh
 
 RUN_WORDS, WINDOW_WORDS = 20, 10
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -72,34 +77,59 @@ def _agree(a: str, b: str) -> Column:
     return F.when(stop == 0, short).otherwise(F.least(stop - 1, short)).cast("int")
 
 
-def _around(lines: int) -> list[Column]:
-    """Hashes before (nearest first) and after a match that starts at line ``i`` and has ``len`` lines."""
-    i = F.col("i")
-    before = F.reverse(F.slice("h", F.greatest(F.lit(1), i - lines + 1), F.least(i, F.lit(lines))))
-    return [before.alias("before"), F.slice("h", i + F.col("len") + 1, F.lit(lines)).alias("after")]
+def _reach(n: Column, words: int) -> Column:
+    """How many lines, with ``n`` words each, begin within so many words."""
+    none = F.struct(F.lit(0).alias("w"), F.lit(0).alias("c"))
+    return F.aggregate(n, none, lambda a, x: F.when(a["w"] >= words, a).otherwise(F.struct((a["w"] + x).alias("w"), (a["c"] + 1).alias("c"))))["c"]
+
+
+def _around(words: int) -> list[Column]:
+    """Hashes before (nearest first) and after a gram that starts at line ``i`` and has ``len`` lines, as far as ``words`` from its start."""
+    i, last = F.col("i"), F.col("i") + F.col("len")
+    back = F.reverse(F.slice("n", F.greatest(F.lit(1), i - words + 1), F.least(i, F.lit(words))))
+    left, right = _reach(back, words), _reach(F.slice("n", i + 2, F.lit(words)), words)
+    before = F.reverse(F.slice("h", i - left + 1, left))
+    return [before.alias("before"), F.slice("h", last + 1, F.greatest(F.lit(0), right - (F.col("len") - 1))).alias("after")]
+
+
+def _agreements(met: DataFrame) -> DataFrame:
+    """id, th and spans of lines (lo, hi) in which an occurrence equals an earlier one.
+
+    ``met`` has an occurrence of a gram in each row, twice: with the lines to its left
+    and to its right (``context``), and a ``key`` that is the same for one gram and side.
+    """
+    found = []
+    while True:
+        first = met.groupBy("key").agg(F.count("*").alias("f"), F.min(F.struct("id", "th", "i", "context")).alias("first")).where("f > 1")
+        first = cut(first.select("key", "first"), "first")  # a table, so that the join can be split at a frequent key
+        if first.isEmpty():
+            break
+        later = met.join(first, "key").where(~F.struct("id", "th", "i").eqNullSafe(F.struct("first.id", "first.th", "first.i")))
+        here = F.when(F.col("right"), F.struct(F.col("i").alias("lo"), (F.col("i") + F.col("len") + F.col("e")).alias("hi"))).otherwise(F.struct((F.col("i") - F.col("e")).alias("lo"), (F.col("i") + F.col("len")).alias("hi")))
+        further = F.when(F.col("e") < F.size("context"), F.xxhash64("key", "e", F.get("context", F.col("e"))))
+        later = later.withColumn("e", _agree("context", "first.context"))
+        later = cut(later.select("id", "th", "i", "len", "right", "context", here.alias("span"), further.alias("key")), "later")
+        found.append(later.select("id", "th", "span"))
+        met = later.where("key IS NOT NULL").select("key", "id", "th", "i", "len", "right", "context")
+    if not found:
+        return met.select("id", "th", F.struct(F.col("i").alias("lo"), F.col("i").alias("hi")).alias("span")).limit(0)
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
 
 
 def repeated_lines(df: DataFrame, *, id_column: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
     """id, th (hash of the text) and ``removed``, the places among all the text's lines that go."""
-    near = run_words + window_words
     docs = cut(_lines(df, id_column, text), "lines")
     prints = docs.select("id", "th", "n", _grams(run_words).alias("grams"))
-    prints = cut(prints.select("id", "th", F.explode(_selected(window_words)).alias("x")).select("id", "th", "x.g", "x.i", "x.len"), "prints", slim=True)
-    first = prints.groupBy("g").agg(F.count("*").alias("f"), F.min(F.struct("id", "th", "i")).alias("first")).where("f > 1")
-    first = cut(first, "first", slim=True)  # a table, so that skewed grams of the join can be split
-    later = prints.join(first.select("g", "first"), "g").where(~F.struct("id", "th", "i").eqNullSafe(F.col("first")))
-    later = later.select("id", "th", "i", "len", F.col("first.id").alias("id0"), F.col("first.th").alias("th0"), F.col("first.i").alias("i0"))
-    later = cut(later, "matches", slim=True)
-
-    a, b = docs.alias("a"), docs.alias("b")
-    mine = later.alias("m").join(b, F.col("m.id").eqNullSafe(F.col("b.id")) & (F.col("m.th") == F.col("b.th")))
-    mine = mine.select("m.*", *_around(near))
-    there = later.select(F.col("id0").alias("id"), F.col("th0").alias("th"), F.col("i0").alias("i"), "len").distinct().alias("m")
-    there = there.join(a, F.col("m.id").eqNullSafe(F.col("a.id")) & (F.col("m.th") == F.col("a.th")))
-    there = there.select(F.col("m.id").alias("ida"), F.col("m.th").alias("tha"), F.col("m.i").alias("ia"), F.col("m.len").alias("lena"), *[c.alias(n) for c, n in zip(_around(near), ("before0", "after0"))])
-    both = mine.join(there, F.col("id0").eqNullSafe(F.col("ida")) & (F.col("th0") == F.col("tha")) & (F.col("i0") == F.col("ia")) & (F.col("len") == F.col("lena")))
-    spans = both.select("id", "th", (F.col("i") - _agree("before", "before0")).alias("lo"), (F.col("i") + F.col("len") + _agree("after", "after0")).alias("hi"))
-    spans = spans.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).alias("s")
+    prints = cut(prints.select("id", "th", F.explode(_selected(window_words)).alias("x")).select("id", "th", "x.g", "x.i", "x.len"), "prints")
+    often = cut(prints.groupBy("g").agg(F.count("*").alias("f")).where("f > 1").select("g"), "often")
+    m, b = prints.join(often, "g").alias("m"), docs.alias("b")
+    met = m.join(b, F.col("m.id").eqNullSafe(F.col("b.id")) & (F.col("m.th") == F.col("b.th"))).select("m.*", *_around(run_words + window_words))
+    sides = F.array(F.struct(F.lit(False).alias("right"), F.col("before").alias("context")), F.struct(F.lit(True).alias("right"), F.col("after").alias("context")))
+    met = met.select("g", "id", "th", "i", "len", F.explode(sides).alias("x")).select(F.xxhash64("g", "x.right").alias("key"), "id", "th", "i", "len", "x.right", "x.context")
+    spans = _agreements(cut(met, "occurrences")).groupBy("id", "th").agg(F.collect_set("span").alias("spans")).alias("s")
     gone = F.array_distinct(F.flatten(F.transform("spans", lambda v: F.slice("at", v["lo"] + 1, v["hi"] - v["lo"]))))
     return spans.join(b, F.col("s.id").eqNullSafe(F.col("b.id")) & (F.col("s.th") == F.col("b.th"))).select("s.id", "s.th", gone.alias("removed"))
 
@@ -107,9 +137,9 @@ def repeated_lines(df: DataFrame, *, id_column: str = "doc_id", text: str = "tex
 def dedup(df: DataFrame, *, id_column: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
     """``df`` with its text less the later repeated runs, and the numbers of lines ``n_lines`` and ``n_removed_lines``."""
     gone = repeated_lines(df, id_column=id_column, text=text, run_words=run_words, window_words=window_words).alias("g")
-    names = [c for c in df.columns if c not in ("n_lines", "n_removed_lines")]
-    docs = df.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(text).alias("__th")).alias("d")
-    joined = docs.join(gone, F.col(f"d.{id_column}").eqNullSafe(F.col("g.id")) & (F.col("d.__th") == F.col("g.th")) & F.col(f"d.{text}").isNotNull(), "left")
+    names, own = [c for c in df.columns if c not in ("n_lines", "n_removed_lines")], fresh(df.columns, "hash")
+    docs = df.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(text).alias(own)).alias("d")
+    joined = docs.join(gone, F.col(f"d.{id_column}").eqNullSafe(F.col("g.id")) & (F.col(f"d.{own}") == F.col("g.th")) & F.col(f"d.{text}").isNotNull(), "left")
     lines = F.split(F.col(f"d.{text}"), "\n", -1)
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("g.removed"))
     held = F.transform(F.array(lines), lambda x: F.transform(places, lambda i: F.get(x, i)))  # split once, not for each place
