@@ -5,20 +5,26 @@ as the assistant; all others are users with their names, and system turns stay
 what they are.  The mask lists the spans of characters to learn from: what the
 assistant says, with its end mark.
 
-A row holds up to ``segment_turns`` consecutive turn numbers of one conversation,
-so a conversation of any length, or with any part of all rows, is rendered by many
-tasks; shorter conversations are one row for each participant.
+A dialogue of up to ``segment_turns`` turn numbers is one row for each participant.  A
+longer one is cut at multiples of ``segment_turns`` into segments, and a turn number that
+very many rows have is dealt over parts of a segment, by their hashes, about
+``tie_rows`` to each.  So a conversation with any part of all rows is rendered by many
+tasks, in rows of bounded numbers of messages.  A row that holds no system turn begins
+with the conversation's first one, if that came before (``opened``); so no row starts
+without the instructions that its turns were given under.
 
 Defined results
   null or empty text    a turn without content
   null or empty role    the participant ``unknown``
-  null turn             such rows come in a segment of their own, -1
+  null turn             such rows come in a segment of their own, -1, before all others
   null conversation     one conversation with a null id
-  ties and repeated
-  rows                  ordered by turn, role and text; repeated ones are rendered
-                        as often as they come
+  ties                  ordered by turn, role and text
+  repeated rows         are rendered as often as they come; they are counted first, so
+                        any number of them is a few rows
   system turns only     no participant, so no row
   marks within a text   ``<|`` becomes ``< |``, so no text can forge a turn
+  long texts            are rendered whole; one text is part of one row for each participant
+  extra columns         stay behind
 """
 
 from __future__ import annotations
@@ -26,7 +32,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._run import cut
+
 START, END, SYSTEM, UNNAMED = "<|im_start|>", "<|im_end|>", "system", "unknown"
+SEGMENT_TURNS, TIE_ROWS = 256, 64
+_HASH_BITS = 28
 
 
 def _role(role: str) -> Column:
@@ -34,14 +44,39 @@ def _role(role: str) -> Column:
     return F.when(name == "", UNNAMED).otherwise(name)
 
 
-def rotate(df: DataFrame, *, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", segment_turns: int = 64) -> DataFrame:
-    """conv_id, perspective, segment, n_messages, text, spans (start and end of each part to learn) and n_target_chars."""
+def _hash(*values: Column) -> Column:
+    """The first 28 bits of the md5 of values."""
+    joined = F.concat_ws("\x01", *[v.cast("string") for v in values])
+    return F.conv(F.substring(F.md5(joined.cast("binary")), 1, _HASH_BITS // 4), 16, 10).cast("long")
+
+
+def _parts(df: DataFrame, segment_turns: int, tie_rows: int) -> DataFrame:
+    """conv_id, segment, part, and ``turns`` in order."""
+    equal = df.groupBy("conv_id", "t", "r", "x").agg(F.count("*").alias("n"))
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {tie_rows}")))
+    rows = equal.select("conv_id", "t", "r", "x", "n", chunk.alias("c"))
+    rows = rows.withColumn("n", F.least(F.lit(tie_rows), F.col("n") - tie_rows * F.col("c"))).alias("e")
+    crowded = df.groupBy("conv_id", "t").agg(F.count("*").alias("w")).where(F.col("w") > tie_rows)
+    crowded = cut(crowded, "crowded").alias("k")  # a table, so that the join can be split at a crowded turn
+    rows = rows.join(crowded, F.col("e.conv_id").eqNullSafe(F.col("k.conv_id")) & F.col("e.t").eqNullSafe(F.col("k.t")), "left")
+    dealt = F.shiftright(F.expr(f"(w + {tie_rows - 1}) div {tie_rows}") * _hash(F.col("r"), F.col("x"), F.col("c")), _HASH_BITS)
+    segment = F.coalesce(F.floor(F.col("e.t") / segment_turns), F.lit(-1)).cast("long")
+    rows = rows.select("e.conv_id", segment.alias("segment"), F.when(F.col("w").isNull(), 0).otherwise(dealt).cast("long").alias("part"), F.struct("e.t", "r", "x", "n").alias("turn"))
+    turns = F.flatten(F.transform(F.sort_array(F.collect_list("turn")), lambda m: F.array_repeat(F.struct(m["t"], m["r"], m["x"]), m["n"].cast("int"))))
+    return rows.groupBy("conv_id", "segment", "part").agg(turns.alias("turns"))
+
+
+def rotate(df: DataFrame, *, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", segment_turns: int = SEGMENT_TURNS, tie_rows: int = TIE_ROWS) -> DataFrame:
+    """conv_id, perspective, segment, part, n_messages, opened, text, spans (start and end of each part to learn) and n_target_chars."""
     body = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("<|"), F.lit("< |"))
     rows = df.select(F.col(conversation).alias("conv_id"), F.col(turn).cast("long").alias("t"), _role(role).alias("r"), body.alias("x"))
-    segment = F.coalesce(F.floor(F.col("t") / segment_turns), F.lit(-1)).cast("long")
-    parts = rows.groupBy("conv_id", segment.alias("segment")).agg(F.sort_array(F.collect_list(F.struct("t", "r", "x"))).alias("turns")).alias("p")
     speakers = rows.where(F.col("r") != SYSTEM).select("conv_id", F.col("r").alias("perspective")).distinct().alias("s")
-    each = parts.join(speakers, F.col("p.conv_id").eqNullSafe(F.col("s.conv_id"))).select("p.conv_id", "perspective", "segment", "turns")
+    system = rows.where(F.col("r") == SYSTEM).groupBy("conv_id").agg(F.min(F.struct("t", "x")).alias("first")).alias("y")
+    speakers = speakers.join(system, F.col("s.conv_id").eqNullSafe(F.col("y.conv_id")), "left").select("s.conv_id", "perspective", "first")
+    parts, speakers = _parts(rows, segment_turns, tie_rows).alias("p"), speakers.alias("s")
+    each = parts.join(speakers, F.col("p.conv_id").eqNullSafe(F.col("s.conv_id"))).select("p.conv_id", "perspective", "segment", "part", "turns", "first")
+    came = F.col("first.t").isNull() | F.coalesce(F.get("turns", F.lit(0))["t"] >= F.col("first.t"), F.lit(False))
+    opened = F.col("first").isNotNull() & came & ~F.exists("turns", lambda m: m["r"] == SYSTEM)
 
     def message(m: Column) -> Column:
         mine = m["r"] == F.col("perspective")
@@ -50,13 +85,14 @@ def rotate(df: DataFrame, *, conversation: str = "conv_id", turn: str = "turn",
         content = F.concat(m["x"], F.lit(END))
         return F.struct(F.concat(head, content, F.lit("\n")).alias("whole"), mine.alias("mine"), F.char_length(head).alias("head"), F.char_length(content).alias("content"))
 
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
     def placed(a: Column, m: Column) -> Column:
         start = a["at"] + m["head"]
         span = F.array(F.struct(start.alias("start"), (start + m["content"]).alias("end")))
         return F.struct((start + m["content"] + 1).alias("at"), F.when(m["mine"], F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
 
-    made = each.select("conv_id", "perspective", "segment", F.transform("turns", message).alias("m"))
-    made = made.select("conv_id", "perspective", "segment", F.size("m").cast("long").alias("n_messages"), F.array_join(F.transform("m", lambda x: x["whole"]), "").alias("text"), F.aggregate("m", none, placed)["spans"].alias("spans"))
+    keys = ["conv_id", "perspective", "segment", "part"]
+    opening = F.when(F.col("opened"), F.concat(F.lit(f"{START}{SYSTEM}\n"), F.col("first.x"), F.lit(f"{END}\n"))).otherwise("")
+    made = each.select(*keys, opened.alias("opened"), "first", F.transform("turns", message).alias("m")).select(*keys, "opened", opening.alias("opening"), "m")
+    none = F.struct(F.char_length("opening").alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    made = made.select(*keys, F.size("m").cast("long").alias("n_messages"), "opened", F.concat("opening", F.array_join(F.transform("m", lambda x: x["whole"]), "")).alias("text"), F.aggregate("m", none, placed)["spans"].alias("spans"))
     return made.withColumn("n_target_chars", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]))

@@ -6,8 +6,9 @@ can still add is at most the product of the norms of both remainders
 (Cauchy-Schwarz).  Candidates whose bound stays below a query's k-th best score
 so far are compacted away, and only the rest reads the next dimensions.
 
-Queries come to the tasks in passes of bounded size, each over all candidates;
-every task keeps k candidates for each query, and the best k of these are final.
+Queries come to the tasks in passes of bounded size, run one after the other over all
+candidates; every task keeps k candidates for each query, and the best k of these are
+final.  What the driver holds is one pass, however many queries there are.
 
 Defined results
   null id, null vector, null or non-finite component   takes no part, nor does a
@@ -16,6 +17,7 @@ Defined results
   repeated query ids   one query, the largest of its vectors
   repeated candidates  each row is a candidate; rows with the query's id are its own
   scores over 64 bits  are held at the largest or least long
+  extra columns        stay behind; vectors of any length are rows of their own
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._run import ship
+from ._run import cut, ship
 
 STEP, BLOCK, QUERY_GROUP = 16, 8192, 64
 PASS_BYTES = 32 << 20
@@ -137,18 +139,27 @@ def search(df: DataFrame, queries: DataFrame, *, k: int = 5, id_column: str = "v
     rows = df.where(F.col(id_column).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     asked = queries.where(F.col(id_column).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     size = asked.agg(F.sum(F.size("v") * 8 + 64)).first()[0] or 0
-    passes = -(-size // pass_bytes)
-    part = F.pmod(F.xxhash64("id"), F.lit(max(1, passes)))
+    passes = max(1, -(-size // pass_bytes))
+    if passes > 1:  # queries are written by pass, so that each reads its own alone
+        asked = asked.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(passes)).alias("p"))
+        asked = cut(asked.repartitionByRange(passes, "p").sortWithinPartitions("p"), "queries")
     found = None
-    for p in range(max(1, passes)):
-        mine = asked.where(part == p).groupBy("id").agg(F.max("v").alias("v")).collect() if size else []
+    for p in range(passes):
+        mine = (asked.where(F.col("p") == p) if passes > 1 else asked).groupBy("id").agg(F.max("v").alias("v")).collect() if size else []
         by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
         for r in mine:
             if (v := scaled(r.v, scale)) is not None:
                 by_length.setdefault(len(v), []).append((r.id, v))
         sent = spark.sparkContext.broadcast({n: (np.array([i for i, _ in x], np.int64), np.stack([v for _, v in x])) for n, x in by_length.items()})
-        one = rows.mapInArrow(_scan(sent, k, scale), "query_id long, vec_id long, score long")
+        one = _best(rows.mapInArrow(_scan(sent, k, scale), "query_id long, vec_id long, score long"), k)
+        if passes > 1:  # run now, so that the driver and the workers hold the queries of one pass only
+            one = cut(one, "found")
+            sent.destroy()
         found = one if found is None else found.unionByName(one)
+    return found
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

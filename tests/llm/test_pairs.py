@@ -61,6 +61,34 @@ def test_components_equal_brute_force(spark, percent):
     assert got == brute_components(rows, percent)
 
 
+def test_components_of_the_documents_equal_an_exact_join(spark):
+    """Every pair that shares a shingle, counted; over all documents of a bundled table."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no bundled tables here")
+    rows = [tuple(r) for r in spark.read.parquet(path).select("doc_id", "text").collect()]
+    sets = {i: shingle_set(t) for i, t in rows}
+    holders, shared = collections.defaultdict(list), collections.Counter()
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    for h in holders.values():
+        shared.update((a, b) for k, a in enumerate(sorted(h)) for b in sorted(h)[k + 1 :])
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, b), n in shared.items():
+        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    got = {r.doc_id: r.component_id for r in minhash.link(spark.read.parquet(path), percent=85).collect()}
+    assert got == {i: find(i) for i in sets} and len(set(got.values())) < len(got)
+
+
 def test_large_near_group_with_outsiders(spark):
     """Copies of one base that differ from each other: only some are linked, none by way of all pairs."""
     rng = random.Random(5)
@@ -126,7 +154,7 @@ def line(rng, n):
 
 
 def brute_lines(rows, run=line_dedup.RUN_WORDS, window=line_dedup.WINDOW_WORDS):
-    """Grams by their lines instead of hashes; the order of grams is the one thing taken from the hashes."""
+    """Every pair of equal grams, extended as far as it goes; the order of grams is the one thing taken from the hashes."""
     import struct
 
     import xxhash
@@ -151,20 +179,20 @@ def brute_lines(rows, run=line_dedup.RUN_WORDS, window=line_dedup.WINDOW_WORDS):
                 words, n = words + ls[a + n][2], n + 1
             chosen.add(min(grams[a : a + n]))
         prints += [(tuple(x[1] for x in ls[a : a + n]), key, a, n) for _, a, n in chosen]
-    first, gone = {}, collections.defaultdict(set)
+    places, gone = collections.defaultdict(list), collections.defaultdict(set)
     for content, key, a, n in prints:
-        first[content] = min(first.get(content, (key, a)), (key, a))
+        places[content].append((key, a))
     for content, key, a, n in prints:
-        k0, a0 = first[content]
-        if (k0, a0) == (key, a):
-            continue
-        mine, theirs = table[key], table[k0]
-        lo = hi = 0
-        while a - lo > 0 and a0 - lo > 0 and mine[a - lo - 1][1] == theirs[a0 - lo - 1][1] and lo < run + window:
-            lo += 1
-        while a + n + hi < len(mine) and a0 + n + hi < len(theirs) and mine[a + n + hi][1] == theirs[a0 + n + hi][1] and hi < run + window:
-            hi += 1
-        gone[key] |= {mine[j][0] for j in range(a - lo, a + n + hi)}
+        mine = table[key]
+        for k0, a0 in places[content]:
+            if (k0, a0) >= (key, a):
+                continue
+            theirs, lo, hi = table[k0], 0, 0
+            while a - lo > 0 and a0 - lo > 0 and mine[a - lo - 1][1] == theirs[a0 - lo - 1][1]:
+                lo += 1
+            while a + n + hi < len(mine) and a0 + n + hi < len(theirs) and mine[a + n + hi][1] == theirs[a0 + n + hi][1]:
+                hi += 1
+            gone[key] |= {mine[j][0] for j in range(a - lo, a + n + hi)}
     return {i: t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, text_hash(t.encode())]) for i, t in rows}
 
 
@@ -182,6 +210,24 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == brute_lines(rows)
 
 
+def test_runs_that_a_later_copy_shows(spark):
+    rng = random.Random(8)
+    for trial in range(4):
+        g, x, y, z = line(rng, 25), line(rng, 8), line(rng, 7), line(rng, 6)
+        a, b = "\n".join([g, x]), "\n".join([y, z, g, x])
+        rows = [(1, g), (2, a), (3, a), (4, b), (5, b), (6, "\n".join([z, g])), (7, "\n".join([y, z, g]))]
+        got = {r.doc_id: r.text for r in line_dedup.dedup(docs(spark, rows)).collect()}
+        assert got == brute_lines(rows) == {1: g, 2: x, 3: "", 4: "\n".join([y, z]), 5: "", 6: "", 7: ""}
+
+
+def test_many_documents_that_share_different_parts(spark):
+    rng = random.Random(9)
+    ls = [line(rng, rng.choice([2, 3, 6, 11, 22])) for _ in range(30)]
+    rows = [(i, "\n".join(ls[a : a + rng.randrange(1, 16)] + [line(rng, 3)] * rng.randrange(2))) for i in range(120) for a in [rng.randrange(28)]]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(docs(spark, rows)).collect()}
+    assert got == brute_lines(rows)
+
+
 def test_passages_go_and_clean_lines_stay(spark):
     rng = random.Random(6)
     passages = [line(rng, 60), "\n".join(line(rng, 12) for _ in range(6))]

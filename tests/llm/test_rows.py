@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import random
+import time
 import zipfile
 import zlib
 from collections import Counter
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, chat_format, language_id, packing, quality_classifier, quality_rules, top_k, warc
+from assayer.llm import bpe, chat_format, language_id, packing, quality_classifier, quality_rules, queries, top_k, warc
 from assayer.llm._run import scratch
 
 EN = "the of and to in is that it was for on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()
@@ -110,6 +111,18 @@ def test_quality_rules_without_a_language(spark):
     assert quality_rules.judge(df, None, none).where("char_distance is not null").isEmpty()
 
 
+def test_rare_languages_bring_few_words(spark):
+    rng = random.Random(12)
+    odd = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    rows = [(i, " ".join(odd() for _ in range(200)), f"r{i % 40}", 1) for i in range(400)]
+    rows += [(1_000 + i, " ".join(w for _ in range(60) for w in (odd(), "of")), "junk", 1) for i in range(40)]
+    refs = quality_rules.build_references(spark.createDataFrame(rows, SCHEMA).repartition(9), quality_rules.Limits(min_reference_words=2_001))
+    assert set(refs) == {"junk"}
+    refs = quality_rules.build_references(spark.createDataFrame(rows, SCHEMA).repartition(9), quality_rules.Limits(min_reference_words=1_000))
+    assert len(refs) == 41 and all(len(r.words) <= 50 for r in refs.values()) and list(refs["junk"].words) == ["of"]
+    assert refs["junk"].word_shares.tolist() == [2_400, 2_400] and refs["r1"].chars.sum() == sum(len(t) for _, t, la, _ in rows if la == "r1")
+
+
 def test_distance_is_jensen_shannon():
     p, q = np.array([1.0, 0, 3]), np.array([0.0, 2, 2])
     a, b = p / 4, q / 4
@@ -149,18 +162,79 @@ def test_classifier_edge_cases(spark, docs):
     assert quality_classifier.score(docs.limit(0), nothing).count() == 0
 
 
-def test_classifier_learns_from_long_texts(spark, docs, monkeypatch):
+def test_classifier_equals_brute_force(spark, docs):
+    """Tokens, word vectors, pooling, network and temperature made again by plain loops."""
+    rows = [r for r in corpus() if r[0] % 3 == 0] + [(700, "Fine words! " * 9_000, "en", 1), (701, None, "en", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    size, window, most = 24, 2, 60
+    model = quality_classifier.learn(df, df.select("doc_id", "quality"), size=size, window=window, most_tokens=most, steps=60)
+
+    def tokens_of(text):
+        out, lines, last = [], [], None
+        for line in (text or "").split("\n"):
+            if not line.split():
+                continue
+            out += ["\x00line"] * (line in lines)
+            lines.append(line)
+            for w in line.split():
+                core = "".join(c for c in w if c.isalnum()).lower()
+                out += ([core] if core else []) + ["\x01" + quality_classifier.shape(w)] + ["\x00word"] * (w == last)
+                last = w
+        return out
+
+    streams = {i: tokens_of(t) for i, t, _, _ in rows}
+    times = Counter(t for s in streams.values() for t in s)
+    chosen = [t for t, n in sorted(times.items(), key=lambda x: (-x[1], x[0].encode())) if n >= 3][:most]
+    assert list(model.tokens) == chosen and len(chosen) == most
+    index = {t: quality_classifier.index_vector(t, size) for t in chosen}
+    assert all(sorted(v[v != 0] ** 2) == [1] * 8 for v in index.values())
+    around = {t: np.zeros(size) for t in chosen}
+    for s in streams.values():
+        for k, t in enumerate(s):
+            for u in [*s[max(0, k - window) : k], *s[k + 1 : k + 1 + window]]:
+                if t in around and u in index:
+                    around[t] += index[u]
+    unit = lambda v: v / (np.sqrt((v * v).sum()) or 1)
+    vectors = {t: unit(around[t]) + unit(index[t].astype(float)) for t in chosen}
+    assert np.allclose(model.vectors, [vectors[t] for t in chosen], atol=1e-5)
+    for i, t, _, _ in rows:
+        known = [vectors[u] for u in streams[i] if u in vectors]
+        want = [*(sum(known) / len(known) if known else np.zeros(size)), 1 - len(known) / max(1, len(streams[i])), np.log(1 + len(streams[i]))]
+        assert np.allclose(model.pooled(t), want, atol=1e-4)
+    w1, b1, w2, b2 = model.layers
+    x = {i: (model.pooled(t) - model.mean) / model.spread for i, t, _, _ in rows}
+    logit = {i: sum(max(0.0, sum(v[d] * w1[d][h] for d in range(size + 2)) + b1[h]) * w2[h] for h in range(len(w2))) + b2[0] for i, v in x.items()}
+    got = {r.doc_id: r.score for r in quality_classifier.score(df, model).collect()}
+    assert all(abs(got[i] - 1 / (1 + np.exp(-logit[i] / model.temperature))) < 1e-4 for i in got)
+    order = [r.doc_id for r in df.orderBy(F.xxhash64("doc_id")).collect()]
+    label = {r[0]: r[3] for r in rows}
+    kept = [i for k, i in enumerate(order) if k % 5 == 4]
+    trained = np.array([model.pooled(dict((r[0], r[1]) for r in rows)[i]) for i in order if i not in kept])
+    assert np.allclose(model.mean, trained.mean(0), atol=1e-5)
+    loss = lambda t: np.mean([np.log1p(np.exp(-logit[i] / t if label[i] else logit[i] / t)) for i in kept])
+    assert loss(model.temperature) <= min(map(loss, np.geomspace(0.25, 8, 61))) + 1e-6
+    assert np.mean([(logit[i] > 0) == label[i] for i in order if i not in kept]) > 0.95
+
+
+def test_classifier_gradients_lower_the_loss():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200, 6)).astype(np.float32)
+    y = (x[:, 0] * x[:, 1] > 0).astype(np.float32)  # no single layer tells these apart
+    model = quality_classifier.Model({}, np.zeros((0, 4), np.float32), np.zeros(6, np.float32), np.ones(6, np.float32))
+    model = quality_classifier.fit(model, x, y, hidden=16, steps=400)
+    assert ((model.logits(x) > 0) == (y > 0)).mean() > 0.93
+
+
+def test_classifier_learns_from_whole_texts_of_bounded_ids(spark, docs, monkeypatch):
     seen = []
-    monkeypatch.setattr(quality_classifier, "fit", lambda texts, y, **_: seen.append((sorted(map(len, texts)), len(y))))
-    few = docs.where("doc_id < 10").select("doc_id", "text").union(spark.createDataFrame([(500, "long " * 30_000)], "doc_id long, text string"))
-    labels = few.select("doc_id", F.lit(1).alias("quality"))
-    quality_classifier.learn(few, labels)
-    quality_classifier.learn(few, labels, sample_chars=2_000)
-    assert seen[0][1] == 11 and seen[0][0][-1] == 150_000
-    order = [r.n for r in few.orderBy(F.xxhash64("doc_id")).select(F.char_length("text").alias("n")).collect()]
-    k = max(k for k in range(1, 12) if k == 1 or sum(order[:k]) <= 2_000)
-    assert seen[1] == (sorted(order[:k]), k)
-    quality_classifier.learn(few, labels.limit(0))
+    monkeypatch.setattr(quality_classifier, "fit", lambda model, x, y, **_: seen.append((sorted(np.round(np.expm1(x[:, -1])).tolist()), len(y))))
+    some = docs.where("doc_id < 10").select("doc_id", "text").union(spark.createDataFrame([(500, "long " * 30_000)] * 3, "doc_id long, text string"))
+    labels = some.select("doc_id", F.lit(1).alias("quality"))
+    quality_classifier.learn(some, labels)
+    assert seen[0][1] == 11 and seen[0][0][-1] == 30_000 * 3 - 1  # the word, its shape, and a mark for each repeat
+    quality_classifier.learn(some, labels, sample=4)
+    assert seen[1][1] == 4
+    quality_classifier.learn(some, labels.limit(0))
     assert seen[2] == ([], 0)
 
 
@@ -238,6 +312,26 @@ PL = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i s
 FI = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä jokainen on oikeutettu kaikkiin tässä julistuksessa esitettyihin oikeuksiin ja vapauksiin ilman minkäänlaista rotuun väriin sukupuoleen".split()
 
 
+def test_very_many_languages(spark):
+    """What comes to the driver is bounded for each language, and plans don't grow with their number."""
+    rng = random.Random(11)
+    rows = [(i, " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(12)), f"l{i % 1_500}", 1) for i in range(3_000)]
+    rows += [(10_000 + i, "die wege der leute", "de", 1) for i in range(50)] + [(None, "the ways of people", "en", 1)] * 50
+    p = language_id.learn(spark.createDataFrame(rows, SCHEMA), size=40, document_size=30)
+    assert len(p.languages) == 1_502 and len(p.ranks) <= 1_502 * 40
+    assert [p.nearest(t)[0] for t in ("die wege der leute", "the ways of people")] == ["de", "en"]
+    with pytest.raises(ValueError, match="n-grams"):
+        language_id.learn(spark.createDataFrame(rows[:5], SCHEMA), orders=4)
+
+
+def test_sampled_rows_are_those_of_the_hash(spark):
+    rows = [(None if i % 2 else i, f"word{'abcdefghij'[i % 10]} number{i}", "en", 1) for i in range(4_000)] + [(7, "copy copy", "en", 1)] * 4_000
+    seen = language_id.learn(spark.createDataFrame(rows, SCHEMA), sample_per_language=200, size=1_000)
+    assert 10 < len(seen.values) < 400
+    alone = language_id.learn(spark.createDataFrame([(7, "copy copy", "en", 1)] * 500, SCHEMA), sample_per_language=10**6, size=5)
+    assert len(alone.values) == 5
+
+
 def test_languages_that_were_not_learned_go(spark, docs):
     rng = random.Random(5)
     letters = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n))
@@ -267,10 +361,10 @@ def odd_texts():
 def test_chunks_are_stitched_as_one_text(vocabulary):
     rng = random.Random(9)
     for t in odd_texts():
-        for chunk, overlap in ((7, 3), (16, 1), (50, 20), (1, 1)):
+        for chunk, overlap in ((7, 3), (16, 3), (50, 20), (1, 3)):
             assert bpe.pretokenise(t, vocabulary.pattern, chunk, overlap) == vocabulary.pattern.findall(t)
     long = "".join(rng.choices("ab '\n", k=20_000))
-    assert bpe.pretokenise(long, vocabulary.pattern, 500, 2) == vocabulary.pattern.findall(long)
+    assert bpe.pretokenise(long, vocabulary.pattern, 500, 3) == vocabulary.pattern.findall(long)
 
 
 def test_tokens_equal_the_library_and_decode_back(spark, vocabulary):
@@ -284,6 +378,33 @@ def test_tokens_equal_the_library_and_decode_back(spark, vocabulary):
                 assert r.token_ids == vocabulary.library.encode_ordinary(texts[r.doc_id])
                 assert bytes(r.decoded) == texts[r.doc_id].encode()
     assert bpe.decode(bpe.encode(df.limit(0))).count() == 0
+    for r in bpe.digests(bpe.decode(bpe.encode(df)), block=7).collect():
+        if r.doc_id in texts and r.doc_id != 5:
+            told = vocabulary.library.encode_ordinary(texts[r.doc_id])
+            assert (r.n_tokens, r.ids_sha256) == (len(told), hashlib.sha256(" ".join(map(str, told)).encode()).hexdigest())
+            assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_chunks_overlap_by_more_than_the_pattern_looks_ahead(vocabulary):
+    rng = random.Random(10)
+    for _ in range(3_000):
+        t = "".join(rng.choices("a'relvst \n1", k=rng.randrange(4, 40)))
+        assert bpe.pretokenise(t, vocabulary.pattern, rng.randrange(1, 9), 3) == vocabulary.pattern.findall(t)
+    with pytest.raises(ValueError, match="overlap"):
+        bpe.pretokenise("a" * 99, vocabulary.pattern, 5, 2)
+    with pytest.raises(ValueError, match="rename"):
+        bpe.refuse_clash(("doc_id", "TOKEN_IDS"), ("token_ids",))
+
+
+def test_stitching_takes_linear_time(vocabulary):
+    def seconds(n):
+        began = time.process_time()
+        assert len("".join(bpe.pretokenise(t[:n], vocabulary.pattern))) == n
+        return time.process_time() - began
+
+    t = "some words of a text, 12 " * 400_000
+    least = min(seconds(4_000_000) for _ in range(2))
+    assert seconds(8_000_000) < 3 * least
 
 
 # --- packing
@@ -354,12 +475,40 @@ def test_packing_documents(spark, docs):
     assert packing.pack(df.limit(0)).count() == 0
 
 
-def test_fast_ids_equal_the_library(vocabulary):
+@pytest.fixture(scope="module")
+def encoder():
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    for t in odd_texts():
-        assert packing.token_ids(t, path, vocabulary).tolist() == packing._library(path).encode(t, add_special_tokens=False).ids
+    return packing.Tokenizer(public_tokenizers.path("byte_bpe_50k.json"), bpe.default_pattern())
+
+
+def test_ids_equal_the_library(encoder):
+    for t in [*odd_texts(), "x\u0378y \U0003d000a", "\U0001f600\u0301 1\u0662"]:
+        assert encoder.encode(t).tolist() == encoder.library.encode(t, add_special_tokens=False).ids, t
+
+
+@pytest.mark.parametrize("run", ["\n", " ", "\t \r", "7", "!?", "ab", "\u3000", "\x85"])
+def test_ids_of_runs_of_two_million(encoder, run):
+    t = run * (2_000_000 // len(run)) + "x"
+    assert encoder.encode(t).tolist() == encoder.library.encode(t, add_special_tokens=False).ids
+
+
+def test_texts_are_split_as_by_the_library(encoder):
+    """Over every assigned character, beside letters, digits and signs."""
+    from tokenizers import pre_tokenizers
+
+    theirs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    for first in range(0, 0x110000, 4_096):
+        text = "".join(f"a{c}a1{c}1!{c}! {c}" for c in map(chr, range(first, first + 4_096)) if not 0xD800 <= ord(c) < 0xE000 and not packing._unassigned()[ord(c)])
+        assert [text[a:b] for _, (a, b) in theirs.pre_tokenize_str(text)] == encoder.pieces.pattern.findall(text)
+
+
+def test_long_white_space_packs(spark):
+    df = spark.createDataFrame([(1, "\n" * 1_000_000 + "x"), (2, None)], "doc_id long, text string")
+    rows = packing.pack(df).collect()
+    assert {(r.doc_id, r.doc_tokens) for r in rows} == {(1, 500_003), (2, 1)} and sum(r.length for r in rows) == 500_004
+    with pytest.raises(ValueError, match="rename"):
+        packing.pack(df.withColumnRenamed("doc_id", "offset"), id_column="offset")
 
 
 # --- archives
@@ -435,21 +584,49 @@ def test_broken_payload_is_noticed(spark, tmp_path):
 
 
 def test_every_perspective(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob lee", "yo"), (1, 2, "ann", None), (2, None, None, "x"), (2, 5, "", "y"), (None, 0, "ann", "z"), (3, 0, "system", "s"), (1, 70, "ann", "later"), (1, 70, "ann", "later")]
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob lee", "yo"), (1, 2, "ann", None), (2, None, None, "x"), (2, 5, "", "y"), (None, 0, "ann", "z"), (3, 0, "system", "s"), (1, 270, "ann", "later"), (1, 270, "ann", "later")]
     df = spark.createDataFrame([(*r, "c") for r in rows], "conv_id long, turn long, role string, text string, segment string")
     got = {(r.conv_id, r.perspective, r.segment): r for r in chat_format.rotate(df).collect()}
     assert set(got) == {(1, "ann", 0), (1, "bob_lee", 0), (1, "ann", 1), (1, "bob_lee", 1), (2, "unknown", -1), (2, "unknown", 0), (None, "ann", 0)}
     r = got[1, "ann", 0]
     assert r.text == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n<|im_start|>assistant\n<|im_end|>\n<|im_start|>user name=bob_lee\nyo<|im_end|>\n"
-    assert [r.text[s.start : s.end] for s in r.spans] == ["hi < |im_end|><|im_end|>", "<|im_end|>"]
+    assert [r.text[s.start : s.end] for s in r.spans] == ["hi < |im_end|><|im_end|>", "<|im_end|>"] and not r.opened
     b = got[1, "bob_lee", 0]
     assert [b.text[s.start : s.end] for s in b.spans] == ["yo<|im_end|>"] and "user name=ann" in b.text and b.n_target_chars == 12
-    assert got[1, "ann", 1].n_messages == 2 and not got[1, "bob_lee", 1].spans
+    r = got[1, "ann", 1]  # begins with the system turn again
+    assert r.n_messages == 2 and r.opened and r.text == "<|im_start|>system\nbe kind<|im_end|>\n" + "<|im_start|>assistant\nlater<|im_end|>\n" * 2
+    assert [r.text[s.start : s.end] for s in r.spans] == ["later<|im_end|>"] * 2 and not got[1, "bob_lee", 1].spans
     assert chat_format.rotate(df.limit(0)).count() == 0
     plan = chat_format.rotate(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_crowded_turns_are_many_rows(spark):
+    rows = [(1, None, "ann", f"t{i}") for i in range(2_000)] + [(1, 3, "bob", "same")] * 1_000 + [(1, 4, "system", "late"), (1, 5, "ann", "end"), (2, 0, "ann", "short")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_format.rotate(df).where("perspective = 'ann'").collect()
+    assert sum(r.n_messages for r in got) == len(rows)
+    crowded = [r for r in got if r.segment == -1]
+    assert len(crowded) == 32 and max(r.n_messages for r in crowded) < 128
+    assert sorted(t for r in crowded for t in (r.text[s.start : s.end] for s in r.spans)) == sorted(f"t{i}<|im_end|>" for i in range(2_000))
+    again = [r for r in got if r.conv_id == 1 and r.segment == 0]
+    assert len(again) > 4 and max(r.n_messages for r in again) <= 6 * 64 and not any(r.opened for r in got)
+
+
+def test_chat_queries_equal_their_sql_on_odd_rows(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice([None, *range(600)]), rng.choice(["a", "b c", "system", "", None]), rng.choice(["x", "y <|z", "", None, "long" * 9])) for _ in range(900)]
+    rows += [(4, 7, "a", f"{i % 150}") for i in range(400)] + [(5, 300, "system", "s"), (5, 301, "a", "x"), (5, 900, "a", "x"), (5, 2, "b", "y")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    import duckdb
+
+    got = {tuple(r) for r in queries.op7_chat_formatting(spark, str(tmp_path)).select("conv_id", "perspective", "segment", "part", "n_messages", "opened", "text", "spans", "n_target_chars").collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = {tuple(r) for r in con.execute(queries.ORACLES["op7_chat_formatting"]).fetchall()}
+    assert got == want and len(got) > 20
+
+
 # --- search
 
 
@@ -484,6 +661,14 @@ def test_search_equals_brute_force(spark, scale):
             break
 
 
+def test_search_in_many_passes(spark):
+    rows = vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ask = df.where("vec_id % 7 = 0")
+    want = sorted(map(tuple, top_k.search(df, ask).collect()))
+    assert sorted(map(tuple, top_k.search(df, ask, pass_bytes=4_000).collect())) == want
+
+
 def test_search_prunes_blocks_rightly():
     rows = vectors(3000, 64)
     ids, m = np.array([i for i, _ in rows]), np.stack([top_k.scaled(v) for _, v in rows])
