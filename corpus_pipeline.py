@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import language_id, line_dedup, minhash, packing, quality_rules
-from assayer.llm._run import cut
+from assayer.llm._run import cut, fresh
 
 #: No stage but a few counts can be said in SQL: the tests hold each against brute force.
 ORACLE_SQL = None
@@ -34,11 +34,16 @@ def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays, once."""
-    stays = minhash.link(docs).where("kept").select("doc_id").distinct().alias("s")
-    rows = docs.withColumn("__th", F.xxhash64("text")).alias("d")
+    """Of each group of near duplicates the document with the smallest id stays, once.
+
+    Documents are near from a similarity of 0.8 on, the least that near duplicates take
+    where no contract says otherwise (``op1`` is bound to 0.85).  Copies have lost what
+    they repeat in the stage before, so little of them is left to be alike.
+    """
+    stays, own = minhash.link(docs, percent=80).where("kept").select("doc_id").distinct().alias("s"), fresh(docs.columns, "hash")
+    rows = docs.withColumn(own, F.xxhash64("text")).alias("d")
     kept = rows.join(stays, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__th"]).select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", own]).select(*docs.columns)
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
