@@ -1,6 +1,7 @@
 """MinHash near-dedup, line dedup and components against brute force."""
 
 import collections
+import os
 import random
 
 import numpy as np
