@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
@@ -85,7 +86,7 @@ def _first(values: list[int], least: int) -> int:
 class Pieces:
     """Pre-tokenised pieces met lately with their ids, in two generations of ``kept`` each, so frequent ones stay."""
 
-    def __init__(self, pattern: str, ids_of: Callable[[str], list[int]], kept: int = 150_000):
+    def __init__(self, pattern: str, ids_of: Callable[[str], list[int]], kept: int = 400_000):
         self.pattern, self.ids_of, self.kept = regex.compile(pattern), ids_of, kept
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -95,16 +96,15 @@ class Pieces:
         if len(self.young) > self.kept:
             self.young, self.old = {}, self.young
         known, before = self.young, self.old
-        for p in set(pieces):
-            if p not in known:
-                known[p] = before.get(p) or np.array(self.ids_of(p), np.int32).tobytes()
+        for p in set(pieces).difference(known):
+            known[p] = before.get(p) or array("i", self.ids_of(p)).tobytes()
         return np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
 
 
 class Vocabulary(Pieces):
     """Ranks of a vocabulary file."""
 
-    def __init__(self, path: str, pattern: str, kept: int = 150_000):
+    def __init__(self, path: str, pattern: str, kept: int = 400_000):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})

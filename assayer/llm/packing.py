@@ -145,9 +145,8 @@ class Tokenizer:
 
         self.library = tokenizers.Tokenizer.from_file(path)
         self.special, self.special_id = special, self.library.token_to_id(special)
-        alphabet = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        model = self.library.model
-        self.pieces = bpe.Pieces(pattern, lambda p: [t.id for mapped, _ in alphabet.pre_tokenize_str(p) for t in model.tokenize(mapped)])
+        letters, model = _byte_letters(tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)), self.library.model
+        self.pieces = bpe.Pieces(pattern, lambda p: [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))])
 
     def encode(self, text: str) -> np.ndarray:
         if not text.isascii() and _unassigned()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
@@ -159,6 +158,15 @@ class Tokenizer:
         return np.concatenate(out).astype(np.uint32)
 
 
+def _byte_letters(alphabet) -> str:
+    """The letter that the library writes for each byte, seen on characters whose UTF-8 has that byte."""
+    letters = ["\0"] * 256  # some bytes never occur
+    for code in (*range(0x800), *range(0x800, 0xD800, 0x400), *range(0xE000, 0x10000, 0x400), *range(0x10000, 0x110000, 0x10000)):
+        for byte, letter in zip(chr(code).encode(), alphabet.pre_tokenize_str(chr(code))[0][0]):
+            letters[byte] = letter
+    return "".join(letters)
+
+
 @lru_cache(maxsize=1)
 def _unassigned() -> np.ndarray:
     return np.fromiter((unicodedata.category(chr(i)) == "Cn" for i in range(0x110000)), bool, 0x110000)
