@@ -37,7 +37,7 @@ from .language_id import Profiles, learn
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-HELD_WORDS = 200_000  # different words that a task counts before it gives them out
+PIECE_WORDS, HELD_WORDS = 20_000, 4_000_000  # words of a language that make a piece, and those that a task holds
 #: Character classes, in the order of the histogram.
 CLASSES = ("lower", "upper", "digit", "space", "line end", "sentence", "quote", "symbol", "other ascii", "wide lower", "wide upper", "other wide")
 
@@ -152,72 +152,117 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def build_references(df: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang", *, id_column: str = "doc_id", for_others: bool = True) -> References:
     """The references of each language.
 
-    Tasks count classes of characters and words; Spark adds them up, and takes of each
-    language the most frequent words with at least ``common_share`` of all its words.
-    Only these, ``common_words`` of a language at most, and its classes come to the
-    driver, for languages that have a reference.
+    Common words are those with at least ``common_share`` of a language's words, the
+    ``common_words`` most frequent of them.  Two passes find them.  In the first, tasks
+    cut each language's texts into pieces of at least ``PIECE_WORDS`` words; what is too
+    little for a piece counts whole.  However the texts are cut, such a word has that
+    share in one piece, or in all that is too little for pieces together.  Spark adds up
+    what is known of these words, and drops those that enough others are ahead of for
+    certain.  The second pass counts the words that are left, a few more than
+    ``common_words`` for each language, and the classes of characters; only these come
+    to the driver, and only for languages that have a reference.
 
     N-grams are learned from a bounded sample of each language.  With ``for_others``
     false only the rows of ``df`` are to be judged, so if each has a reference of its
     own, there is nothing to learn them for.
     """
     ship(df.sparkSession)
+    share = limits.common_share
     source = df.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
 
-    def counted(batches):
-        words: dict[str, Counter] = {}
-        chars: dict[str, np.ndarray] = {}
-        totals: dict[str | None, int] = {}
+    def pieces(batches):
+        whole: dict[str | None, tuple[Counter, int]] = {}  # each language's last piece, which takes up what is left at the end
+        parts: dict[str | None, tuple[Counter, int]] = {}
         held = 0
 
-        def given(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(),) * 3 + (pa.int64(),))], ["l", "kind", "item", "n"])
-
-        def all_words() -> Iterator[pa.RecordBatch]:
-            for la, c in words.items():
-                items = list(c.items())
-                for at in range(0, len(items), 10_000):
-                    yield given([(la, "w", w.decode("utf-8", "replace"), n) for w, n in items[at : at + 10_000]])
-            words.clear()
+        def given(la: str | None, words: Counter, n: int, large: bool) -> pa.RecordBatch:
+            rows = [(w.decode("utf-8", "replace"), k) for w, k in words.items() if not large or k >= share * n]
+            ws, ks = [None, *(w for w, _ in rows)], [n, *(k for _, k in rows)]
+            none = [0] * len(ws)
+            columns = [[la] * len(ws), ws, ks if large else none, none if large else ks, [0, *[n] * len(rows)] if large else none]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(),) * 2 + (pa.int64(),) * 3)], ["l", "w", "large", "small", "told"])
+
+        def all_of_them() -> Iterator[pa.RecordBatch]:
+            for la, (words, n) in parts.items():
+                if la in whole:
+                    whole[la][0].update(words)
+                    whole[la] = whole[la][0], whole[la][1] + n
+                else:
+                    yield given(la, words, n, False)
+            for la, (words, n) in whole.items():
+                yield given(la, words, n, True)
+            parts.clear()
+            whole.clear()
 
         for t, la in _rows(batches):
             if not t:
                 continue
-            if la is None:  # has no reference, but asks for one
-                totals[None] = totals.get(None, 0) + 1
-                continue
-            found = words_of(t)
-            mine = words.setdefault(la, Counter())
-            held -= len(mine)
-            mine.update(found)
-            held += len(mine)
-            chars[la] = chars.get(la, 0) + char_histogram(t)
-            totals[la] = totals.get(la, 0) + len(found)
+            found = words_of(t) if la is not None else []
+            words, n = parts.get(la) or (Counter(), 0)
+            words.update(found)
+            parts[la] = words, n + len(found)
+            held += len(found)
+            if n + len(found) >= PIECE_WORDS:
+                if la in whole:
+                    yield given(la, *whole[la], True)
+                whole[la] = parts.pop(la)
             if held > HELD_WORDS:
-                yield from all_words()
+                yield from all_of_them()
                 held = 0
-        yield from all_words()
-        yield given([(la, "n", "", n) for la, n in totals.items()] + [(la, "c", str(i), int(n)) for la, c in chars.items() for i, n in enumerate(c)])
-
-    counts = source.mapInArrow(counted, "l string, kind string, item string, n long").groupBy("l", "kind", "item").agg(F.sum("n").alias("n"))
-    counts = cut(counts, "counts")
-    totals = counts.where("kind = 'n'").select("l", F.col("n").alias("total"))
-    large = totals.where(F.col("l").isNotNull() & (F.col("total") >= max(1, limits.min_reference_words)))
-    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "item"))
-    common = counts.where("kind = 'w'").join(large, "l").where(F.col("n") >= limits.common_share * F.col("total"))
-    common = common.withColumn("rank", rank).where(F.col("rank") <= limits.common_words).select("l", "rank", "item", "n")
-    classes = counts.where("kind = 'c'").join(large, "l").select("l", F.col("item").cast("int").alias("rank"), "item", "n")
-    out = References()
-    for la, total in large.toArrow().to_pandas().itertuples(index=False):
-        out[la] = Reference(np.zeros(len(CLASSES)), {}, np.array([total], float))
-    for la, part in classes.toArrow().to_pandas().groupby("l"):
-        out[la].chars[part["rank"].to_numpy()] = part["n"].to_numpy()
-    for la, part in common.toArrow().to_pandas().sort_values(["l", "rank"]).groupby("l"):
-        times, total = part["n"].to_numpy(), out[la].word_shares[0]
-        out[la].words = {w: i for i, w in enumerate(part["item"])}
-        out[la].word_shares = np.append(times, total - times.sum()).astype(float)
-    if out and (for_others or not totals.join(large.select("l"), "l", "left_anti").isEmpty()):
+        yield from all_of_them()
+
+    known = source.mapInArrow(pieces, "l string, w string, large long, small long, told long")
+    known = cut(known.groupBy("l", "w").agg(*[F.sum(c).alias(c) for c in ("large", "small", "told")]), "pieces")
+    totals = known.where("w IS NULL").select("l", F.col("large").alias("all_large"), (F.col("large") + F.col("small")).alias("total"))
+    has = F.col("l").isNotNull() & (F.col("total") >= max(1, limits.min_reference_words))
+    counted_words = known.where("w IS NOT NULL").join(totals.where(has), "l")
+    least, most = F.col("large") + F.col("small"), F.col("large") + F.col("small") + share * (F.col("all_large") - F.col("told"))
+    sure = Window.partitionBy("l").orderBy(F.desc("least"), "w")
+    words = counted_words.select("l", "w", least.alias("least"), most.alias("most"), "total").where(F.col("most") >= share * F.col("total"))
+    words = words.withColumn("bar", F.nth_value("least", limits.common_words).over(sure.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    words = words.where(F.col("bar").isNull() | (F.col("most") >= F.col("bar"))).select("l", "w")
+    wanted: dict[str, set[bytes]] = {la: set() for la in totals.where(has).select("l").toArrow()["l"].to_pylist()}
+    for la, w in zip(*(c.to_pylist() for c in words.toArrow().columns)):
+        wanted[la].add(w.encode())
+    sent = df.sparkSession.sparkContext.broadcast(wanted)
+
+    def counted(batches):
+        chars: dict[str, np.ndarray] = {}
+        sizes: dict[str, int] = {}
+        times: dict[str, Counter] = {}
+        for batch in batches:
+            met: dict[str, Counter] = {}
+            for t, la in _rows([batch]):
+                if t and la in sent.value:
+                    found = words_of(t)
+                    met.setdefault(la, Counter()).update(found)
+                    chars[la] = chars.get(la, 0) + char_histogram(t)
+                    sizes[la] = sizes.get(la, 0) + len(found)
+            for la, c in met.items():
+                times.setdefault(la, Counter()).update({w: c[w] for w in sent.value[la] if w in c})
+        rows = [(la, "n", "", n) for la, n in sizes.items()]
+        for la in chars:
+            rows += [(la, "c", str(i), int(n)) for i, n in enumerate(chars[la])]
+            rows += [(la, "w", w.decode("utf-8", "replace"), n) for w, n in times[la].items()]
+        columns = list(zip(*rows)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(),) * 3 + (pa.int64(),))], ["l", "kind", "item", "n"])
+
+    sums = source.mapInArrow(counted, "l string, kind string, item string, n long").groupBy("l", "kind", "item").agg(F.sum("n").alias("n")).toArrow()
+    out, top = References(), {}
+    for la in wanted:
+        out[la] = Reference(np.zeros(len(CLASSES)))
+    for la, kind, item, n in zip(*(c.to_pylist() for c in sums.columns)):
+        if kind == "c":
+            out[la].chars[int(item)] = n
+        else:
+            top.setdefault(la, []).append((-n, item))
+    for la, found in top.items():
+        found.sort()  # the total comes first: no word is more frequent, and the empty one sorts before all others
+        total = -found[0][0]
+        chosen = [x for x in found[1:] if -x[0] >= share * total][: limits.common_words]
+        out[la].words = {w: i for i, (_, w) in enumerate(chosen)}
+        out[la].word_shares = np.array([-n for n, _ in chosen] + [total + sum(n for n, _ in chosen)], float)
+    if out and (for_others or not totals.where(F.coalesce(~has, F.lit(True))).isEmpty()):
         out.profiles = learn(df.where(F.col(lang).cast("string").isin(*out)), id_column=id_column, text=text, lang=lang)
     return out
 
