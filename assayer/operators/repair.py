@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.fixes import DEGREE_COLUMN, fix_value, split_name_and_degree
 from ..functions.nulls import is_null_like, quoted, strip
@@ -57,6 +58,7 @@ class Repaired:
     table: DataFrame  # the dataset with the new columns
     sidecar: DataFrame  # an audit row for each decision
     results: DataFrame  # column_name, issue_type, rows_fixed, rows_failed
+    ordered: DataFrame | None = None  # the audit rows with ``seq``, their order within a row
 
 
 def collected(recommendations: DataFrame) -> list[Recommendation]:
@@ -213,10 +215,10 @@ def conformity_outcome(df: DataFrame, rec: Recommendation, rule: Rule, *, as_of=
     return out
 
 
-def completeness_outcome(df: DataFrame, rec: Recommendation, rule: Rule | None, *, city: Column | None = None, postal: Column | None = None, city_map: Column | None = None, agreed: Column | None = None, steps: Steps) -> Column | None:
+def completeness_outcome(df: DataFrame, rec: Recommendation, rule: Rule | None, *, city: Column | None = None, postal: Column | None = None, agreed: Column | None = None, steps: Steps) -> Column | None:
     """The repair of missing values: by the row's names, by its address, or by the suggested value.  None: nothing to do.
 
-    Candidates for a city are held against ``city_map``; ``agreed`` is what a join found, where the map is too large for that.
+    Of several candidates for a city, ``agreed`` is the first that a join found in the row's state.
     """
     name = rec.column_name
     v = quoted(find_column(df.columns, name)).cast("string")
@@ -246,7 +248,7 @@ def completeness_outcome(df: DataFrame, rec: Recommendation, rule: Rule | None,
                 value = F.when(conforms(value, rule, name), value)
             reason = "state inference from context"
         else:
-            value, reason = infer_city(address, _sibling(df.columns, name, "State Name"), city_map), "city inference from context"
+            value, reason = infer_city(address), "city inference from context"
             value = value if agreed is None else F.coalesce(agreed, value)
         value = steps.bind(1, value)
         done = _outcome(value, reason, recommendation_text(rec, v, value, None), n_fixed=1, rows=[_row(rec, None, value, reason)])
@@ -258,21 +260,16 @@ def completeness_outcome(df: DataFrame, rec: Recommendation, rule: Rule | None,
     return F.when(missing, _outcome(value, reason, recommendation_text(rec, v, value, None), n_fixed=1, rows=[_row(rec, None, value, reason)])).otherwise(_outcome())
 
 
-CITY_MAP_ROWS = 10_000  # up to so many cities are held as one literal map, for the choice among several candidates; more are joined
-
-
-def repair(df: DataFrame, recs: Iterable[Recommendation], rules: Mapping[str, Rule], *, maps: Maps | None = None, as_of=None, only_actionable: bool = True, kinds: Iterable[str] = ("conformity", "completeness"), recommendations_only: bool = False, city_suffix: str = "state_code") -> Repaired:
+def repair(df: DataFrame, recs: Iterable[Recommendation], rules: Mapping[str, Rule], *, maps: Maps | None = None, as_of=None, only_actionable: bool = True, kinds: Iterable[str] = ("conformity", "completeness"), recommendations_only: bool = False, city_suffix: str = "state_code", folder: str | None = None) -> Repaired:
     """Applies recommendations to a dataset with a ``row_index``.
 
     ``recommendations_only`` leaves out values and flags: texts and audit rows alone.
+    With ``folder``, a shared one, outcomes are written there once, and the table, the
+    audit rows and the results read them; without, each works them out for itself.
     """
     maps, spark = maps or Maps(), df.sparkSession
     states = sorted({s for c, r in rules.items() if "State Name" in c and "Address" in c and r.rule_type == "enum" for s in r.rule_config.get("values", ())})
     base, plan, extra, steps = df, [], [], Steps()
-    city_map, few = None, False
-    if maps.cities is not None and maps.cities.limit(CITY_MAP_ROWS + 1).count() <= CITY_MAP_ROWS:
-        pairs, few = maps.cities.collect(), True  # counted above
-        city_map = F.create_map(*[F.lit(x) for r in pairs for x in (r.city, r.state)]) if pairs else None
     for i, rec in enumerate(chosen(recs, only_actionable=only_actionable, kinds=kinds)):
         column = find_column(df.columns, rec.column_name)
         if column is None:
@@ -300,13 +297,13 @@ def repair(df: DataFrame, recs: Iterable[Recommendation], rules: Mapping[str, Ru
                 by_code = F.col(f"__p{i}")
                 extra.append(f"__p{i}")
             here = _sibling(df.columns, rec.column_name, "State Name")
-            if "City Name" in rec.column_name and "Address" in rec.column_name and rec.fix_strategy == "context_imputation" and maps.cities is not None and not few and here is not None:
+            if "City Name" in rec.column_name and "Address" in rec.column_name and rec.fix_strategy == "context_imputation" and maps.cities is not None and here is not None:
                 named = city_candidates(F.coalesce(_address(df.columns, rec.column_name), F.lit("")))
                 named = F.when(is_null_like(quoted(column).cast("string"), rec.column_name) & (F.size(named) > 1), named)
                 base = reference.first_in_state(base, df, ROW, named, F.upper(strip(here)), maps.cities, f"__a{i}")
                 agreed = F.col(f"__a{i}")
                 extra.append(f"__a{i}")
-            found = completeness_outcome(df, rec, rule, city=by_city, postal=by_code, city_map=city_map, agreed=agreed, steps=steps)
+            found = completeness_outcome(df, rec, rule, city=by_city, postal=by_code, agreed=agreed, steps=steps)
         plan.append((rec, column, found))
     done = [(r, c, o) for r, c, o in plan if o is not None]
     if not done:
@@ -315,6 +312,9 @@ def repair(df: DataFrame, recs: Iterable[Recommendation], rules: Mapping[str, Ru
         return Repaired(df, empty, spark.createDataFrame(results, "column_name string, issue_type string, rows_fixed long, rows_failed long, success boolean"))
     once = F.explode(F.array(F.struct(*[o.alias(f"o{i}") for i, (_, _, o) in enumerate(done)]))).alias("__o")
     outcomes = steps.over(base).select(*[quoted(c) for c in df.columns], once)
+    if folder is not None:
+        outcomes.write.mode("overwrite").parquet(folder)
+        outcomes = spark.read.schema(outcomes.schema).parquet(folder)
 
     columns: dict[str, list[str]] = {}
     for i, (_, c, _) in enumerate(done):
@@ -332,19 +332,30 @@ def repair(df: DataFrame, recs: Iterable[Recommendation], rules: Mapping[str, Ru
     table = outcomes.select(*kept, *sides)
 
     rows = F.flatten(F.array(*[F.col(f"__o.o{i}")["rows"] for i in range(len(done))]))
-    sidecar = outcomes.select(ROW, F.explode(rows).alias("x")).select(ROW, "x.*")
+    ordered = outcomes.select(ROW, F.posexplode(rows).alias("seq", "x")).select(ROW, "seq", "x.*")
     totals = outcomes.agg(*[F.coalesce(F.sum(F.col(f"__o.o{i}")[n]), F.lit(0)).alias(f"{n}{i}") for i in range(len(done)) for n in ("n_fixed", "n_failed")])
     listed = F.array(*[F.struct(F.lit(r.column_name).alias("column_name"), F.lit(r.issue_type).alias("issue_type"), F.col(f"n_fixed{i}").alias("rows_fixed"), F.col(f"n_failed{i}").alias("rows_failed"), (F.col(f"n_failed{i}") == 0).alias("success")) for i, (r, _, _) in enumerate(done)])
     results = totals.select(F.explode(listed).alias("x")).select("x.*")
-    return Repaired(table, sidecar, results)
+    return Repaired(table, ordered.drop("seq"), results, ordered)
 
 
 def effective(table: DataFrame, columns: Iterable[str], *, with_recommended: DataFrame | None = None) -> DataFrame:
-    """The values after repair: the repaired one, else a recommended one of the sidecar, else the original."""
+    """The values after repair: the repaired one, else a recommended one, else the original.
+
+    ``with_recommended`` has audit rows; of several for one cell the last by ``seq`` wins
+    (without that column, the greatest kind of issue and value).
+    """
     columns = list(columns)
     fixed = [F.coalesce(quoted(f"{c}__auto_fixed"), quoted(c)).alias(c) if f"{c}__auto_fixed" in table.columns else quoted(c) for c in columns]
     if with_recommended is None:
         return table.select(ROW, *fixed)
-    found = with_recommended.where(F.col("recommended_value").isNotNull()).groupBy(ROW).pivot("column", columns).agg(F.last("recommended_value"))
+    order = ["seq"] if "seq" in with_recommended.columns else ["issue_type", "recommended_value"]
+    found = with_recommended.where(F.col("recommended_value").isNotNull()).groupBy(ROW).pivot("column", columns).agg(F.max_by("recommended_value", F.struct(*order)))
     renamed = found.select(ROW, *[quoted(c).alias(f"__r_{c}") for c in columns])
     return table.select(ROW, *fixed).join(renamed, ROW, "left").select(ROW, *[F.coalesce(quoted(f"__r_{c}"), quoted(c)).alias(c) for c in columns])
+
+
+def details(sidecar: DataFrame, n: int = 10) -> DataFrame:
+    """The first ``n`` audit rows of each column and kind of issue, by their place."""
+    order = Window.partitionBy("column", "issue_type").orderBy(ROW)
+    return sidecar.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= n).drop("__r")

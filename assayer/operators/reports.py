@@ -47,6 +47,13 @@ def covered_columns(points: DataFrame, least: int = 3) -> DataFrame:
     return points.groupBy("column_name").agg(F.count_distinct("run_id").alias("runs")).withColumn("enough", F.col("runs") >= least)
 
 
+def coverage(rules: DataFrame, points: DataFrame) -> DataFrame:
+    """Columns that have only a rule or only a history, and which of them: both anti joins."""
+    ruled, known = rules.select("column_name").distinct(), points.select("column_name").distinct()
+    alone = ruled.join(known, "column_name", "left_anti").withColumn("has", F.lit("rule"))
+    return alone.unionByName(known.join(ruled, "column_name", "left_anti").withColumn("has", F.lit("history")))
+
+
 def outlier_runs(runs: DataFrame, times: float = 2.0, by: str | None = None) -> DataFrame:
     """Runs with more than ``times`` the median rows, the upper of two middle ones; none of fewer than two runs.
 
@@ -126,3 +133,31 @@ def as_json(rows: DataFrame, examples: int = 5) -> DataFrame:
     if "examples" in rows.columns:
         rows = rows.withColumn("examples", F.slice("examples", 1, examples))
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("json"))
+
+
+def profile_document(profile, issues: DataFrame, examples: int = 5) -> DataFrame:
+    """One row with a whole profile as a JSON document: dataset, columns and issues, nested.
+
+    It has a row's part for each column and issue, as many as the columns allow.
+    """
+    shown = issues.withColumn("examples", F.slice("examples", 1, examples))
+    return _document(profile.dataset, "dataset", columns=(profile.metrics, "column_name"), issues=(shown, "seq"))
+
+
+def validation_document(overall: DataFrame, found: DataFrame) -> DataFrame:
+    """One row with a validation as a JSON document: the summary, and a part for each column."""
+    return _document(overall, "summary", column_results=(found, "column_name"))
+
+
+def recommendation_document(totals: DataFrame, recommendations: DataFrame) -> DataFrame:
+    """One row with recommendations as a JSON document: the counts, and the list."""
+    return _document(totals, "summary", recommendations=(recommendations, "seq"))
+
+
+def _document(head: DataFrame, name: str, **parts: tuple[DataFrame, str]) -> DataFrame:
+    out = head.select(F.struct(*head.columns).alias(name))
+    for part, (rows, order) in parts.items():
+        listed = rows.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("__by"), F.to_json(F.struct(*rows.columns)).alias("json")))).alias("x"))
+        out = out.withColumn("__one", F.lit(1)).join(listed.select(F.transform("x", lambda x: x["json"]).alias(part), F.lit(1).alias("__one")), "__one").drop("__one")
+    texts = [F.concat(F.lit(f'"{p}":['), F.array_join(p, ","), F.lit("]")) for p in parts]
+    return out.select(F.concat(F.lit(f'{{"{name}":'), F.to_json(name), F.lit(","), F.concat_ws(",", *texts), F.lit("}")).alias("json"))

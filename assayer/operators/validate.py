@@ -85,3 +85,15 @@ def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
     b = before.select("column_name", F.col("completeness").alias("completeness_before"), F.col("conformity").alias("conformity_before"))
     a = after.select("column_name", F.col("completeness").alias("completeness_after"), F.col("conformity").alias("conformity_after"))
     return b.join(a, "column_name", "full").withColumn("conformity_gain", F.col("conformity_after") - F.col("conformity_before")).withColumn("completeness_gain", F.col("completeness_after") - F.col("completeness_before"))
+
+
+def improvement(both: DataFrame) -> DataFrame:
+    """One row: mean scores of either side, and the mean gain over the columns that both have."""
+    return both.agg(
+        F.count("conformity_before").alias("columns_before"),
+        F.count("conformity_after").alias("columns_after"),
+        F.count("conformity_gain").alias("columns_common"),
+        *[F.avg(f"{what}_{when}").alias(f"average_{what}_{when}") for what in ("completeness", "conformity") for when in ("before", "after")],
+        F.avg("completeness_gain").alias("mean_completeness_gain"),
+        F.avg("conformity_gain").alias("mean_conformity_gain"),
+    )

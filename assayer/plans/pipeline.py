@@ -26,8 +26,11 @@ class Outcome:
     run_id: str | None = None
 
 
-def run(df: DataFrame, rules: Mapping[str, Rule] | None = None, *, at: dt.datetime, dataset_name: str = "dataset", history: History | None = None, settings: anomaly.Settings = anomaly.Settings(), maps: repair.Maps | None = None, execute: bool = True, only_actionable: bool = True, rows_to_profile: int | None = None) -> Outcome:
-    """All stages over a dataset with a ``row_index``; ``rows_to_profile`` samples what is profiled, not what is repaired."""
+def run(df: DataFrame, rules: Mapping[str, Rule] | None = None, *, at: dt.datetime, dataset_name: str = "dataset", history: History | None = None, settings: anomaly.Settings = anomaly.Settings(), maps: repair.Maps | None = None, execute: bool = True, only_actionable: bool = True, rows_to_profile: int | None = None, folder: str | None = None) -> Outcome:
+    """All stages over a dataset with a ``row_index``; ``rows_to_profile`` samples what is profiled, not what is repaired.
+
+    ``folder``, a shared one, takes the outcomes of repairs, so that they are worked out once.
+    """
     rules = provider_rules() if rules is None else rules
     day = at.date()
     profiled = files.sample(df, rows_to_profile) if rows_to_profile else df
@@ -43,7 +46,7 @@ def run(df: DataFrame, rules: Mapping[str, Rule] | None = None, *, at: dt.dateti
     out = Outcome(found, seen, anomalies, advice, run_id=run_id)
     if execute:
         recs = repair.collected(advice)
-        out.repaired = repair.repair(df, recs, rules, maps=maps, as_of=day, only_actionable=only_actionable)
+        out.repaired = repair.repair(df, recs, rules, maps=maps, as_of=day, only_actionable=only_actionable, folder=folder)
         touched = [c for c in dict.fromkeys([*(r.column_name for r in recs), *rules]) if c in df.columns]
         before = validate.scores(df, rules, {c: c for c in touched}, as_of=day)
         after = validate.scores(repair.effective(out.repaired.table, touched), rules, {c: c for c in touched}, as_of=day)
@@ -55,7 +58,8 @@ def run_file(spark: SparkSession, path: str, *, at: dt.datetime, output: str | N
     """The chain over a file; the repaired table and the audit rows go beside ``output``."""
     df = files.load_dataset(spark, path)
     name = more.pop("dataset_name", path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0])
-    out = run(df, at=at, dataset_name=name, history=History(spark, history_root) if history_root else None, **more)
+    folder = f"{output}.outcomes" if output else None
+    out = run(df, at=at, dataset_name=name, history=History(spark, history_root) if history_root else None, folder=folder, **more)
     if output and out.repaired is not None:
         if output == path:
             files.backup(path, at)

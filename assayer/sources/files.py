@@ -7,7 +7,7 @@ import shutil
 from datetime import datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,14 +72,16 @@ def with_row_index(df: DataFrame, order: list[str] | None = None) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """A CSV file with a header, all text.  UTF-8, or Latin-1 where the bytes aren't UTF-8."""
+    """A CSV file with a header, all text.  UTF-8, or Latin-1 where the bytes aren't UTF-8.
 
-    def read(code: str) -> DataFrame:
-        return spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=True, encoding=code, enforceSchema=False)
-
-    if encoding:
-        return read(encoding)
-    return read("UTF-8" if spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).isEmpty() else "ISO-8859-1")
+    One pass over the lines tells the encoding, and whether a line holds an odd number
+    of quotes.  Only then can a quoted value have line ends, so that a file has to be
+    read by one task; all others are split.
+    """
+    odd = F.char_length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    seen = spark.read.text(path).agg(F.bool_or(~F.is_valid_utf8("value")).alias("latin"), F.bool_or(odd).alias("across")).first()
+    code = encoding or ("ISO-8859-1" if seen.latin else "UTF-8")
+    return spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=bool(seen.across), encoding=code, enforceSchema=False)
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
@@ -103,6 +105,11 @@ def load_dataset(spark: SparkSession, path: str, *, focused_only: bool = True, c
     return with_row_index(df) if row_index else df
 
 
+def _csv(writer: DataFrameWriter) -> DataFrameWriter:
+    """Values as they are: Spark would strip them when it writes."""
+    return writer.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
 def save_dataset(df: DataFrame, path: str, *, single_file: bool = False) -> str:
     """Writes by suffix.  A folder of part files, or with ``single_file`` one file written by one task."""
     kind = _kind(path)
@@ -110,11 +117,11 @@ def save_dataset(df: DataFrame, path: str, *, single_file: bool = False) -> str:
         df.toPandas().to_excel(path, index=False)
         return path
     if not single_file:
-        (df.write.mode("overwrite").option("header", True).option("escape", '"').csv if kind == "csv" else df.write.mode("overwrite").parquet)(path)
+        (_csv(df.write.mode("overwrite")).csv if kind == "csv" else df.write.mode("overwrite").parquet)(path)
         return path
     folder = f"{path}.parts"
     one = df.coalesce(1).write.mode("overwrite")
-    one.option("header", True).option("escape", '"').csv(folder) if kind == "csv" else one.parquet(folder)
+    _csv(one).csv(folder) if kind == "csv" else one.parquet(folder)
     fs, where = _fs(df.sparkSession, folder)
     target = _fs(df.sparkSession, path)[1]
     part = next(s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith("part-"))
@@ -139,7 +146,7 @@ def first_rows(df: DataFrame, n: int = 100) -> DataFrame:
 
 def sample(df: DataFrame, n: int, seed: int = 42, key: str = ROW) -> DataFrame:
     """Exactly n rows (all, if fewer), the same ones every time: those whose keyed hash is least."""
-    return df.orderBy(F.xxhash64(quoted(key), F.lit(seed)), quoted(key)).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), quoted(key).cast("string")).cast("binary")), quoted(key)).limit(n)
 
 
 def preview(df: DataFrame, n: int = 20) -> DataFrame:

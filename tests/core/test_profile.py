@@ -139,7 +139,7 @@ def test_recommendations(spark):
     p = profile.profile(df, RULES, as_of=AT.date())
     got = {(r.column_name, r.issue_type): r for r in recommend.recommend(issues.detect(p, RULES), p.metrics, RULES, df).collect()}
     npi = got["NPI", "conformity"]
-    assert npi.confidence_score == 0.85 and npi.actionable and "2 of 3" in npi.rationale
+    assert npi.confidence_score == 0.85 and npi.actionable and "3 violations" in npi.rationale and "2 of them" in npi.rationale
     assert got[f"{place} Country Code (If outside U.S.)", "completeness"].suggested_value == "US"
     assert got[f"{place} State Name", "completeness"].confidence_score == 0.6
     et = got[ENTITY_TYPE, "completeness"]
@@ -179,7 +179,7 @@ def test_context_imputation(spark):
     assert side == {(0, "City"): "BOSTON", (2, "City"): None, (0, "State"): None, (1, "State"): "MA", (2, "State"): "CA"}
 
 
-@pytest.mark.parametrize("others", [0, repair.CITY_MAP_ROWS])
+@pytest.mark.parametrize("others", [0, 10_001])
 def test_city_agrees_with_state_whatever_the_size_of_the_map(spark, others):
     place = "Provider Business Mailing Address"
     lines = ["Springfield Gardens, Boston, Salem", "Springfield Gardens, Salem, Boston", "Springfield Gardens, Boston", "Springfield Gardens, Boston", "Boston", "Springfield Gardens, Boston", None]
