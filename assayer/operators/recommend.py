@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,63 +20,90 @@ FIELDS = "column_name string, issue_type string, fix_strategy string, fix_descri
 # --- which of a rule's violations can be repaired, and how
 
 
-def violation_fixes(c: Column, rule: Rule, name: str = "") -> tuple[Column, Column]:
-    """For one violating value: whether it counts as repairable, and the suggestions it gives."""
-    name = name or rule.column_name
-    v, config = strip(c), rule.rule_config
-    none = F.array().cast("array<string>")
-    said = lambda when, text: F.when(when, F.array(F.lit(text))).otherwise(none)
-    if rule.rule_type == "regex":
-        pattern = config.get("pattern", "")
-        fits = lambda x: x.rlike("(?U)^(?:" + pattern + ")")
-        one = F.regexp_replace(v, r"(?U)\s+", " ")
-        tests = [((one != v) & fits(one), "Remove extra whitespace")]
-        if r"\d" in pattern:
-            d = F.regexp_replace(v, r"(?U)\D", "")
-            n = F.char_length(d)
-            if name == "NPI":
-                tests.append((n >= 10, "Extract 10 digits from value"))
-            elif "EIN" in name:
-                tests.append((n >= 9, "Extract 9 digits from value"))
-            else:
-                tests.append(((n > 0) & fits(d), "Remove non-digit characters"))
-        if "[A-Za-z]" in pattern:
-            tests.append((fits(F.upper(v)), "Normalize to uppercase"))
-        if "Taxonomy Code" in name or "License Number" in name:
-            plain = F.upper(F.regexp_replace(v, "[^A-Za-z0-9]", ""))
-            tests.append(((plain != "") & fits(plain), "Remove special characters"))
-        tests.append((fits(v), "Trim whitespace"))
-        good = tests[0][0]
-        for t, _ in tests[1:]:
-            good = good | t
-        return good, F.concat(*[said(t, x) for t, x in tests])
-    if rule.rule_type == "length":
-        n, least, most = F.char_length(v), int(config.get("min", 0)), config.get("max")
-        long = F.lit(False) if most is None else n > int(most)
-        return F.lit(False), F.when(long, F.array(F.lit(f"Truncate to {most} characters"))).when(n < least, F.array(F.lit("Value too short - requires domain knowledge"))).otherwise(said(F.char_length(c) != n, "Trim whitespace"))
-    if rule.rule_type == "enum":
-        values = [str(x) for x in config.get("values", ())]
+SETTINGS = "column_name string, kind string, pattern string, digits int, upper boolean, plain boolean, lows map<string,string>, allowed array<string>, named boolean, entity boolean, least int, most int"
+
+
+def rule_settings(spark: SparkSession, rules: Mapping[str, Rule]) -> DataFrame:
+    """What the repairs of a column's violations depend on, a row for each column."""
+    rows = []
+    for c, rule in rules.items():
+        config, kind = rule.rule_config, rule.rule_type
+        pattern, values = str(config.get("pattern", "")), [str(x) for x in config.get("values", ())]
         lows: dict[str, str] = {}
         for x in values:
             lows.setdefault(x.lower(), x)
-        hit = F.try_element_at(literal_map(lows), F.lower(v)) if values else F.lit(None).cast("string")
-        good = hit.isNotNull() & (hit != v)
-        text = F.when(good, F.array(F.concat(F.lit("Normalize case (e.g., '"), v, F.lit("' -> '"), hit, F.lit("')")))).otherwise(F.array(F.lit(f"Value must be one of: {', '.join(values)}")))
-        if is_state_column(name) or ("State" in name and "Address" in name):
-            code = F.try_element_at(literal_map(STATES), F.upper(v))
-            named = F.coalesce(code.isin(*values), F.lit(False))
-            good, text = named | good, F.when(named, F.array(F.concat(F.lit("Infer state from context (e.g., '"), v, F.lit("' -> '"), code, F.lit("')")))).otherwise(text)
-        if name == ENTITY_TYPE:
-            whole = F.coalesce(whole_number_text(v).isin(*values), F.lit(False)) & (whole_number_text(v) != v)
-            good, text = whole | good, F.when(whole, F.array(F.lit("Normalize float to integer string (e.g., '1.0' -> '1')"))).otherwise(text)
-        return F.coalesce(good, F.lit(False)), text
-    if rule.rule_type == "phone":
-        n, least, most = F.char_length(F.regexp_replace(c.cast("string"), r"(?U)\D", "")), int(config.get("min_digits", 7)), int(config.get("max_digits", 20))
-        return n >= least if most >= least else n > most, F.when(n.between(least, most), F.array(F.lit("Remove non-digit characters"))).otherwise(said(n > most, f"Extract first {most} digits"))
-    if rule.rule_type == "date":
-        read = parsed_date(v, (*DATE_FORMATS, *MORE_DATE_FORMATS)).isNotNull()
-        return read, said(read, "Convert date format to MM/DD/YYYY")
-    return F.lit(False), none
+        digits = (10 if c == "NPI" else 9 if "EIN" in c else 0) if r"\d" in pattern else None
+        low, high = ("min_digits", "max_digits") if kind == "phone" else ("min", "max")
+        most = config.get(high, 20 if kind == "phone" else None)
+        plain = "Taxonomy Code" in c or "License Number" in c
+        rows.append((c, kind, f"(?U)^(?:{pattern})", digits, "[A-Za-z]" in pattern, plain, lows, values, is_state_column(c), c == ENTITY_TYPE, int(config.get(low, 7 if kind == "phone" else 0)), None if most is None else int(most)))
+    return spark.createDataFrame(rows, SETTINGS)
+
+
+def _text(*parts: Column | str) -> Column:
+    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+
+
+def _regex_fixes(v: Column) -> tuple[Column, Column]:
+    fits = lambda x: F.regexp(x, F.col("pattern"))
+    one, d, plain = F.regexp_replace(v, r"(?U)\s+", " "), F.regexp_replace(v, r"(?U)\D", ""), F.upper(F.regexp_replace(v, "[^A-Za-z0-9]", ""))
+    n, wanted = F.char_length(d), F.col("digits")
+    tests = [
+        ((one != v) & fits(one), F.lit("Remove extra whitespace")),
+        (F.when(wanted > 0, n >= wanted).when(wanted == 0, (n > 0) & fits(d)), F.when(wanted > 0, _text("Extract ", wanted.cast("string"), " digits from value")).otherwise("Remove non-digit characters")),
+        (F.col("upper") & fits(F.upper(v)), F.lit("Normalize to uppercase")),
+        (F.col("plain") & (plain != "") & fits(plain), F.lit("Remove special characters")),
+        (fits(v), F.lit("Trim whitespace")),
+    ]
+    said = F.array_compact(F.array(*[F.when(t, x) for t, x in tests]))
+    return F.size(said) > 0, said
+
+
+def _length_fixes(v: Column) -> tuple[Column, Column]:
+    n, least, most = F.char_length(v), F.col("least"), F.col("most")
+    said = F.when(n > most, _text("Truncate to ", most.cast("string"), " characters")).when(n < least, "Value too short - requires domain knowledge").when(F.char_length("value") != n, "Trim whitespace")
+    return F.lit(False), F.array_compact(F.array(said))
+
+
+def _enum_fixes(v: Column) -> tuple[Column, Column]:
+    hit, allowed, code, whole = F.try_element_at("lows", F.lower(v)), F.col("allowed"), F.try_element_at(literal_map(STATES), F.upper(v)), whole_number_text(v)
+    case = F.coalesce(hit != v, F.lit(False))
+    named = F.col("named") & F.coalesce(F.array_contains(allowed, code), F.lit(False))
+    number = F.col("entity") & F.coalesce(F.array_contains(allowed, whole) & (whole != v), F.lit(False))
+    said = F.when(number, "Normalize float to integer string (e.g., '1.0' -> '1')").when(named, _text("Infer state from context (e.g., '", v, "' -> '", code, "')")).when(case, _text("Normalize case (e.g., '", v, "' -> '", hit, "')"))
+    return case | named | number, F.array(F.coalesce(said, _text("Value must be one of: ", F.array_join(allowed, ", "))))
+
+
+def _phone_fixes(v: Column) -> tuple[Column, Column]:
+    n, least, most = F.char_length(F.regexp_replace("value", r"(?U)\D", "")), F.col("least"), F.col("most")
+    said = F.when(n.between(least, most), "Remove non-digit characters").when(n > most, _text("Extract first ", most.cast("string"), " digits"))
+    return F.when(most >= least, n >= least).otherwise(n > most), F.array_compact(F.array(said))
+
+
+def _date_fixes(v: Column) -> tuple[Column, Column]:
+    read = parsed_date(v, (*DATE_FORMATS, *MORE_DATE_FORMATS)).isNotNull()
+    return read, F.array_compact(F.array(F.when(read, "Convert date format to MM/DD/YYYY")))
+
+
+#: For each kind of rule: whether a violating ``value`` counts as repairable, and the suggestions it gives.
+FIXES = {"regex": _regex_fixes, "length": _length_fixes, "enum": _enum_fixes, "phone": _phone_fixes, "date": _date_fixes}
+
+
+def violation_fixes(rows: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
+    """``rows`` of ``column_name`` and ``value`` that have a rule, with ``g`` (repairable) and ``s`` (suggestions).
+
+    Rules differ by what a small table says of them, so there is one branch for each
+    kind of rule, not for each column, and plans don't grow with the columns.
+    """
+    if not rules:
+        return rows.limit(0).withColumns({"g": F.lit(False), "s": F.array().cast("array<string>")})
+    settings = rule_settings(rows.sparkSession, rules)
+    joined, v = rows.join(F.broadcast(settings), "column_name"), strip(F.col("value"))  # a row for each column that has a rule
+    good, said = F.lit(False), F.array().cast("array<string>")
+    for kind, of in FIXES.items():
+        g, s = of(v)
+        good, said = F.when(F.col("kind") == kind, g).otherwise(good), F.when(F.col("kind") == kind, s).otherwise(said)
+    return joined.select(*rows.columns, F.coalesce(good, F.lit(False)).alias("g"), said.alias("s"))
 
 
 FALLBACKS = {
@@ -95,12 +122,7 @@ def confidence(ratio: Column) -> Column:
 
 def analyzed(violations: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
     """column_name, n_analyzed, n_fixable, suggestions (distinct, sorted) from rows of column_name and value."""
-    good, said = F.lit(False), F.array().cast("array<string>")
-    for c, rule in rules.items():
-        here = F.col("column_name") == c
-        g, s = violation_fixes(F.col("value"), rule, c)
-        good, said = F.when(here, g).otherwise(good), F.when(here, s).otherwise(said)
-    rows = violations.where(F.col("column_name").isin(*rules)).select("column_name", good.alias("g"), said.alias("s"))
+    rows = violation_fixes(violations, rules)
     return rows.groupBy("column_name").agg(F.count("*").alias("n_analyzed"), F.count_if("g").alias("n_fixable"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("suggestions"))
 
 
@@ -166,12 +188,7 @@ def recommend(issues: DataFrame, metrics: DataFrame | None, rules: Mapping[str,
     known = metrics.select("column_name", F.lit(True).alias("known"))
     states = metrics.where(name.contains("State Name")).select(F.regexp_replace("column_name", "State Name$", "Country Code (If outside U.S.)").alias("column_name"), F.col("completeness_score").alias("state_completeness"))
     listed = issues.where(F.size("examples") > 0).select("seq", "column_name", F.explode(F.slice("examples", 1, analyze)).alias("value"))
-    good, said = F.lit(False), F.array().cast("array<string>")
-    for c, rule in rules.items():
-        g, s = violation_fixes(F.col("value"), rule, c)
-        good, said = F.when(name == c, g).otherwise(good), F.when(name == c, s).otherwise(said)
-    listed = listed.where(name.isin(*rules)) if rules else listed.limit(0)
-    tried = listed.select("seq", good.alias("g"), said.alias("s")).groupBy("seq").agg(F.count("*").alias("k"), F.count_if("g").alias("f"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
+    tried = violation_fixes(listed, rules).groupBy("seq").agg(F.count("*").alias("k"), F.count_if("g").alias("f"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
     spare = spark.createDataFrame([(c, FALLBACKS[r.rule_type](r.rule_config)) for c, r in rules.items() if r.rule_type in FALLBACKS] or [("", [""])], "column_name string, spare array<string>")
     rows = issues.join(known, "column_name", "left").join(states, "column_name", "left").join(tried, "seq", "left").join(spare, "column_name", "left")
     rows = rows.withColumn("s", F.when(F.size("s") > 0, F.col("s")).otherwise(F.coalesce("spare", F.array().cast("array<string>"))))
@@ -182,13 +199,13 @@ def recommend(issues: DataFrame, metrics: DataFrame | None, rules: Mapping[str,
     data, address = F.lit(df is not None), name.contains("Address")
     city, state = name.contains("City Name") & address, name.contains("State Name") & address
     word = F.when(state, "state").otherwise("city")
-    needs = text(name, " is conditionally required based on Entity Type Code. Individual providers (Type 1) require Last/First Name. Organizations (Type 2) require Organization Name. Fix will be applied row-by-row based on Entity Type Code in each row.")
+    needs = text("Whether a row needs ", name, " depends on its entity type: persons (1) have a last and a first name, organizations (2) a business name. Each row is judged by its own type.")
     place = rec(
         "context_imputation", fill, F.when(context, F.when(state, 0.85).otherwise(0.80)).otherwise(0.6), _impact(pct), context, none,
-        F.when(context, text("Infer missing ", word, " from address lines, postal code, and country code using context-based inference.")).otherwise("Limited context for inference (address/postal/country columns missing) - manual review recommended"),
+        F.when(context, text("The row's address lines, postal code and country tell its ", word, ".")).otherwise("Columns of the address are not there, so somebody has to look at these rows"),
     )
-    postal = rec("context_imputation", fill, 0.70, _impact(pct), no, none, F.lit("Postal code can potentially be inferred from address lines or state, but requires manual verification. Manual review recommended."))
-    country = rec("default_imputation", fill, 0.75, _impact(pct), F.lit(True), F.lit("US"), F.lit("Country Code missing but State Name present suggests US address. Defaulting to 'US' for missing values."))
+    postal = rec("context_imputation", fill, 0.70, _impact(pct), no, none, F.lit("Address and state narrow a postal code down but don't settle it; check by hand."))
+    country = rec("default_imputation", fill, 0.75, _impact(pct), F.lit(True), F.lit("US"), F.lit("Most rows name a state, so an address without a country is taken to be in the US."))
     complete = (
         F.when(data & name.isin(*NAME_COLUMNS), rec("conditional_imputation", fill, 0.75, _impact(pct), no, none, needs))
         .when(data & (city | state), place)
@@ -208,8 +225,8 @@ def recommend(issues: DataFrame, metrics: DataFrame | None, rules: Mapping[str,
     k, f, said = F.col("k"), F.col("f"), F.array_join(F.slice("s", 1, 3), ", ")
     fixable = (f > 0) & (F.size("s") > 0)
     why = text(
-        F.when(k == n, "All ").otherwise(""), k.cast("string"), F.when(k == n, " format violations analyzed in ").otherwise(" format violation samples analyzed in "), name, " (out of ", n.cast("string"), " total)",
-        F.when(f > 0, text(". ", f.cast("string"), " of ", k.cast("string"), " violations appear auto-fixable. Common fixes: ", said)).otherwise(text(". 0 of ", k.cast("string"), " violations are auto-fixable (requires manual review). Manual fixes may include: ", said)),
+        k.cast("string"), F.when(k == n, " violations, all there are, were tried").otherwise(text(" of ", n.cast("string"), " violations were tried")), " in ", name,
+        F.when(f > 0, text("; ", f.cast("string"), " of them can be repaired: ", said)).otherwise(text("; none can be repaired without a look: ", said)),
     )
     formats = rec("format_correction", text("Correct ", n.cast("string"), " format violations in ", name), confidence(f / k), F.when(fixable, "low").otherwise("medium"), fixable, none, why)
     conform = F.when(F.col("known") & k.isNotNull(), formats).otherwise(format_plain)

@@ -7,17 +7,20 @@ engines.
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .functions import fixes, nulls, rules, states
 from .functions.nulls import EIN
 from .functions.rules import ENTITY_TYPE, NAME_COLUMNS, Rule
 from .operators import anomaly, issues, profile, recommend, repair, reports, validate
-from .sources import files, reference
+from .sources import files, history, reference
 from .sources.catalog import MAILING, POSTAL_PATTERN, focused_columns, provider_rules
 from .sources.files import ROW
 from .streaming import quality
@@ -558,6 +561,57 @@ def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(recommend.recommend(seen, found.metrics, RULES, providers(spark, sf_dir)).drop("seq"))
 
 
+_COLLAPSED = f"regexp_replace({strip('value')}, '\\s+', ' ', 'g')"
+_ALNUM = "upper(regexp_replace(value, '[^A-Za-z0-9]', '', 'g'))"
+_PATTERNS = {c: RULES[HEADERS[c]].rule_config["pattern"].replace("'", "''") for c in ("npi", "ein", "last_name", "city", "postal", "license")}
+_SPACED = {c: f"({_COLLAPSED} <> {strip('value')} AND regexp_matches({_COLLAPSED}, '^(?:{p})'))" for c, p in _PATTERNS.items()}
+_REPAIRS = _FIXABLE | {
+    **_SPACED,
+    "npi": f"{_FIXABLE['npi']} OR {_SPACED['npi']}",
+    "ein": f"{_FIXABLE['ein']} OR {_SPACED['ein']}",
+    "postal": f"{_SPACED['postal']} OR regexp_matches({_digits('value')}, '^(?:{_PATTERNS['postal']})')",
+    "license": f"{_SPACED['license']} OR ({_ALNUM} <> '' AND regexp_matches({_ALNUM}, '^(?:{_PATTERNS['license']})'))",
+}
+_ADVICE = f"""{ISSUES}, tried AS (SELECT column_name, count(*) AS k, count(*) FILTER (WHERE CASE column_name {' '.join(f"WHEN '{HEADERS[c]}' THEN ({r})" for c, r in _REPAIRS.items())} ELSE false END) AS f
+        FROM (SELECT DISTINCT column_name, i, examples[i] AS value FROM (SELECT column_name, examples, unnest(range(1, len(examples) + 1)) AS i FROM found WHERE issue_type = 'conformity')) GROUP BY 1),
+    told AS (SELECT count(*) FILTER (WHERE {missing('et')}) AS n_missing, count(*) FILTER (WHERE ({_IMPUTED}) IS NOT NULL) AS n_told FROM v),
+    sure AS (SELECT CASE WHEN n_told::DOUBLE / n_missing >= 0.85 THEN 0.85 + (n_told::DOUBLE / n_missing - 0.85) * (0.10 / 0.15) ELSE 0.85 * n_told / n_missing END AS c FROM told),
+    advice AS (SELECT *, CASE WHEN percentage < 5 THEN 'low' ELSE 'medium' END AS size,
+        CASE WHEN issue_type = 'conformity' THEN 'format_correction' WHEN issue_type = 'uniqueness' THEN 'remove_duplicates'
+             WHEN column_name = '{ENTITY_TYPE}' OR column_name IN ({LAST}, {FIRST}, {ORG}) THEN 'conditional_imputation'
+             WHEN column_name IN ('{HEADERS['city']}', '{HEADERS['state']}', '{HEADERS['postal']}') THEN 'context_imputation'
+             WHEN column_name = '{HEADERS['country']}' AND (SELECT completeness_score FROM metrics WHERE column_name = '{HEADERS['state']}') > 50 THEN 'default_imputation' END AS fix_strategy,
+        CASE WHEN issue_type = 'conformity' THEN CASE WHEN k IS NULL THEN 0.6 WHEN f::DOUBLE / k >= 0.8 THEN 0.90 WHEN f::DOUBLE / k >= 0.6 THEN 0.85 WHEN f::DOUBLE / k >= 0.4 THEN 0.75 ELSE 0.65 END
+             WHEN issue_type = 'uniqueness' THEN 0.95 WHEN column_name = '{ENTITY_TYPE}' THEN (SELECT c FROM sure) WHEN column_name = '{HEADERS['city']}' THEN 0.80 WHEN column_name = '{HEADERS['state']}' THEN 0.85 WHEN column_name = '{HEADERS['postal']}' THEN 0.70 ELSE 0.75 END AS confidence_score,
+        CASE WHEN issue_type = 'conformity' THEN CASE WHEN f > 0 THEN 'low' ELSE 'medium' END WHEN issue_type = 'uniqueness' THEN 'high' WHEN percentage < 5 THEN 'low' ELSE 'medium' END AS estimated_impact,
+        CASE WHEN issue_type = 'conformity' THEN coalesce(f > 0, false) WHEN issue_type = 'uniqueness' THEN false ELSE column_name IN ('{ENTITY_TYPE}', '{HEADERS['city']}', '{HEADERS['state']}', '{HEADERS['country']}') END AS actionable,
+        CASE WHEN issue_type <> 'completeness' THEN NULL WHEN column_name = '{HEADERS['country']}' THEN 'US' WHEN column_name = '{ENTITY_TYPE}' THEN 'by row' END AS suggested
+        FROM (SELECT found.*, k, f FROM found LEFT JOIN tried ON found.column_name = tried.column_name AND found.issue_type = 'conformity' AND len(examples) > 0)),
+    first_advice AS (SELECT * FROM advice WHERE fix_strategy IS NOT NULL QUALIFY row_number() OVER (PARTITION BY column_name, issue_type ORDER BY seq) = 1)"""
+
+
+def _advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, seen = _issues(spark, sf_dir)
+    return recommend.recommend(seen, found.metrics, RULES, providers(spark, sf_dir))
+
+
+@query(f"{V}{_ADVICE} SELECT column_name, issue_type, CAST(count AS BIGINT) AS issue_count, fix_strategy, round(CAST(confidence_score AS DOUBLE), 6) AS confidence_score, estimated_impact, actionable, suggested FROM first_advice")
+def recommendation_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suggested = F.when(F.col("suggested_value").startswith("Row-specific"), "by row").otherwise(F.col("suggested_value")).alias("suggested")
+    return rounded(_advice(spark, sf_dir).select("column_name", "issue_type", "issue_count", "fix_strategy", "confidence_score", "estimated_impact", "actionable", suggested))
+
+
+@query(f"{V}{_ADVICE} SELECT count(*) AS total, count(*) FILTER (WHERE actionable) AS actionable_count, count(*) FILTER (WHERE NOT actionable) AS requires_review_count, count(*) FILTER (WHERE estimated_impact = 'high') AS high_impact_count FROM first_advice")
+def recommendation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recommend.summary(_advice(spark, sf_dir))
+
+
+@query(POINTS + _RUNNING + _JUDGE.format(rows="w") + " SELECT column_name, 'investigate_root_cause' AS fix_strategy, CAST(CASE WHEN severity = 'high' AND z_score > 3 THEN 0.9 WHEN severity = 'high' THEN 0.7 ELSE 0.5 END AS DOUBLE) AS confidence_score, severity AS estimated_impact, false AS actionable, count(*) AS n FROM hit GROUP BY ALL")
+def anomaly_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recommend.for_anomalies(anomaly.detect_all(points(spark, sf_dir), TIGHT).withColumnRenamed("value", "current_value"))
+    return reports.by_kind(found, "column_name", "fix_strategy", "confidence_score", "estimated_impact", "actionable")
+
+
 # --- row-level repair
 
 RECS = [
@@ -629,10 +683,183 @@ def sidecar_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.by_kind(_repaired(spark, sf_dir).sidecar, "reason")
 
 
+@query(f"{V}, a AS (" + " UNION ALL ".join(_AUDIT) + ") SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY \"column\", issue_type ORDER BY row_index) <= 10")
+def fix_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.details(_repaired(spark, sf_dir).sidecar)
+
+
+@query(f"{V}, a AS (" + " UNION ALL ".join(_AUDIT) + ") SELECT \"column\", issue_type, count(*) AS n, count(recommended_value) AS n_values, round(min(confidence), 6) AS confidence FROM a GROUP BY 1, 2")
+def sidecar_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit rows written to a file and read again."""
+    path = _fresh_path(spark, "sidecar") + "_fix_recommendations.csv"
+    files.save_dataset(_repaired(spark, sf_dir).sidecar, path)
+    rows = spark.read.schema(repair.SIDECAR).csv(path, header=True, escape='"')
+    return rounded(rows.groupBy("column", "issue_type").agg(F.count("*").alias("n"), F.count("recommended_value").alias("n_values"), F.min("confidence").alias("confidence")))
+
+
+@query(f"{V}, a AS (SELECT count(*) FILTER (WHERE NOT {missing('npi')}) AS n, count(*) FILTER (WHERE NOT {missing('npi')} AND {OK['npi']}) AS good, count(*) FILTER (WHERE {_bad('npi')} AND ({_NPI_FIXED}) IS NOT NULL) AS more, count(*) AS total, count(*) FILTER (WHERE NOT {missing('license')}) AS ln, count(*) FILTER (WHERE NOT {missing('license')} AND {OK['license']}) AS lgood FROM v)\n"
+    "SELECT CAST(2 AS BIGINT) AS columns_before, CAST(1 AS BIGINT) AS columns_after, CAST(1 AS BIGINT) AS columns_common, round(50.0::DOUBLE * n / total + 50.0::DOUBLE * ln / total, 6) AS average_completeness_before, round(100.0::DOUBLE * n / total, 6) AS average_completeness_after, round(50.0::DOUBLE * good / n + 50.0::DOUBLE * lgood / ln, 6) AS average_conformity_before, round(100.0::DOUBLE * (good + more) / n, 6) AS average_conformity_after, CAST(0 AS DOUBLE) AS mean_completeness_gain, round(100.0::DOUBLE * more / n, 6) AS mean_conformity_gain FROM a")
+def before_after_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column that was not repaired counts on its own side only."""
+    t = _repaired(spark, sf_dir).table
+    before = validate.scores(t, RULES, {c: c for c in ("NPI", HEADERS["license"])}, AS_OF)
+    return rounded(validate.improvement(validate.before_after(before, validate.scores(repair.effective(t, ["NPI"]), RULES, {"NPI": "NPI"}, AS_OF))))
+
+
+@query(f"{V} SELECT {LAST} AS column_name, count(*) FILTER (WHERE {missing('last_name')} AND et IN ('1', '1.0')) AS rows_failed UNION ALL SELECT {ORG}, count(*) FILTER (WHERE {missing('org')} AND et IN ('2', '2.0')) FROM v".replace(" UNION ALL", " FROM v UNION ALL"))
+def names_required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recs = [repair.Recommendation(c, "completeness", "conditional_imputation", 0.75) for c in (NAME_COLUMNS[0], NAME_COLUMNS[2])]
+    return repair.repair(providers(spark, sf_dir), recs, RULES, as_of=AS_OF).results.select("column_name", "rows_failed")
+
+
+_CITY_STATE = "(SELECT s FROM m WHERE city = upper(" + strip("v.city") + "))"
+
+
+@query(f"{V}, m AS (SELECT 'BOSTON' AS city, 'MA' AS s UNION ALL SELECT 'CHICAGO', 'IL'), a AS (SELECT k, {_CITY_STATE} AS found, state FROM v) SELECT k AS row_index, found AS recommended_value, CASE WHEN found IS NULL THEN '{repair.NO_INFERENCE}' ELSE 'state inference from context' END AS reason FROM a WHERE {missing('state')}")
+def state_from_city(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a state, by the map of cities alone: nothing else of the address is there."""
+    d = providers(spark, sf_dir)
+    bare = d.withColumns({HEADERS[c]: F.lit(None).cast("string") for c in ("addr1", "addr2", "postal")})
+    cities = spark.createDataFrame([("BOSTON", "MA"), ("CHICAGO", "IL")], "city string, state string")
+    rec = repair.Recommendation(HEADERS["state"], "completeness", "context_imputation", 0.85, True)
+    return repair.repair(bare, [rec], RULES, maps=repair.Maps(cities=cities), as_of=AS_OF).sidecar.select(ROW, "recommended_value", "reason")
+
+
+_TOWNS = "['TOWN' || (k % 7), 'TOWN' || (k % 11), 'CITY' || (k % 5)]"
+
+
+@query(f"{V}, m AS (SELECT 'TOWN' || i AS city, 'S' || (i % 3) AS s FROM range(10001) t(i) UNION ALL SELECT 'CITY' || i, 'S1' FROM range(5) t(i)), c AS (SELECT k, generate_subscripts({_TOWNS}, 1) AS i, unnest({_TOWNS}) AS x FROM v) SELECT k AS row_index, arg_min(x, i) AS city FROM c JOIN m ON x = city AND s = 'S' || (k % 3) GROUP BY k")
+def city_choice_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of several candidates the first that a map of more than 10,000 cities has in the row's state."""
+    rows = dirty(spark, sf_dir).select(F.col("k").alias(ROW))
+    named = F.array(*[F.concat(F.lit(p), (F.col(ROW) % n).cast("string")) for p, n in (("TOWN", 7), ("TOWN", 11), ("CITY", 5))])
+    towns = spark.range(10_001).select(F.concat(F.lit("TOWN"), "id").alias("city"), F.concat(F.lit("S"), (F.col("id") % 3).cast("string")).alias("state"))
+    cities = towns.union(spark.range(5).select(F.concat(F.lit("CITY"), "id"), F.lit("S1")))
+    found = reference.first_in_state(rows, rows, ROW, named, F.concat(F.lit("S"), (F.col(ROW) % 3).cast("string")), cities, "city")
+    return found.where("city IS NOT NULL")
+
+
+# --- files and the history store: written, then read
+
+
+def _fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"{V} SELECT npi, ein, last_name, org, nullif(license, '') AS license FROM v")
+def saved_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as CSV by suffix, read again by the focused columns; such a file doesn't tell empty text from none."""
+    path = _fresh_path(spark, "providers") + ".csv"
+    files.save_dataset(providers(spark, sf_dir).drop(ROW), path)
+    some = ["npi", "ein", "last_name", "org", "license"]
+    read = files.load_dataset(spark, path, columns=[HEADERS[c] for c in some], row_index=False)
+    return read.select(*[nulls.quoted(HEADERS[c]).alias(c) for c in some])
+
+
+@query(f"{V} SELECT k AS row_index, coalesce(npi, '') AS npi, coalesce(org, '') AS org FROM v ORDER BY k LIMIT 20")
+def first_rows_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files.first_rows(providers(spark, sf_dir), 20)
+    return files.preview(rows).select(ROW, F.col("NPI").alias("npi"), nulls.quoted(HEADERS["org"]).alias("org"))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> history.History:
+    """A store with a run that was expired and one that was stored twice."""
+    found, seen = _issues(spark, sf_dir)
+    store, now = history.History(spark, _fresh_path(spark, "history")), dt.datetime(2024, 6, 30)
+    store.store(found, seen, at=now - dt.timedelta(days=200), dataset_name="providers", run_id="old")
+    for _ in range(2):
+        store.store(found, seen, at=now, dataset_name="providers", run_id="new")
+    return store
+
+
+@query(f"{V}{ISSUES} SELECT 'profiling_runs' AS table_name, 'new' AS run_id, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'column_metrics', 'new', count(*) FROM metrics UNION ALL SELECT 'issues', 'new', count(*) FROM found")
+def stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _stored(spark, sf_dir)
+    parts = [store.table(t).groupBy("run_id").agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "run_id", "n") for t in history.TABLES]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query(f"{V}{METRICS} SELECT column_name, total_count, non_null_count, CASE WHEN column_name = 'NPI' THEN round(uniqueness_score, 6) END AS uniqueness_score, round(completeness_score, 6) AS completeness_score, round(conformity_score, 6) AS conformity_score FROM metrics")
+def stored_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return only(_stored(spark, sf_dir).profile_of("new")[1], "column_name", "total_count", "non_null_count", "uniqueness_score", "completeness_score", "conformity_score")
+
+
+@query(POINTS + _RUNNING + _JUDGE.format(rows="w") + " SELECT column_name, count(*) AS stored, CAST(sum(CASE WHEN severity = 'high' THEN 1 ELSE 0 END) AS BIGINT) AS high, (SELECT count(*) FROM hit) AS cleared, CAST(0 AS BIGINT) AS kept FROM hit GROUP BY 1")
+def stored_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored, read, cleared for their dataset, and counted again."""
+    store = history.History(spark, _fresh_path(spark, "history"))
+    found = anomaly.detect_all(points(spark, sf_dir), TIGHT).withColumn("metric", F.concat_ws(" ", "metric", "run_id")).drop("run_id")
+    store.store_anomalies(found, dataset_name="events", run_id="r", at=dt.datetime(2024, 6, 30))
+    rows = store.table("anomalies").groupBy("column_name").agg(F.count("*").alias("stored"), F.count_if(F.col("severity") == "high").alias("high")).collect()  # a row for each type of event
+    store.clear_anomalies("none")
+    cleared = store.clear_anomalies("events")
+    kept = store.table("anomalies").count()
+    return spark.createDataFrame([(*r, cleared, kept) for r in rows], "column_name string, stored long, high long, cleared long, kept long")
+
+
+@query(f"{V}{ISSUES} SELECT 'profiling_runs' AS table_name, CAST(1 AS BIGINT) AS n_before, CAST(0 AS BIGINT) AS n_after UNION ALL SELECT 'column_metrics', count(*), 0 FROM metrics UNION ALL SELECT 'issues', count(*), 0 FROM found UNION ALL SELECT 'anomalies', 0, 0")
+def deleted_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _stored(spark, sf_dir)
+    before = store.delete_run("new", dry_run=True)
+    assert store.delete_run("new") == before
+    return spark.createDataFrame([(t, n, store.table(t).count()) for t, n in before.items()], "table_name string, n_before long, n_after long")
+
+
+# --- more reports
+
+
+@query(POINTS + ", r AS (SELECT unnest(['click', 'view', 'never seen']) AS column_name) SELECT column_name, 'rule' AS has FROM r WHERE column_name NOT IN (SELECT column_name FROM points) UNION ALL SELECT DISTINCT column_name, 'history' FROM points WHERE column_name NOT IN (SELECT column_name FROM r)")
+def rules_without_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules_of = spark.createDataFrame([("click",), ("view",), ("never seen",)], "column_name string")
+    return reports.coverage(rules_of, points(spark, sf_dir))
+
+
+@query(POINTS + _RUNNING + " SELECT CASE WHEN value > baseline_value THEN 'improvement (ignored)' WHEN abs(value - baseline_value) < 5 AND (CASE WHEN baseline_std > 0 THEN abs(value - baseline_value) / baseline_std WHEN value = baseline_value THEN 0 ELSE 1e300 END) < 2 THEN 'within thresholds' ELSE 'flagged' END AS status, count(*) AS n FROM w WHERE history_size >= 3 GROUP BY 1")
+def flagged_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    before = Window.partitionBy("column_name").orderBy("profiling_timestamp").rowsBetween(Window.unboundedPreceding, -1)
+    low, high = F.min("value").over(before), F.max("value").over(before)
+    held = p.select("value", F.count("*").over(before).alias("n_before"), F.when(low == high, low).otherwise(F.avg("value").over(before)).alias("baseline_value"), F.when(low == high, 0.0).otherwise(F.stddev_pop("value").over(before)).alias("baseline_std"))
+    return reports.by_kind(reports.flagged(held.where("n_before >= 3")), "status")
+
+
+@query(POINTS + " SELECT count(DISTINCT run_id) - 1 AS history_size FROM points")
+def earlier_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.earlier_runs(points(spark, sf_dir).select("dataset_name", "run_id").distinct(), "events")
+
+
+@query(f"{V}{METRICS}, r AS (SELECT *, row_number() OVER (ORDER BY non_conforming_count DESC, column_name) AS r FROM metrics WHERE non_conforming_count > 0) SELECT count(*) AS columns, CAST(coalesce(sum(non_conforming_count), 0) AS BIGINT) AS violations FROM r WHERE r > 5")
+def remaining_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.remaining_violations(validate.validate_dataset(providers(spark, sf_dir), RULES, as_of=AS_OF), 5)
+
+
+@query(f"{V}{METRICS} SELECT column_name, total_count, non_null_count, printf('%.2f%%', completeness_score) AS completeness, CASE WHEN column_name = 'NPI' THEN printf('%.2f%%', uniqueness_score) ELSE 'N/A' END AS uniqueness, CASE WHEN column_name = 'NPI' THEN CAST(duplicate_count AS VARCHAR) ELSE 'N/A' END AS duplicates, printf('%.2f%%', conformity_score) AS conformity, non_conforming_count FROM metrics")
+def column_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.column_details(profile.profile(providers(spark, sf_dir), RULES, as_of=AS_OF).metrics)
+
+
+@query(f"{V}{METRICS} SELECT column_name, non_null_count, conforming_count, printf('%.2f%%', {_RATE}) AS conformity_rate, (SELECT coalesce(string_agg(value, '; ' ORDER BY position), '') FROM ({_BAD}) b WHERE b.column_name = m.column_name AND b.position <= 3) AS samples FROM metrics m")
+def validation_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = validate.validate_dataset(providers(spark, sf_dir), RULES, as_of=AS_OF)
+    return reports.validation_details(found).select("column_name", "non_null_count", "conforming_count", "conformity_rate", "samples")
+
+
+@query(f"{V}{METRICS} SELECT count(*) AS n_columns, CAST(sum(total_count) AS BIGINT) AS cells, CAST(sum(non_conforming_count) AS BIGINT) AS violations FROM metrics")
+def validation_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested document, read back by its parts."""
+    found = validate.validate_dataset(providers(spark, sf_dir), RULES, as_of=AS_OF)
+    made = reports.validation_document(validate.overall(found), found)
+    shape = "summary struct<cells:long,total_violations:long>, column_results array<struct<column_name:string,non_conforming_count:long>>"
+    read = made.select(F.from_json("json", shape).alias("x"))
+    return read.select(F.size("x.column_results").cast("long").alias("n_columns"), F.col("x.summary.cells").alias("cells"), F.aggregate("x.column_results", F.lit(0).cast("long"), lambda a, c: a + c["non_conforming_count"]).alias("violations"))
+
+
 # --- the rest
 
 
-@query()
+@query("SELECT * FROM orders ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 100")
 def deterministic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.sample(table(spark, sf_dir, "orders"), 100, key="o_orderkey")
 
