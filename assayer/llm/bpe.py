@@ -86,7 +86,7 @@ def _first(values: list[int], least: int) -> int:
 class Pieces:
     """Pre-tokenised pieces met lately with their ids, in two generations of ``kept`` each, so frequent ones stay."""
 
-    def __init__(self, pattern: str, ids_of: Callable[[str], list[int]], kept: int = 400_000):
+    def __init__(self, pattern: str, ids_of: Callable[[str], list[int]], kept: int = 200_000):
         self.pattern, self.ids_of, self.kept = regex.compile(pattern), ids_of, kept
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -104,7 +104,7 @@ class Pieces:
 class Vocabulary(Pieces):
     """Ranks of a vocabulary file."""
 
-    def __init__(self, path: str, pattern: str, kept: int = 400_000):
+    def __init__(self, path: str, pattern: str, kept: int = 200_000):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
