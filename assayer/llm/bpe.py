@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -39,6 +40,8 @@ from ._run import refuse_clash, ship
 CHUNK, OVERLAP, THREADS = 1 << 15, 512, 2
 #: Characters that the pattern looks at behind the end of a match that could be another one: of "'re" the last two.
 LOOK_AHEAD = 2
+#: Characters of the longest piece that is remembered.
+LONGEST = 64
 
 
 def ends(text: str, pattern: regex.Pattern, start: int, stop: int) -> list[int]:
@@ -83,22 +86,55 @@ def _first(values: list[int], least: int) -> int:
     return bisect_left(values, least)
 
 
+def plain(pattern: str) -> re.Pattern | None:
+    """The same pattern for the faster engine of the standard library, its classes written out; None if it has others.
+
+    Classes end at U+FFFF, so it serves texts without characters beyond.
+    """
+    spelled = {}
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        one, found = regex.compile(name), []
+        for c in range(0x10000):
+            if not 0xD800 <= c < 0xE000 and one.match(chr(c)):
+                if found and found[-1][1] == c - 1:
+                    found[-1][1] = c
+                else:
+                    found.append([c, c])
+        spelled[name] = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in found)
+    out = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{''.join(spelled.values())}]").replace(r"\S", f"[^{spelled[r'\s']}]")
+    for name, chars in spelled.items():
+        out = out.replace(name, f"[{chars}]")
+    return None if re.search(r"\\p|\\P|\(\?[^!:=]|[+*?}]\+", out) else re.compile(out)
+
+
 class Pieces:
-    """Pre-tokenised pieces met lately with their ids, in two generations of ``kept`` each, so frequent ones stay."""
+    """Pre-tokenised pieces met lately with their ids, in two generations of ``kept`` each, so frequent ones stay.
+
+    A piece of more than ``LONGEST`` characters is forgotten when its text is done, so what is
+    remembered is bounded in bytes too, whatever the texts.
+    """
 
     def __init__(self, pattern: str, ids_of: Callable[[str], list[int]], kept: int = 200_000):
-        self.pattern, self.ids_of, self.kept = regex.compile(pattern), ids_of, kept
+        self.pattern, self.fast, self.ids_of, self.kept = regex.compile(pattern), plain(pattern), ids_of, kept
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def encode(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, pool: ThreadPoolExecutor | None = None) -> np.ndarray:
-        pieces = pretokenise(text, self.pattern, chunk, overlap, pool)
+        if len(text) <= chunk and self.fast and (text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text)):
+            pieces = self.fast.findall(text)
+        else:
+            pieces = pretokenise(text, self.pattern, chunk, overlap, pool)
         if len(self.young) > self.kept:
             self.young, self.old = {}, self.young
         known, before = self.young, self.old
-        for p in set(pieces).difference(known):
+        fresh = set(pieces).difference(known)
+        for p in fresh:
             known[p] = before.get(p) or array("i", self.ids_of(p)).tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
+        ids = np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
+        for p in fresh:
+            if len(p) > LONGEST:
+                del known[p]
+        return ids
 
 
 class Vocabulary(Pieces):

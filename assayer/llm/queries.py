@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, language_id, line_dedup, minhash, packing, quality_classifier, quality_rules, top_k, warc
-from ._run import table
+from . import bpe, chat_format, language_id, lexical, line_dedup, minhash, packing, periodic, quality_classifier, quality_rules, token_files, top_k, warc
+from ._run import scratch, table
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(docs.select("doc_id", "text"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), path)
+    return token_files.digests(token_files.read(spark, path))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    repeated = docs.select("doc_id", periodic.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic.digests(periodic.detect(repeated))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_packing": op2_packing,
@@ -76,6 +92,9 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_line_dedup": op10_line_dedup,
+    "op11_token_files": op11_token_files,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
@@ -149,4 +168,31 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op12_lexical_search": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts
+            FROM documents WHERE text IS NOT NULL
+        ), held AS (
+            SELECT r, doc_id, ts, len(ts) AS n FROM d WHERE len(ts) > 0
+        ), totals AS (
+            SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM held
+        ), items AS (
+            SELECT item_id, max(text) AS text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL GROUP BY item_id
+        ), asked AS (
+            SELECT item_id, t, count(*) AS times FROM (
+                SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM items
+            ) GROUP BY ALL
+        ), tf AS (
+            SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(ts) AS t FROM held) WHERE t IN (SELECT t FROM asked) GROUP BY ALL
+        ), w AS (
+            SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, totals GROUP BY t
+        ), scored AS (
+            SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words)))) AS BIGINT) AS score
+            FROM tf JOIN asked USING (t) JOIN w USING (t), totals GROUP BY item_id, r, doc_id
+        ), ranked AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+            FROM scored WHERE score > 0 AND doc_id IS NOT NULL
+        )
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+    """,
 }
