@@ -117,44 +117,26 @@ ORACLES: dict[str, str] = {
     """,
     "op7_chat_formatting": """
         WITH rows AS (
-            SELECT conv_id, CAST(turn AS BIGINT) AS t, replace(coalesce(text, ''), '<|', '< |') AS x,
+            SELECT row_number() OVER () AS i, conv_id, CAST(turn AS BIGINT) AS t, replace(coalesce(text, ''), '<|', '< |') AS x,
                 CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE regexp_replace(trim(role), '\\s+', '_', 'g') END AS r
             FROM conversations
-        ), crowded AS (
-            SELECT conv_id AS kc, t AS kt, count(*) AS w FROM rows GROUP BY ALL
-        ), equal AS (
-            SELECT conv_id, t, r, x, count(*) AS n FROM rows GROUP BY ALL
-        ), chunks AS (
-            SELECT conv_id, t, r, x, least(64, n - 64 * c) AS n, c FROM (SELECT *, unnest(range(0, (n + 63) // 64)) AS c FROM equal)
-        ), dealt AS (
-            SELECT conv_id, t, r, x, unnest(range(0, n)), coalesce(CAST(floor(t / 256) AS BIGINT), -1) AS segment,
-                CASE WHEN w <= 64 THEN 0 ELSE (((w + 63) // 64) * CAST('0x' || substr(md5(r || chr(1) || x || chr(1) || c), 1, 7) AS BIGINT)) >> 28 END AS part
-            FROM chunks JOIN crowded ON conv_id IS NOT DISTINCT FROM kc AND t IS NOT DISTINCT FROM kt
         ), speakers AS (
             SELECT DISTINCT conv_id AS c, r AS perspective FROM rows WHERE r <> 'system'
-        ), first AS (
-            SELECT conv_id AS fc, t AS ft, x AS fx FROM rows WHERE r = 'system'
-            QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY t NULLS FIRST, x) = 1
-        ), opening AS (
-            SELECT conv_id AS oc, segment AS os, part AS op,
-                CASE WHEN any_value(fx) IS NULL OR bool_or(r = 'system') OR NOT (any_value(ft) IS NULL OR (count(t) = count(*) AND min(t) >= any_value(ft))) THEN ''
-                     ELSE '<|im_start|>system' || chr(10) || any_value(fx) || '<|im_end|>' || chr(10) END AS opening
-            FROM dealt LEFT JOIN first ON conv_id IS NOT DISTINCT FROM fc GROUP BY ALL
         ), parts AS (
-            SELECT conv_id, perspective, segment, part, t, r, x, r = perspective AS mine,
+            SELECT i, conv_id, perspective, t, r, x, r = perspective AS mine,
                 '<|im_start|>' || CASE WHEN r = perspective THEN 'assistant' WHEN r = 'system' THEN 'system' ELSE 'user name=' || r END || chr(10) AS head,
                 x || '<|im_end|>' AS content
-            FROM dealt JOIN speakers ON conv_id IS NOT DISTINCT FROM c
+            FROM rows JOIN speakers ON conv_id IS NOT DISTINCT FROM c
         ), placed AS (
-            SELECT parts.*, opening, length(opening) + length(head) + coalesce(sum(length(head) + length(content) + 1) OVER (
-                PARTITION BY conv_id, perspective, segment, part ORDER BY t NULLS FIRST, r, x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-            FROM parts JOIN opening ON conv_id IS NOT DISTINCT FROM oc AND segment = os AND part = op
+            SELECT *, length(head) + coalesce(sum(length(head) + length(content) + 1) OVER (
+                PARTITION BY conv_id, perspective ORDER BY t NULLS FIRST, r, x, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+            FROM parts
         )
-        SELECT conv_id, perspective, segment, CAST(part AS BIGINT) AS part, count(*) AS n_messages, any_value(opening) <> '' AS opened,
-            any_value(opening) || string_agg(head || content || chr(10), '' ORDER BY t NULLS FIRST, r, x) AS text,
-            coalesce(string_agg(CAST(start AS VARCHAR) || '-' || CAST(start + length(content) AS VARCHAR), ';' ORDER BY t NULLS FIRST, r, x) FILTER (WHERE mine), '') AS spans,
+        SELECT conv_id, perspective, CAST(0 AS BIGINT) AS segment, CAST(0 AS BIGINT) AS part, count(*) AS n_messages, false AS opened,
+            string_agg(head || content || chr(10), '' ORDER BY start) AS text,
+            coalesce(string_agg(CAST(start AS VARCHAR) || '-' || CAST(start + length(content) AS VARCHAR), ';' ORDER BY start) FILTER (WHERE mine), '') AS spans,
             CAST(coalesce(sum(length(content)) FILTER (WHERE mine), 0) AS BIGINT) AS n_target_chars
-        FROM placed GROUP BY conv_id, perspective, segment, part
+        FROM placed GROUP BY conv_id, perspective
     """,
     "op8_top_k": """
         WITH v AS (
