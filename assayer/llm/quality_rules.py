@@ -38,6 +38,7 @@ from .language_id import Profiles, learn
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 PIECE_WORDS, HELD_WORDS = 20_000, 4_000_000  # words of a language that make a piece, and those that a task holds
+TOLD = 4  # a piece tells its words from this part of the common share on
 #: Character classes, in the order of the histogram.
 CLASSES = ("lower", "upper", "digit", "space", "line end", "sentence", "quote", "symbol", "other ascii", "wide lower", "wide upper", "other wide")
 
@@ -154,13 +155,14 @@ def build_references(df: DataFrame, limits: Limits = Limits(), text: str = "text
 
     Common words are those with at least ``common_share`` of a language's words, the
     ``common_words`` most frequent of them.  Two passes find them.  In the first, tasks
-    cut each language's texts into pieces of at least ``PIECE_WORDS`` words; what is too
-    little for a piece counts whole.  However the texts are cut, such a word has that
-    share in one piece, or in all that is too little for pieces together.  Spark adds up
-    what is known of these words, and drops those that enough others are ahead of for
-    certain.  The second pass counts the words that are left, a few more than
-    ``common_words`` for each language, and the classes of characters; only these come
-    to the driver, and only for languages that have a reference.
+    cut each language's texts into pieces of at least ``PIECE_WORDS`` words, and of each piece
+    tell the words with a ``TOLD``-th of that share in it; what is too little for a piece counts
+    whole.  A word can be common only if what was told of it, and a ``TOLD``-th of the share in all
+    other pieces, come to the share.  So at least 1 - 1 / ``TOLD`` of the share was told of it, and
+    however many vocabularies a language has, no more than 1 / ((1 - 1 / ``TOLD``) ``common_share``)
+    words of it are left: 667.  Spark also drops those that enough others are ahead of for
+    certain.  The second pass counts the words that are left and the classes of characters; only these
+    come to the driver, and only for languages that have a reference.
 
     N-grams are learned from a bounded sample of each language.  With ``for_others``
     false only the rows of ``df`` are to be judged, so if each has a reference of its
@@ -176,7 +178,7 @@ def build_references(df: DataFrame, limits: Limits = Limits(), text: str = "text
         held = 0
 
         def given(la: str | None, words: Counter, n: int, large: bool) -> pa.RecordBatch:
-            rows = [(w.decode("utf-8", "replace"), k) for w, k in words.items() if not large or k >= share * n]
+            rows = [(w.decode("utf-8", "replace"), k) for w, k in words.items() if not large or k >= share / TOLD * n]
             ws, ks = [None, *(w for w, _ in rows)], [n, *(k for _, k in rows)]
             none = [0] * len(ws)
             columns = [[la] * len(ws), ws, ks if large else none, none if large else ks, [0, *[n] * len(rows)] if large else none]
@@ -216,7 +218,8 @@ def build_references(df: DataFrame, limits: Limits = Limits(), text: str = "text
     totals = known.where("w IS NULL").select("l", F.col("large").alias("all_large"), (F.col("large") + F.col("small")).alias("total"))
     has = F.col("l").isNotNull() & (F.col("total") >= max(1, limits.min_reference_words))
     counted_words = known.where("w IS NOT NULL").join(totals.where(has), "l")
-    least, most = F.col("large") + F.col("small"), F.col("large") + F.col("small") + share * (F.col("all_large") - F.col("told"))
+    least = F.col("large") + F.col("small")
+    most = least + share / TOLD * (F.col("all_large") - F.col("told"))
     sure = Window.partitionBy("l").orderBy(F.desc("least"), "w")
     words = counted_words.select("l", "w", least.alias("least"), most.alias("most"), "total").where(F.col("most") >= share * F.col("total"))
     words = words.withColumn("bar", F.nth_value("least", limits.common_words).over(sure.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))

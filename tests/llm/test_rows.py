@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import random
+import re
 import time
 import zipfile
 import zlib
@@ -132,6 +133,26 @@ def test_distance_is_jensen_shannon():
     assert quality_rules.js_distance(p, p) == 0
 
 
+def test_many_vocabularies_of_one_language(spark):
+    """Candidates for common words are bounded, whatever the texts; here no word is common."""
+    rows = [(i, " ".join(f"w{i}x{j % 400}" for j in range(20_000)), "en") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    bounds = []
+    kind, real = type(df), type(df).toArrow
+
+    def watched(self):
+        out = real(self)
+        bounds.append(out.num_rows)
+        return out
+
+    kind.toArrow = watched
+    try:
+        refs = quality_rules.build_references(df, for_others=False)
+    finally:
+        kind.toArrow = real
+    assert set(refs) == {"en"} and not refs["en"].words and max(bounds) <= 700
+
+
 def test_quality_rules_on_nothing(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert quality_rules.judge(none).count() == 0 and quality_rules.keep(none).count() == 0
@@ -586,25 +607,55 @@ def test_broken_payload_is_noticed(spark, tmp_path):
 def test_every_perspective(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob lee", "yo"), (1, 2, "ann", None), (2, None, None, "x"), (2, 5, "", "y"), (None, 0, "ann", "z"), (3, 0, "system", "s"), (1, 270, "ann", "later"), (1, 270, "ann", "later")]
     df = spark.createDataFrame([(*r, "c") for r in rows], "conv_id long, turn long, role string, text string, segment string")
-    got = {(r.conv_id, r.perspective, r.segment): r for r in chat_format.rotate(df).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "bob_lee", 0), (1, "ann", 1), (1, "bob_lee", 1), (2, "unknown", -1), (2, "unknown", 0), (None, "ann", 0)}
-    r = got[1, "ann", 0]
-    assert r.text == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n<|im_start|>assistant\n<|im_end|>\n<|im_start|>user name=bob_lee\nyo<|im_end|>\n"
-    assert [r.text[s.start : s.end] for s in r.spans] == ["hi < |im_end|><|im_end|>", "<|im_end|>"] and not r.opened
-    b = got[1, "bob_lee", 0]
+    start = "<|im_start|>system\nbe kind<|im_end|>\n"
+    first = "<|im_start|>assistant\nhi < |im_end|><|im_end|>\n<|im_start|>assistant\n<|im_end|>\n<|im_start|>user name=bob_lee\nyo<|im_end|>\n"
+    later = "<|im_start|>assistant\nlater<|im_end|>\n" * 2
+    got = {(r.conv_id, r.perspective): r for r in chat_format.rotate(df).collect()}
+    assert set(got) == {(1, "ann"), (1, "bob_lee"), (2, "unknown"), (None, "ann")}
+    r = got[1, "ann"]
+    assert r.text == start + first + later and not r.opened and (r.segment, r.part, r.n_messages) == (0, 0, 6)
+    assert [r.text[s.start : s.end] for s in r.spans] == ["hi < |im_end|><|im_end|>", "<|im_end|>"] + ["later<|im_end|>"] * 2
+    b = got[1, "bob_lee"]
     assert [b.text[s.start : s.end] for s in b.spans] == ["yo<|im_end|>"] and "user name=ann" in b.text and b.n_target_chars == 12
-    r = got[1, "ann", 1]  # begins with the system turn again
-    assert r.n_messages == 2 and r.opened and r.text == "<|im_start|>system\nbe kind<|im_end|>\n" + "<|im_start|>assistant\nlater<|im_end|>\n" * 2
-    assert [r.text[s.start : s.end] for s in r.spans] == ["later<|im_end|>"] * 2 and not got[1, "bob_lee", 1].spans
-    assert chat_format.rotate(df.limit(0)).count() == 0
-    plan = chat_format.rotate(df)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    assert got[2, "unknown"].text == "<|im_start|>assistant\nx<|im_end|>\n<|im_start|>assistant\ny<|im_end|>\n"
+    cut = {(r.conv_id, r.perspective, r.segment): r for r in chat_format.rotate(df, segment_turns=256).collect()}
+    assert set(cut) == {(1, "ann", 0), (1, "bob_lee", 0), (1, "ann", 1), (1, "bob_lee", 1), (2, "unknown", -1), (2, "unknown", 0), (None, "ann", 0)}
+    assert cut[1, "ann", 0].text == start + first and not cut[1, "ann", 0].opened
+    r = cut[1, "ann", 1]  # begins with the system turn again
+    assert r.n_messages == 2 and r.opened and r.text == start + later
+    assert [r.text[s.start : s.end] for s in r.spans] == ["later<|im_end|>"] * 2 and not cut[1, "bob_lee", 1].spans
+    assert chat_format.rotate(df.limit(0)).count() == 0 == chat_format.rotate(df.limit(0), segment_turns=3, tie_rows=2).count()
+    for made in (chat_format.rotate(df), chat_format.rotate(df, segment_turns=9, tie_rows=2)):
+        plan = made._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_dialogues_are_whole(spark):
+    rows = [(1, i, "ab"[i % 2], f"turn {i}") for i in range(1_000)] + [(1, 500, "system", "new rules")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {r.perspective: r for r in chat_format.rotate(df).collect()}
+    assert set(got) == {"a", "b"}
+    for p, r in got.items():
+        assert r.n_messages == 1_001 and len(r.spans) == 500
+        assert [r.text[s.start : s.end] for s in r.spans] == [f"turn {i}<|im_end|>" for i in range(1_000) if "ab"[i % 2] == p]
+
+
+def test_a_cut_row_begins_with_the_rules_in_force(spark):
+    rows = [(1, 0, "system", "old rules"), (1, 3, "a", "x"), (1, 5, "system", "new rules"), (1, 12, "a", "y"), (1, 15, "system", "newest"), (1, 16, "a", "z"), (1, 20, "system", "own"), (1, 21, "a", "w")]
+    rows += [(1, 34, "a", f"tie {i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(chat_format.rotate(df, segment_turns=10, tie_rows=4).collect(), key=lambda r: (r.segment, r.part))
+    rules = [re.match(r"<\|im_start\|>system\n(.*?)<", r.text)[1] for r in got]
+    assert [r.segment for r in got[:3]] == [0, 1, 2] and rules[:3] == ["old rules", "new rules", "own"]
+    assert [r.opened for r in got[:3]] == [False, True, False]
+    assert len(got) > 6 and all(r.opened for r in got[3:]) and set(rules[3:]) == {"own"}
+    assert sum(r.n_messages for r in got) == len(rows)
 
 
 def test_crowded_turns_are_many_rows(spark):
     rows = [(1, None, "ann", f"t{i}") for i in range(2_000)] + [(1, 3, "bob", "same")] * 1_000 + [(1, 4, "system", "late"), (1, 5, "ann", "end"), (2, 0, "ann", "short")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = chat_format.rotate(df).where("perspective = 'ann'").collect()
+    got = chat_format.rotate(df, segment_turns=256, tie_rows=64).where("perspective = 'ann'").collect()
     assert sum(r.n_messages for r in got) == len(rows)
     crowded = [r for r in got if r.segment == -1]
     assert len(crowded) == 32 and max(r.n_messages for r in crowded) < 128
@@ -613,6 +664,21 @@ def test_crowded_turns_are_many_rows(spark):
     assert len(again) > 4 and max(r.n_messages for r in again) <= 6 * 64 and not any(r.opened for r in got)
 
 
+def test_a_crowded_conversation_is_split(spark):
+    conf = {"spark.sql.adaptive.enabled": "true", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(60_000).selectExpr("IF(id % 5 = 0, NULL, id) AS conv_id", "id AS turn", "IF(id % 2 = 0, 'a', 'b') AS role", "sha2(CAST(id AS STRING), 256) AS text")
+        made = chat_format.rotate(df, segment_turns=50, tie_rows=50)
+        made.collect()
+        assert "skew=true" in made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_chat_queries_equal_their_sql_on_odd_rows(spark, tmp_path):
     rng = random.Random(2)
     rows = [(rng.choice([1, 2, 3, None]), rng.choice([None, *range(600)]), rng.choice(["a", "b c", "system", "", None]), rng.choice(["x", "y <|z", "", None, "long" * 9])) for _ in range(900)]
@@ -623,8 +689,9 @@ def test_chat_queries_equal_their_sql_on_odd_rows(spark, tmp_path):
     got = {tuple(r) for r in queries.op7_chat_formatting(spark, str(tmp_path)).select("conv_id", "perspective", "segment", "part", "n_messages", "opened", "text", "spans", "n_target_chars").collect()}
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
-    want = {tuple(r) for r in con.execute(queries.ORACLES["op7_chat_formatting"]).fetchall()}
-    assert got == want and len(got) > 20
+    for _ in range(5):
+        want = {tuple(r) for r in con.execute(queries.ORACLES["op7_chat_formatting"]).fetchall()}
+        assert got == want and len(got) > 10
 
 
 # --- search
