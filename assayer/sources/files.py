@@ -10,8 +10,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.nulls import quoted
+from . import csv_records, scratch
 from .catalog import focused_columns
 
 ROW = "row_index"
@@ -52,36 +54,64 @@ def as_text(df: DataFrame) -> DataFrame:
 
 
 def with_row_index(df: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Adds the 0-based place of each row.
+    """Adds the 0-based place of each row, from 0 on without a gap.
 
-    Without ``order`` it is the place in the files: partitions are counted first
-    and each adds to its own rows, so nothing is shuffled or sorted.  With it, a
-    range sort places the rows, again without a single task for all of them.
+    The frame is evaluated once, into a table in the shared folder, and what was written is
+    numbered: by its part files, which stand in the order of the partitions, and by each row's
+    place in its file.  So no row can be lost or get another's number, however the frame's plan is adapted.
+    With ``order`` a range sort comes first, again without a single task for all rows.
     """
     if order:
         df = df.orderBy(*[quoted(c) for c in order])
-    part, inside = "__part", "__inside"
-    numbered = df.withColumn(part, F.spark_partition_id()).withColumn(inside, F.monotonically_increasing_id() - F.shiftleft(F.col(part).cast("long"), 33))
-    starts, total = [], 0
-    for p, n in sorted(tuple(r) for r in numbered.groupBy(part).agg(F.count("*").alias("n")).collect()):  # a row for each partition
-        starts.append((p, total))
-        total += n
-    first = F.broadcast(df.sparkSession.createDataFrame(starts, "__p int, __start long"))
-    joined = numbered.join(first, F.col(part) == F.col("__p"))
-    return joined.select(*[quoted(c) for c in df.columns], (F.col("__start") + F.col(inside)).alias(ROW))
+    return _numbered(scratch.cut(df, "numbered"), df.columns, [])
+
+
+#: Files whose first places are sent to all executors; beyond, both sides are shuffled.
+FILES_SENT = 100_000
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+def _numbered(table: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """The columns with each row's place: in the order of ``keys``, within them of the files and of the rows in each.
+
+    Rows of equal keys stand together in a file.  Counting reads no column but the keys; a row for each
+    file and key is summed up, as many as the driver lists itself.
+    """
+    part, inside = "__part", "__inside"
+    name = F.col("_metadata.file_path")
+    rows = table.select(*[quoted(c) for c in columns], *keys, name.alias(part), F.col("_metadata.row_index").alias(inside))
+    each = rows.groupBy(part, *keys).agg(F.count("*").alias("__n"), F.min(inside).alias("__first"))
+    number = F.regexp_extract(part, r"part-(\d+)-[^/]*$", 1).try_cast("long")
+    before = Window.orderBy(*keys, number, part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = each.select(part, *keys, (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__start"))
+    starts = F.broadcast(starts) if each.count() <= FILES_SENT else starts
+    joined = rows.join(starts, [part, *keys], "left")
+    place = F.coalesce(F.col("__start"), F.raise_error(F.concat(F.lit("not counted: "), part)).cast("long")) + F.col(inside)
+    return joined.select(*[quoted(c) for c in columns], place.alias(ROW))
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, line_ends: bool | None = None) -> DataFrame:
     """A CSV file with a header, all text.  UTF-8, or Latin-1 where the bytes aren't UTF-8.
 
-    One pass over the lines tells the encoding, and whether a line holds an odd number
-    of quotes.  Only then can a quoted value have line ends, so that a file has to be
-    read by one task; all others are split.
+    Files are read in parts, those with line ends in quoted values too.  Unless both are given, one pass over
+    the lines tells the encoding and whether quoted values hold line ends.
     """
-    odd = F.char_length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
-    seen = spark.read.text(path).agg(F.bool_or(~F.is_valid_utf8("value")).alias("latin"), F.bool_or(odd).alias("across")).first()
-    code = encoding or ("ISO-8859-1" if seen.latin else "UTF-8")
-    return spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=bool(seen.across), encoding=code, enforceSchema=False)
+    return _csv_rows(spark, path, encoding, line_ends).drop(csv_records.FILE, csv_records.BLOCK, csv_records.LATE, csv_records.SEQ)
+
+
+def _csv_rows(spark: SparkSession, path: str, encoding: str | None, line_ends: bool | None) -> DataFrame:
+    """The rows of CSV files, and columns to order them by: file, block and more."""
+    if encoding is None or line_ends is None:
+        seen = spark.read.option("lineSep", "\n").text(path).agg(F.bool_or(~F.is_valid_utf8("value")).alias("latin"), F.bool_or(F.col("value").rlike(csv_records.OPENS)).alias("across")).first()
+        encoding = encoding or ("ISO-8859-1" if seen.latin else "UTF-8")
+        line_ends = bool(seen.across) if line_ends is None else line_ends
+    options = {"header": True, "inferSchema": False, "quote": '"', "escape": '"', "encoding": encoding, "enforceSchema": False}
+    if not line_ends:
+        plain = spark.read.options(**options).csv(path)
+        return plain.select("*", F.col("_metadata.file_path").alias(csv_records.FILE), F.col("_metadata.file_block_start").alias(csv_records.BLOCK))
+    names = spark.read.options(**options, multiLine=True).csv(path).columns
+    first = spark.read.options(**options | {"header": False}, multiLine=True).csv(path).first()
+    text = csv_records.lines(spark, path)
+    return csv_records.parse(csv_records.records(text, csv_records.states(text)), names, list(first or []), encoding)
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
@@ -98,11 +128,20 @@ def load_dataset(spark: SparkSession, path: str, *, focused_only: bool = True, c
     if not exists(spark, path):
         raise FileNotFoundError(path)
     kind = _kind(path)
-    df = read_csv(spark, path, encoding) if kind == "csv" else spark.read.parquet(path) if kind == "parquet" else read_excel(spark, path)
+    df = _csv_rows(spark, path, encoding, None) if kind == "csv" else spark.read.parquet(path) if kind == "parquet" else read_excel(spark, path)
+    keys = [k for k in (csv_records.FILE, csv_records.BLOCK, csv_records.LATE, csv_records.SEQ) if kind == "csv" and k in df.columns]
+    names = [c for c in df.columns if c not in keys]
     if focused_only:
-        df = focus(df, columns)
-    df = as_text(df)
-    return with_row_index(df) if row_index else df
+        names = focus(df.drop(*keys), columns).columns
+    if not row_index:
+        return as_text(df.select(*[quoted(c) for c in names]))
+    if kind == "parquet":  # files hold their rows' places
+        return as_text(_numbered(df, names, []))
+    if kind == "excel":
+        return with_row_index(as_text(df.select(*[quoted(c) for c in names])))
+    # a task may read blocks of several files: rows are written with their blocks, which then give the order
+    rows = as_text(df.select(*[quoted(c) for c in names])) if not keys else df.select(*[quoted(c).cast("string").alias(c) for c in names], *keys)
+    return _numbered(scratch.cut(rows, "rows"), names, [k for k in keys if k != csv_records.SEQ])
 
 
 def _csv(writer: DataFrameWriter) -> DataFrameWriter:
