@@ -24,7 +24,7 @@ def _parser() -> argparse.ArgumentParser:
     for name in ("report", "outliers", "clear-anomalies", "delete-run"):
         s = sub.add_parser(name)
         s.add_argument("--history", required=True)
-        if name in ("outliers", "clear-anomalies"):
+        if name in ("outliers", "clear-anomalies", "delete-run"):
             s.add_argument("--dataset-name")
         if name == "outliers":
             s.add_argument("--times", type=float, default=2.0)
@@ -80,11 +80,11 @@ def main(argv: list[str] | None = None) -> dict:
                 runs = runs.where(runs.dataset_name == args.dataset_name)
             out = {"outliers": values(reports.outlier_runs(runs, args.times, by="dataset_name"))}
             if args.delete:
-                out["deleted"] = [h.delete_run(r["run_id"]) for r in out["outliers"]]
+                out["deleted"] = [h.delete_run(r["run_id"], dataset=r["dataset_name"]) for r in out["outliers"]]
         elif args.command == "clear-anomalies":
             out = {"anomalies": h.clear_anomalies(args.dataset_name, args.dry_run), "dry_run": args.dry_run}
         else:
-            out = h.delete_run(args.run_id, args.dry_run)
+            out = h.delete_run(args.run_id, args.dry_run, args.dataset_name)
     print(json.dumps(out, default=str, indent=1))
     return out
 

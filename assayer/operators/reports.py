@@ -54,12 +54,40 @@ def coverage(rules: DataFrame, points: DataFrame) -> DataFrame:
     return alone.unionByName(known.join(ruled, "column_name", "left_anti").withColumn("has", F.lit("history")))
 
 
+def nth_smallest(df: DataFrame, column: str, n: int, buckets: int = 1024) -> int | None:
+    """The n-th smallest whole number of a column, from 0 on; None if there are fewer.
+
+    Counts per range of values find the range that holds it, which is then divided again: seven
+    passes at most, each of which brings ``buckets`` counts to the driver and sorts nothing.
+    """
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("long").alias("v"))
+    low, high, total = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if n < 0 or n >= total:
+        return None
+    while low < high:
+        width = -(-(high - low + 1) // buckets)
+        inside = values.where(F.col("v").between(low, high))
+        at = F.expr(f"CAST((CAST(v AS DECIMAL(20,0)) - {low}BD) div {width}BD AS INT)")  # whole numbers: a quotient of decimals would be rounded
+        for bucket, count in sorted(tuple(r) for r in inside.groupBy(at.alias("b")).agg(F.count("*").alias("n")).collect()):
+            if n < count:
+                low, high = low + bucket * width, min(high, low + (bucket + 1) * width - 1)
+                break
+            n -= count
+    return low
+
+
 def outlier_runs(runs: DataFrame, times: float = 2.0, by: str | None = None) -> DataFrame:
     """Runs with more than ``times`` the median rows, the upper of two middle ones; none of fewer than two runs.
 
-    One task per dataset sorts its runs if ``by`` names that column; runs are few.
+    One task per dataset sorts its runs if ``by`` names that column; without it the median is selected by
+    counts per range, so no task holds all runs.
     """
-    part = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
+    if by is None:
+        n = runs.count()
+        median = nth_smallest(runs, "total_rows", n // 2 - runs.where(F.col("total_rows").isNull()).count()) if n else None
+        found = runs.withColumn("median_rows", F.lit(median).cast("long"))
+        return found.where(F.lit(n >= 2) & (F.col("total_rows") > times * F.col("median_rows")))
+    part = Window.partitionBy(by)
     ranked = runs.withColumn("__r", F.row_number().over(part.orderBy("total_rows"))).withColumn("__n", F.count("*").over(part))
     middle = F.max(F.when(F.col("__r") == F.floor(F.col("__n") / 2) + 1, F.col("total_rows"))).over(part)
     return ranked.withColumn("median_rows", middle).where((F.col("__n") >= 2) & (F.col("total_rows") > times * F.col("median_rows"))).drop("__r", "__n")

@@ -39,7 +39,7 @@ def anomalies_of(spark: SparkSession, history: History, dataset: str, *, delta:
     run_id = run_id or history.latest_run(dataset)
     if run_id is None:
         raise LookupError(f"no run of {dataset}")
-    run, metrics = history.profile_of(run_id)
+    run, metrics = history.profile_of(run_id, dataset)
     at = run.first().profiling_timestamp
     settings = anomaly.uniform_settings(delta, z_limit)
     found = anomaly.detect(anomaly.melted(metrics, "dataset_name"), history.points(dataset, exclude_run=run_id, before=at), settings)

@@ -8,7 +8,6 @@ engines.
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +18,8 @@ from pyspark.sql.window import Window
 from .functions import fixes, nulls, rules, states
 from .functions.nulls import EIN
 from .functions.rules import ENTITY_TYPE, NAME_COLUMNS, Rule
-from .operators import anomaly, issues, profile, recommend, repair, reports, validate
-from .sources import files, history, reference
+from .operators import anomaly, issues, partial, profile, recommend, repair, reports, validate
+from .sources import files, history, reference, scratch
 from .sources.catalog import MAILING, POSTAL_PATTERN, focused_columns, provider_rules
 from .sources.files import ROW
 from .streaming import quality
@@ -691,7 +690,7 @@ def fix_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{V}, a AS (" + " UNION ALL ".join(_AUDIT) + ") SELECT \"column\", issue_type, count(*) AS n, count(recommended_value) AS n_values, round(min(confidence), 6) AS confidence FROM a GROUP BY 1, 2")
 def sidecar_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit rows written to a file and read again."""
-    path = _fresh_path(spark, "sidecar") + "_fix_recommendations.csv"
+    path = scratch.fresh_path(spark, "sidecar") + "_fix_recommendations.csv"
     files.save_dataset(_repaired(spark, sf_dir).sidecar, path)
     rows = spark.read.schema(repair.SIDECAR).csv(path, header=True, escape='"')
     return rounded(rows.groupBy("column", "issue_type").agg(F.count("*").alias("n"), F.count("recommended_value").alias("n_values"), F.min("confidence").alias("confidence")))
@@ -742,16 +741,10 @@ def city_choice_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- files and the history store: written, then read
 
 
-def _fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"{V} SELECT npi, ein, last_name, org, nullif(license, '') AS license FROM v")
 def saved_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as CSV by suffix, read again by the focused columns; such a file doesn't tell empty text from none."""
-    path = _fresh_path(spark, "providers") + ".csv"
+    path = scratch.fresh_path(spark, "providers") + ".csv"
     files.save_dataset(providers(spark, sf_dir).drop(ROW), path)
     some = ["npi", "ein", "last_name", "org", "license"]
     read = files.load_dataset(spark, path, columns=[HEADERS[c] for c in some], row_index=False)
@@ -767,7 +760,7 @@ def first_rows_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stored(spark: SparkSession, sf_dir: str) -> history.History:
     """A store with a run that was expired and one that was stored twice."""
     found, seen = _issues(spark, sf_dir)
-    store, now = history.History(spark, _fresh_path(spark, "history")), dt.datetime(2024, 6, 30)
+    store, now = history.History(spark, scratch.fresh_path(spark, "history")), dt.datetime(2024, 6, 30)
     store.store(found, seen, at=now - dt.timedelta(days=200), dataset_name="providers", run_id="old")
     for _ in range(2):
         store.store(found, seen, at=now, dataset_name="providers", run_id="new")
@@ -789,7 +782,7 @@ def stored_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(POINTS + _RUNNING + _JUDGE.format(rows="w") + " SELECT column_name, count(*) AS stored, CAST(sum(CASE WHEN severity = 'high' THEN 1 ELSE 0 END) AS BIGINT) AS high, (SELECT count(*) FROM hit) AS cleared, CAST(0 AS BIGINT) AS kept FROM hit GROUP BY 1")
 def stored_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored, read, cleared for their dataset, and counted again."""
-    store = history.History(spark, _fresh_path(spark, "history"))
+    store = history.History(spark, scratch.fresh_path(spark, "history"))
     found = anomaly.detect_all(points(spark, sf_dir), TIGHT).withColumn("metric", F.concat_ws(" ", "metric", "run_id")).drop("run_id")
     store.store_anomalies(found, dataset_name="events", run_id="r", at=dt.datetime(2024, 6, 30))
     rows = store.table("anomalies").groupBy("column_name").agg(F.count("*").alias("stored"), F.count_if(F.col("severity") == "high").alias("high")).collect()  # a row for each type of event
@@ -807,6 +800,42 @@ def deleted_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t, n, store.table(t).count()) for t, n in before.items()], "table_name string, n_before long, n_after long")
 
 
+@query("SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS row_index, o_orderkey, o_totalprice FROM orders")
+def row_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in an ordered table."""
+    return files.with_row_index(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"])
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_index, CAST(c_custkey AS VARCHAR) AS k, c_name || chr(10) || 'says \"' || c_mktsegment || '\",' || chr(10) || chr(10) || c_custkey AS note FROM customer")
+def csv_line_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values with line ends, quotes and commas: written as CSV, read again in parts, with each row's place."""
+    note = F.concat("c_name", F.lit('\nsays "'), "c_mktsegment", F.lit('",\n\n'), F.col("c_custkey").cast("string"))
+    rows = table(spark, sf_dir, "customer").orderBy("c_custkey").select(F.col("c_custkey").alias("k"), note.alias("note"))
+    path = files.save_dataset(rows, scratch.fresh_path(spark, "notes") + ".csv")
+    return files.load_dataset(spark, path, focused_only=False)
+
+
+@query(f"{V}{METRICS} SELECT column_name, total_count, non_null_count, conforming_count, non_conforming_count, round(completeness_score, 6) AS completeness_score, round(conformity_score, 6) AS conformity_score, min_length, max_length, round(avg_length, 6) AS avg_length, true AS unique_within FROM metrics")
+def merged_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three parts of the table profiled by three runs, stored, and merged without reading any again; the different values are near the exact ones."""
+    d, store = providers(spark, sf_dir), history.History(spark, scratch.fresh_path(spark, "states"))
+    for i in range(3):
+        part = d.where(F.col(ROW) % 3 == i)
+        store.store_states(partial.states(part, RULES, as_of=AS_OF, source=F.lit(f"part {i}")), dataset_name="providers", run_id=f"r{i}")
+    found = partial.metrics(partial.merge(store.table("profile_states", "providers")))
+    exact = profile.histogram(d).groupBy("column_name").agg(F.count("value").alias("exact"))
+    within = F.abs(F.col("unique_count") - F.col("exact")) <= 0.04 * F.col("exact")
+    return rounded(found.join(exact, "column_name").select("column_name", "total_count", "non_null_count", "conforming_count", "non_conforming_count", "completeness_score", "conformity_score", "min_length", "max_length", "avg_length", within.alias("unique_within")))
+
+
+@query("WITH c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM orders" for c in ("o_orderstatus", "o_orderpriority")) + "), n AS (SELECT column_name, value, count(*) AS n FROM c GROUP BY ALL) SELECT column_name, value, n, CAST(row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS INTEGER) AS rank FROM n QUALIFY rank <= 5")
+def merged_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent values from the states of each month's orders."""
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    parts = partial.states(table(spark, sf_dir, "orders"), {}, columns=["o_orderstatus", "o_orderpriority"], source=month)
+    return partial.top_values(partial.merge(parts))
+
+
 # --- more reports
 
 
