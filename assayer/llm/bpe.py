@@ -107,6 +107,19 @@ def plain(pattern: str) -> re.Pattern | None:
     return None if re.search(r"\\p|\\P|\(\?[^!:=]|[+*?}]\+", out) else re.compile(out)
 
 
+class _Known(dict):
+    """Pieces and the bytes of their ids; one that isn't there is taken from the generation before, or encoded."""
+
+    def __init__(self, ids_of: Callable[[str], list[int]], before: dict[str, bytes]):
+        self.ids_of, self.before, self.long = ids_of, before, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        kept = self if len(piece) <= LONGEST else self.long
+        ids = kept.get(piece) or self.before.get(piece) or array("i", self.ids_of(piece)).tobytes()
+        kept[piece] = ids
+        return ids
+
+
 class Pieces:
     """Pre-tokenised pieces met lately with their ids, in two generations of ``kept`` each, so frequent ones stay.
 
@@ -115,25 +128,19 @@ class Pieces:
     """
 
     def __init__(self, pattern: str, ids_of: Callable[[str], list[int]], kept: int = 200_000):
-        self.pattern, self.fast, self.ids_of, self.kept = regex.compile(pattern), plain(pattern), ids_of, kept
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.pattern, self.fast, self.kept = regex.compile(pattern), plain(pattern), kept
+        self.known = _Known(ids_of, {})
 
     def encode(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, pool: ThreadPoolExecutor | None = None) -> np.ndarray:
         if len(text) <= chunk and self.fast and (text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text)):
             pieces = self.fast.findall(text)
         else:
             pieces = pretokenise(text, self.pattern, chunk, overlap, pool)
-        if len(self.young) > self.kept:
-            self.young, self.old = {}, self.young
-        known, before = self.young, self.old
-        fresh = set(pieces).difference(known)
-        for p in fresh:
-            known[p] = before.get(p) or array("i", self.ids_of(p)).tobytes()
-        ids = np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
-        for p in fresh:
-            if len(p) > LONGEST:
-                del known[p]
+        if len(self.known) > self.kept:
+            self.known.before = {}
+            self.known = _Known(self.known.ids_of, self.known)
+        ids = np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.int32)
+        self.known.long.clear()
         return ids
 
 
