@@ -140,16 +140,16 @@ class Tokenizer:
     through the library whole.
     """
 
-    def __init__(self, path: str, pattern: str, special: str = SPECIAL):
+    def __init__(self, path: str, pattern: str, special: str = SPECIAL, kept: int = 200_000):
         import tokenizers
 
         self.library = tokenizers.Tokenizer.from_file(path)
         self.special, self.special_id = special, self.library.token_to_id(special)
         letters, model = _byte_letters(tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)), self.library.model
-        self.pieces = bpe.Pieces(pattern, lambda p: [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))])
+        self.pieces = bpe.Pieces(pattern, lambda p: [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))], kept)
 
     def encode(self, text: str) -> np.ndarray:
-        if not text.isascii() and _unassigned()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
+        if not _western(text) and _unassigned()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
             return np.asarray(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         parts = text.split(self.special) if self.special_id is not None else [text]
         out = [self.pieces.encode(parts[0])]
@@ -158,6 +158,15 @@ class Tokenizer:
         return np.concatenate(out).astype(np.uint32)
 
 
+def _western(text: str) -> bool:
+    """Whether all characters are below U+0100, where all are assigned."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _byte_letters(alphabet) -> str:
     """The letter that the library writes for each byte, seen on characters whose UTF-8 has that byte."""
     letters = ["\0"] * 256  # some bytes never occur
@@ -173,8 +182,8 @@ def _unassigned() -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def tokenizer(path: str, pattern: str) -> Tokenizer:
-    return Tokenizer(path, pattern)
+def tokenizer(path: str, pattern: str, kept: int = 200_000) -> Tokenizer:
+    return Tokenizer(path, pattern, kept=kept)
 
 
 OUT = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

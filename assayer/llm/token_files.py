@@ -14,10 +14,9 @@ and pages that hold them, and a reader of lengths and places opens no page of id
 Defined results
   null text       as an empty one: the end id alone
   null id         stands before all others, as does any row with one
-  repeated rows   are rows of their own, next to each other; rows of equal ids are in the order
-                  of their text's hash
-  many rows of one id   are dealt by their text's hash and the task that read them too, so that
-                  they are not one range
+  repeated rows   are rows of their own, next to each other; rows of equal ids stand in the order of
+                  the tasks that read them, then of their texts
+  many rows of one id   are dealt by the task that read them too, so that they are not one range
   long texts      are encoded in linear time; a document is one row
   extra columns   stay behind; an id column with the name of a result is refused
   empty table     two empty tables
@@ -38,6 +37,7 @@ from . import bpe, packing
 from ._run import fresh, refuse_clash, ship
 
 END_ID = 2
+PIECES = 400_000  # pieces of text remembered by a worker, twice; about 160 MB
 ROW_GROUP_BYTES, PAGE_ROWS, SHARD_BYTES = 32 << 20, 256, 128 << 20
 #: Rows of ``shards`` up to which it is sent to all executors: 64 MB of them at most.
 SHARDS_SENT = 1 << 20
@@ -48,12 +48,12 @@ _LIST = "token_ids.list.element"
 def ordered(df: DataFrame, id_column: str, text: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Id, text and shard number of each row, dealt into ranges of ids in ascending order and sorted within."""
     spark = df.sparkSession
-    key, where = fresh([id_column], "hash"), fresh([id_column], "task")
-    source = df.select(F.col(id_column), F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumn(key, F.xxhash64("__text")).withColumn(where, F.spark_partition_id())
+    where = fresh([id_column], "task")
+    source = df.select(F.col(id_column), F.coalesce(F.col(text), F.lit("")).alias("__text"), F.spark_partition_id().alias(where))
     ranges = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // shard_bytes
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = source.repartitionByRange(*([ranges] if ranges > least else []), id_column, key, where)
-    return dealt.sortWithinPartitions(id_column, key, where).select(id_column, "__text", F.spark_partition_id().alias("shard"))
+    dealt = source.repartitionByRange(*([ranges] if ranges > least else []), id_column, where)
+    return dealt.sortWithinPartitions(id_column, where, F.xxhash64("__text")).select(id_column, "__text", F.spark_partition_id().alias("shard"))
 
 
 def encode(rows: DataFrame, *, end_id: int = END_ID, json_path: str | None = None) -> DataFrame:
@@ -65,7 +65,7 @@ def encode(rows: DataFrame, *, end_id: int = END_ID, json_path: str | None = Non
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encoder = packing.tokenizer(json_path or public_tokenizers.path("byte_bpe_50k.json"), bpe.default_pattern())
+        encoder = packing.tokenizer(json_path or public_tokenizers.path("byte_bpe_50k.json"), bpe.default_pattern(), PIECES)
         end, at = np.array([end_id], np.int32), 0
         for batch in batches:
             for a in range(0, batch.num_rows, 256):  # lists of a few rows at once
