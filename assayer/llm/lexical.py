@@ -106,10 +106,10 @@ class Segment:
         heap = [(-bound, top, 0, nodes, times)]
         serial = 0
         while heap and -heap[0][0] >= best.least:
-            _, height, _, nodes, times = heapq.heappop(heap)
+            bound, height, _, nodes, times = heapq.heappop(heap)
             level = self.levels[height]
             if not height:  # a segment of one document
-                best.offer(-_, int(self.ids[level.node[nodes[0]]]))
+                best.offer(-bound, int(self.ids[level.node[nodes[0]]]))
                 continue
             a, n = level.first[nodes], level.first[nodes + 1] - level.first[nodes]
             ends = np.cumsum(n)

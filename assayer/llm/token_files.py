@@ -52,7 +52,8 @@ def ordered(df: DataFrame, id_column: str, text: str, shard_bytes: int = SHARD_B
     source = df.select(F.col(id_column), F.coalesce(F.col(text), F.lit("")).alias("__text"), F.spark_partition_id().alias(where))
     ranges = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // shard_bytes
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = source.repartitionByRange(*([ranges] if ranges > least else []), id_column, where)
+    known = least < ranges < 1 << 30  # what isn't read from files can have any size, which Spark tells as the largest
+    dealt = source.repartitionByRange(*([ranges] if known else []), id_column, where)
     return dealt.sortWithinPartitions(id_column, where, F.xxhash64("__text")).select(id_column, "__text", F.spark_partition_id().alias("shard"))
 
 

@@ -2,12 +2,15 @@
 
 import os
 import random
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from assayer.llm import queries
+from assayer.llm._run import cut
 from test_pairs import brute_components, brute_lines
 from test_rows import corpus
 
@@ -43,7 +46,34 @@ def test_stages_keep_columns_and_decide(spark, docs):
             roots = {c for _, c in brute_components(rows, 80).values()}
             assert after - {None} == roots and out.groupBy("doc_id").count().where("count > 1").isEmpty()
         seen = spark.createDataFrame(out.collect(), SCHEMA)
-    assert corpus_pipeline.STAGES[-1][1](spark, seen, SF).agg(F.count_distinct("doc_id")).first()[0] == seen.where("doc_id is not null").count()
+    packed = corpus_pipeline.STAGES[-1][1](spark, seen, SF).collect()
+    assert held_ids(packed, [(r.doc_id, r.text) for r in seen.collect()]) > 20
+
+
+def held_ids(pieces, docs):
+    """Asserts that every id of every document lies in one piece and every window has no gap; returns how many windows there are."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    by_doc, windows = {}, {}
+    for p in pieces:
+        by_doc.setdefault(p.doc_id, []).append(p)
+        windows.setdefault(p.sequence_id, []).append(p)
+    assert sorted(map(str, by_doc)) == sorted(str(i) for i, _ in docs)  # each document once
+    for i, text in docs:
+        ids, at = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], "<u4"), 0
+        for p in sorted(by_doc[i], key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
+            at += p.length
+        assert at == len(ids)
+    for w in windows.values():
+        at = 0
+        for p in sorted(w, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 1024
+    return len(windows)
 
 
 def test_stages_take_empty_tables(spark, docs):
@@ -55,7 +85,7 @@ def test_stages_take_empty_tables(spark, docs):
 def test_queries_equal_their_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "conversations", "labels"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "conversations", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         found = queries.QUERIES[name](spark, SF)
@@ -68,5 +98,8 @@ def test_queries_equal_their_sql(spark):
 def test_whole_run(spark):
     pieces = corpus_pipeline.run(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert 0 < pieces.select("doc_id").distinct().count() < docs.count()
-    assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").isEmpty()
+    kept = docs.drop("text")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = cut(stage(spark, docs, SF), "stage")
+    assert 0 < docs.count() < kept.count()
+    held_ids(pieces.collect(), [(r.doc_id, r.text) for r in docs.collect()])
