@@ -30,10 +30,10 @@ LG, ITEMS = 14, 1_000
 AT_ONCE = 40
 
 
-def states(df: DataFrame, rules: Mapping[str, Rule], *, columns: list[str] | None = None, as_of=None, source: Column | None = None, lg: int = LG, items: int = ITEMS) -> DataFrame:
+def states(df: DataFrame, rules: Mapping[str, Rule], *, columns: list[str] | None = None, as_of=None, source: Column | None = None, lg: int = LG, items: int = ITEMS, sketches: bool = True) -> DataFrame:
     """A row for each source and column.  Nothing but a state for each task, source and column is shuffled.
 
-    ``source`` tells the file or part that a row belongs to; all rows are one, named "", without it.
+    Without ``sketches`` only the exact sums are made.  ``source`` tells the file or part that a row belongs to; all rows are one, named "", without it.
     """
     columns = profiled_columns(df) if columns is None else columns
     from_ = F.lit("") if source is None else source
@@ -49,13 +49,16 @@ def states(df: DataFrame, rules: Mapping[str, Rule], *, columns: list[str] | Non
             length = F.char_length(v)  # a sketch leaves out empty text, so that is counted as a character nothing else has
             aggs += [
                 F.count_if(there).alias(f"n{i}"), F.count_if(valid).alias(f"m{i}"), good.alias(f"g{i}"), F.count(v).alias(f"v{i}"), F.coalesce(F.sum(length.cast("long")), F.lit(0)).alias(f"s{i}"),
-                F.min(length).alias(f"a{i}"), F.max(length).alias(f"b{i}"), F.hll_sketch_agg(F.when(v == "", F.lit("\0")).otherwise(v), lg).alias(f"d{i}"), F.call_function("approx_top_k_accumulate", v, F.lit(items)).alias(f"f{i}"),
+                F.min(length).alias(f"a{i}"), F.max(length).alias(f"b{i}"),
             ]
+            if sketches:
+                aggs += [F.hll_sketch_agg(F.when(v == "", F.lit("\0")).otherwise(v), lg).alias(f"d{i}"), F.call_function("approx_top_k_accumulate", v, F.lit(items)).alias(f"f{i}")]
         one = df.groupBy(from_.alias("source")).agg(F.count("*").alias("t"), *aggs)
         rows = F.array(*[
             F.struct(
                 F.lit(at + i).alias("position"), F.lit(c).alias("column_name"), F.col("t").alias("total_count"), F.col(f"n{i}").alias("non_null_count"), F.col(f"m{i}").alias("n_valid"), F.col(f"g{i}").alias("conforming_count"),
-                F.col(f"v{i}").alias("valued_count"), F.col(f"s{i}").alias("length_sum"), F.col(f"a{i}").alias("min_length"), F.col(f"b{i}").alias("max_length"), F.col(f"d{i}").alias("distinct_sketch"), F.col(f"f{i}").alias("frequent"),
+                F.col(f"v{i}").alias("valued_count"), F.col(f"s{i}").alias("length_sum"), F.col(f"a{i}").alias("min_length"), F.col(f"b{i}").alias("max_length"),
+                *([F.col(f"d{i}").alias("distinct_sketch"), F.col(f"f{i}").alias("frequent")] if sketches else []),
             )
             for i, c in enumerate(some)
         ])

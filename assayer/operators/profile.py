@@ -81,11 +81,14 @@ def conditional_counts(df: DataFrame, columns: list[str] | None = None) -> DataF
     return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
-def metrics(df: DataFrame, rules: Mapping[str, Rule], columns: list[str] | None = None, as_of=None, hist: DataFrame | None = None, conditional: DataFrame | None = None) -> DataFrame:
-    """One row for each column: counts, completeness, uniqueness (of the NPI alone), conformity, lengths."""
+def metrics(df: DataFrame, rules: Mapping[str, Rule], columns: list[str] | None = None, as_of=None, hist: DataFrame | None = None, conditional: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """One row for each column: counts, completeness, uniqueness (of the NPI alone), conformity, lengths.
+
+    ``found`` is what ``counts`` gives, where that was made in another way.
+    """
     columns = profiled_columns(df) if columns is None else columns
-    hist = judged(histogram(df, columns), rules, as_of) if hist is None else hist
-    found = counts(hist)
+    if found is None:
+        found = counts(judged(histogram(df, columns), rules, as_of) if hist is None else hist)
     spark = df.sparkSession
     listed = spark.createDataFrame([(i, c) for i, c in enumerate(columns)], "position int, column_name string")
     rows = listed.join(found, "column_name", "left").na.fill(0, ["total_count", "non_null_count", "unique_count", "conforming_count"])

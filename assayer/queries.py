@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .functions import fixes, nulls, rules, states
+from .functions import fixes, nulls, rules, sql, states
 from .functions.nulls import EIN
 from .functions.rules import ENTITY_TYPE, NAME_COLUMNS, Rule
-from .operators import anomaly, issues, partial, profile, recommend, repair, reports, validate
+from .operators import anomaly, issues, partial, profile, recommend, repair, reports, validate, wide
 from .sources import files, history, reference, scratch
 from .sources.catalog import MAILING, POSTAL_PATTERN, focused_columns, provider_rules
 from .sources.files import ROW
@@ -836,6 +836,37 @@ def merged_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partial.top_values(partial.merge(parts))
 
 
+_TWO = ("CAST(o_orderkey AS VARCHAR) || ' ordered by customer ' || CAST(o_custkey AS VARCHAR)", "'the clerk of every third order ' || CAST(o_orderkey % 3001 AS VARCHAR)")
+
+
+@query(
+    f"WITH c AS (SELECT 'each' AS column_name, {_TWO[0]} AS value FROM orders UNION ALL SELECT 'some', {_TWO[1]} FROM orders), n AS (SELECT column_name, value, count(*) AS n FROM c GROUP BY ALL),"
+    " t AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS r FROM n)"
+    " SELECT column_name, count(*) AS unique_count, CAST(sum(n) AS BIGINT) AS total_count, round(sum(n * length(value)) / sum(n), 6) AS avg_length, string_agg(value || ':' || n, '; ' ORDER BY r) FILTER (WHERE r <= 5) AS top FROM t GROUP BY 1"
+)
+def near_unique_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of many values, by digests."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    d = table(spark, sf_dir, "orders").select(F.concat(key.cast("string"), F.lit(" ordered by customer "), customer).alias("each"), F.concat(F.lit("the clerk of every third order "), (key % 3001).cast("string")).alias("some"))
+    found = wide.profile_routed(d, {}, by_digest=["each", "some"])
+    top = found.top_values.groupBy("column_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))), lambda x: F.concat_ws(":", x["value"], x["n"].cast("string"))), "; ").alias("top"))
+    return rounded(found.metrics.join(top, "column_name").select("column_name", "unique_count", "total_count", "avg_length", "top"))
+
+
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS window_start, count(*) AS total_count, count(DISTINCT user_id) AS unique_count, count(*) - count(DISTINCT user_id) AS duplicate_count, round(100.0::DOUBLE * count(DISTINCT user_id) / count(*), 6) AS uniqueness_score FROM events WHERE user_id IS NOT NULL GROUP BY CAST(ts AS DATE)")
+def window_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.uniqueness(table(spark, sf_dir, "events"), "ts", "user_id")
+    return rounded(found.withColumn("window_start", F.to_date("window_start").cast("string")))
+
+
+@query(f"{V} SELECT k, " + ", ".join(f"NOT {missing(c)} AND coalesce({OK[c]}, false) AS {c}" for c in HEADERS) + f", {missing('org')} AS none FROM v")
+def rules_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL text alone, by functions that the rules make."""
+    sql.register(spark, RULES, as_of=AS_OF, names={h: f"conforms_{c}" for c, h in HEADERS.items()})
+    verdicts = ", ".join(f"conforms_{c}({c}) AS {c}" for c in HEADERS)
+    return spark.sql(f"SELECT k, {verdicts}, null_like(org) AS none FROM {{d}}", d=dirty(spark, sf_dir))
+
+
 # --- more reports
 
 

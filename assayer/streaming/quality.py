@@ -32,3 +32,30 @@ def profile_batches(history: History, rules: Mapping[str, Rule], *, dataset_name
         history.store(found, issues.detect(found, rules), at=clock(), dataset_name=dataset_name, run_id=f"batch-{number:012d}")
 
     return each
+
+
+def key_counts(df: DataFrame, at: str, key: str, *, window: str = "1 day", late: str = "2 days") -> DataFrame:
+    """How often each key comes in each window, over all micro-batches: the counts are Spark's state, kept until the watermark has passed."""
+    if df.isStreaming:
+        df = df.withWatermark(at, late)
+    return df.where(quoted(key).isNotNull()).groupBy(F.window(at, window).alias("w"), quoted(key).alias("key")).agg(F.count("*").alias("n"))
+
+
+def uniqueness(df: DataFrame, at: str, key: str, *, window: str = "1 day", late: str = "2 days") -> DataFrame:
+    """window_start, total_count, unique_count, duplicate_count and uniqueness_score of a key column; batch or stream.
+
+    A stream gives each window once, when the watermark has passed its end, and leaves out rows that come later than ``late``.
+    Duplicates in different micro-batches count, and so do those before and after a restart from a checkpoint.
+    """
+    counted = key_counts(df, at, key, window=window, late=late)
+    again = F.window(F.window_time("w"), window) if df.isStreaming else F.col("w")
+    found = counted.groupBy(again.alias("w")).agg(F.sum("n").alias("total_count"), F.count("*").alias("unique_count"))
+    duplicates = F.col("total_count") - F.col("unique_count")
+    return found.select(F.col("w.start").alias("window_start"), "total_count", "unique_count", duplicates.alias("duplicate_count"), (F.col("unique_count") / F.col("total_count") * 100).alias("uniqueness_score"))
+
+
+def first_of_each(df: DataFrame, at: str, keys: list[str], *, late: str = "2 days") -> DataFrame:
+    """The first row of each key within ``late``, across micro-batches and restarts; in a batch, of each key at all."""
+    if not df.isStreaming:
+        return df.dropDuplicates(keys)
+    return df.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
