@@ -49,11 +49,11 @@ def _regex_fixes(v: Column) -> tuple[Column, Column]:
     one, d, plain = F.regexp_replace(v, r"(?U)\s+", " "), F.regexp_replace(v, r"(?U)\D", ""), F.upper(F.regexp_replace(v, "[^A-Za-z0-9]", ""))
     n, wanted = F.char_length(d), F.col("digits")
     tests = [
-        ((one != v) & fits(one), F.lit("Remove extra whitespace")),
-        (F.when(wanted > 0, n >= wanted).when(wanted == 0, (n > 0) & fits(d)), F.when(wanted > 0, _text("Extract ", wanted.cast("string"), " digits from value")).otherwise("Remove non-digit characters")),
-        (F.col("upper") & fits(F.upper(v)), F.lit("Normalize to uppercase")),
-        (F.col("plain") & (plain != "") & fits(plain), F.lit("Remove special characters")),
-        (fits(v), F.lit("Trim whitespace")),
+        ((one != v) & fits(one), F.lit("one space between words would make it match")),
+        (F.when(wanted > 0, n >= wanted).when(wanted == 0, (n > 0) & fits(d)), F.when(wanted > 0, _text("its first ", wanted.cast("string"), " digits would match")).otherwise("its digits alone would match")),
+        (F.col("upper") & fits(F.upper(v)), F.lit("capital letters would make it match")),
+        (F.col("plain") & (plain != "") & fits(plain), F.lit("letters and digits alone, in capitals, would match")),
+        (fits(v), F.lit("without blanks at its ends it matches")),
     ]
     said = F.array_compact(F.array(*[F.when(t, x) for t, x in tests]))
     return F.size(said) > 0, said
@@ -61,7 +61,7 @@ def _regex_fixes(v: Column) -> tuple[Column, Column]:
 
 def _length_fixes(v: Column) -> tuple[Column, Column]:
     n, least, most = F.char_length(v), F.col("least"), F.col("most")
-    said = F.when(n > most, _text("Truncate to ", most.cast("string"), " characters")).when(n < least, "Value too short - requires domain knowledge").when(F.char_length("value") != n, "Trim whitespace")
+    said = F.when(n > most, _text("its first ", most.cast("string"), " characters would fit")).when(n < least, "shorter than allowed; what is missing has to be looked up").when(F.char_length("value") != n, "without blanks at its ends it fits")
     return F.lit(False), F.array_compact(F.array(said))
 
 
@@ -70,19 +70,19 @@ def _enum_fixes(v: Column) -> tuple[Column, Column]:
     case = F.coalesce(hit != v, F.lit(False))
     named = F.col("named") & F.coalesce(F.array_contains(allowed, code), F.lit(False))
     number = F.col("entity") & F.coalesce(F.array_contains(allowed, whole) & (whole != v), F.lit(False))
-    said = F.when(number, "Normalize float to integer string (e.g., '1.0' -> '1')").when(named, _text("Infer state from context (e.g., '", v, "' -> '", code, "')")).when(case, _text("Normalize case (e.g., '", v, "' -> '", hit, "')"))
-    return case | named | number, F.array(F.coalesce(said, _text("Value must be one of: ", F.array_join(allowed, ", "))))
+    said = F.when(number, _text("write '", whole, "' for '", v, "'")).when(named, _text("'", v, "' names the state '", code, "'")).when(case, _text("'", v, "' differs from '", hit, "' in case alone"))
+    return case | named | number, F.array(F.coalesce(said, _text("none of the allowed values: ", F.array_join(allowed, ", "))))
 
 
 def _phone_fixes(v: Column) -> tuple[Column, Column]:
     n, least, most = F.char_length(F.regexp_replace("value", r"(?U)\D", "")), F.col("least"), F.col("most")
-    said = F.when(n.between(least, most), "Remove non-digit characters").when(n > most, _text("Extract first ", most.cast("string"), " digits"))
+    said = F.when(n.between(least, most), "its digits alone would do").when(n > most, _text("more than ", most.cast("string"), " digits; the first ones would do"))
     return F.when(most >= least, n >= least).otherwise(n > most), F.array_compact(F.array(said))
 
 
 def _date_fixes(v: Column) -> tuple[Column, Column]:
     read = parsed_date(v, (*DATE_FORMATS, *MORE_DATE_FORMATS)).isNotNull()
-    return read, F.array_compact(F.array(F.when(read, "Convert date format to MM/DD/YYYY")))
+    return read, F.array_compact(F.array(F.when(read, "a date in another format; write it as MM/DD/YYYY")))
 
 
 #: For each kind of rule: whether a violating ``value`` counts as repairable, and the suggestions it gives.
@@ -107,11 +107,11 @@ def violation_fixes(rows: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
 
 
 FALLBACKS = {
-    "regex": lambda c: ["Check regex pattern", "Verify data source", "Apply format transformation"],
-    "length": lambda c: ["Check length constraints"],
-    "enum": lambda c: [f"Ensure value is one of: {', '.join(map(str, c.get('values', ())))}"],
-    "phone": lambda c: [f"Ensure phone has {c.get('min_digits', 7)}-{c.get('max_digits', 20)} digits"],
-    "date": lambda c: ["Standardize date format to MM/DD/YYYY"],
+    "regex": lambda c: ["no repair is known; compare the values with the pattern and with their source"],
+    "length": lambda c: ["no repair is known; compare the lengths with the limits"],
+    "enum": lambda c: [f"allowed are {', '.join(map(str, c.get('values', ())))}"],
+    "phone": lambda c: [f"allowed are {c.get('min_digits', 7)} to {c.get('max_digits', 20)} digits"],
+    "date": lambda c: ["write dates as MM/DD/YYYY"],
 }
 
 
@@ -250,12 +250,12 @@ def for_anomalies(anomalies: DataFrame) -> DataFrame:
         "column_name",
         F.lit("anomaly").alias("issue_type"),
         F.lit("investigate_root_cause").alias("fix_strategy"),
-        F.concat(F.col("metric"), F.when(down, " dropped ").otherwise(" increased "), one(F.abs("delta")), F.lit("% from baseline")).alias("fix_description"),
+        F.concat(F.lit("find out why "), F.col("metric"), F.lit(" is "), one(F.abs("delta")), F.when(down, " points below").otherwise(" points above"), F.lit(" its usual level")).alias("fix_description"),
         F.when((F.col("severity") == "high") & (F.col("z_score") > 3), 0.9).when(F.col("severity") == "high", 0.7).otherwise(0.5).alias("confidence_score"),
         F.col("severity").alias("estimated_impact"),
         F.lit(False).alias("actionable"),
         F.lit(None).cast("string").alias("suggested_value"),
-        F.concat(F.when(down, "Degradation detected: ").otherwise("Unexpected improvement: "), F.col("metric"), F.when(down, " fell from ").otherwise(" rose from "), one(F.col("baseline_value")), F.lit("% to "), one(F.col("current_value")), F.lit("%")).alias("rationale"),
+        F.concat(F.lit("earlier runs had a "), F.col("metric"), F.lit(" of about "), one(F.col("baseline_value")), F.lit(", this one has "), one(F.col("current_value"))).alias("rationale"),
     )
 
 

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from .functions import fixes, nulls, rules, sql, states
 from .functions.nulls import EIN
 from .functions.rules import ENTITY_TYPE, NAME_COLUMNS, Rule
-from .operators import anomaly, issues, partial, profile, recommend, repair, reports, validate, wide
+from .operators import accept, anomaly, issues, partial, profile, recommend, repair, reports, validate, wide
 from .sources import files, history, reference, scratch
 from .sources.catalog import MAILING, POSTAL_PATTERN, focused_columns, provider_rules
 from .sources.files import ROW
@@ -867,6 +867,17 @@ def rules_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT k, {verdicts}, null_like(org) AS none FROM {{d}}", d=dirty(spark, sf_dir))
 
 
+@query(f"{V}, a AS (" + " UNION ALL ".join(_AUDIT) + ") SELECT v.k, coalesce(a.recommended_value, v.npi) AS npi, v.nation FROM v LEFT JOIN (SELECT * FROM a WHERE \"column\" = 'NPI' AND recommended_value IS NOT NULL) a ON a.row_index = v.k")
+def accepted_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table, repaired in those of its partitions that have something to repair."""
+    path = scratch.fresh_path(spark, "accepted") + ".parquet"
+    dirty(spark, sf_dir).select("k", F.col("npi").alias("NPI"), "nation").write.partitionBy("nation").parquet(path)
+    loaded = files.load_dataset(spark, path, focused_only=False)
+    accepted = repair.repair(loaded, [r for r in RECS if r.column_name == "NPI"], RULES, as_of=AS_OF).sidecar
+    accept.apply(spark, path, accepted, ["nation"])
+    return spark.read.parquet(path).select("k", F.col("NPI").alias("npi"), "nation")
+
+
 # --- more reports
 
 
@@ -931,15 +942,47 @@ def multi_window_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.withColumn("window_start", F.to_date("window_start").cast("string")))
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(f'({i}, $${c}$$)' for i, c in enumerate(focused_columns()))}) t(position, column_name)")
+_FOCUS = {"c_custkey": focused_columns()[0], "c_name": focused_columns()[3], "c_nationkey": focused_columns()[1]}
+
+
+@query("SELECT " + ", ".join(f'CAST({c} AS VARCHAR) AS "{h}"' for c, h in sorted(_FOCUS.items(), key=lambda x: focused_columns().index(x[1]))) + " FROM customer")
 def focused_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = table(spark, sf_dir, "region").select(*[F.lit("x").alias(c) for c in [*reversed(focused_columns()), "other"]])
-    return spark.createDataFrame([(i, c) for i, c in enumerate(files.focus(whole).columns)], "position int, column_name string")
+    """Configured columns, in their order, of a table that has them in another and has more."""
+    c = table(spark, sf_dir, "customer")
+    return files.as_text(files.focus(c.select("c_acctbal", *[F.col(x).alias(h) for x, h in _FOCUS.items()], "c_mktsegment")))
+
+
+_KIND = " ".join(f"WHEN '{h}' THEN '{RULES[h].rule_type}'" for h in HEADERS.values())
 
 
-@query("SELECT kind AS rule_type, CAST(n AS BIGINT) AS n FROM (VALUES ('regex', 14), ('length', 13), ('enum', 9), ('phone', 4), ('date', 3)) t(kind, n)")
+@query(f"{V}{METRICS} SELECT CASE column_name {_KIND} END AS rule_type, count(*) AS n_columns, CAST(sum(non_null_count) AS BIGINT) AS checked, CAST(sum(conforming_count) AS BIGINT) AS conforming FROM metrics GROUP BY 1")
 def rule_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(r.rule_type,) for r in provider_rules().values()], "rule_type string").groupBy("rule_type").agg(F.count("*").alias("n"))
+    """What rules of each type cover: columns, values and how many of these conform."""
+    found = validate.validate_dataset(providers(spark, sf_dir), RULES, as_of=AS_OF)
+    return found.groupBy("rule_type").agg(F.count("*").alias("n_columns"), F.sum("non_null_count").alias("checked"), F.sum("conforming_count").alias("conforming"))
+
+
+@query(f"{V}{ISSUES} SELECT (SELECT count(*) FROM metrics) AS n_columns, (SELECT count(*) FROM v) AS total_rows, (SELECT CAST(sum(conforming_count) AS BIGINT) FROM metrics) AS conforming, count(*) AS n_issues, CAST(sum(least(len(examples), 2)) AS BIGINT) AS n_examples FROM found")
+def profile_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested document of a profile and its issues, read back by its parts."""
+    found, seen = _issues(spark, sf_dir)
+    made = reports.profile_document(found, seen, examples=2)
+    shape = "dataset struct<total_rows:long>, columns array<struct<column_name:string,conforming_count:long>>, issues array<struct<column_name:string,examples:array<string>>>"
+    read, total = made.select(F.from_json("json", shape).alias("x")), F.lit(0).cast("long")
+    conforming, shown = F.aggregate("x.columns", total, lambda a, c: a + c["conforming_count"]), F.aggregate("x.issues", total, lambda a, i: a + F.coalesce(F.size(i["examples"]), F.lit(0)))
+    return read.select(F.size("x.columns").cast("long").alias("n_columns"), F.col("x.dataset.total_rows").alias("total_rows"), conforming.alias("conforming"), F.size("x.issues").cast("long").alias("n_issues"), shown.alias("n_examples"))
+
+
+@query(f"{V}{_ADVICE} SELECT count(*) AS total, count(*) FILTER (WHERE actionable) AS actionable_count, round(CAST(sum(confidence_score) AS DOUBLE), 6) AS confidence, count(DISTINCT fix_strategy) AS strategies FROM first_advice")
+def recommendation_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested document of recommendations, read back by its parts."""
+    advice = _advice(spark, sf_dir)
+    made = reports.recommendation_document(recommend.summary(advice), advice)
+    shape = "summary struct<total:long,actionable_count:long>, recommendations array<struct<fix_strategy:string,confidence_score:double>>"
+    read = made.select(F.from_json("json", shape).alias("x"))
+    confidence = F.aggregate("x.recommendations", F.lit(0.0), lambda a, r: a + r["confidence_score"])
+    strategies = F.size(F.array_distinct(F.transform("x.recommendations", lambda r: r["fix_strategy"]))).cast("long")
+    return rounded(read.select(F.size("x.recommendations").cast("long").alias("total"), F.col("x.summary.actionable_count").alias("actionable_count"), confidence.alias("confidence"), strategies.alias("strategies")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,15 +63,15 @@ def with_row_index(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """
     if order:
         df = df.orderBy(*[quoted(c) for c in order])
-    return _numbered(scratch.cut(df, "numbered"), df.columns, [])
+    return placed(scratch.cut(df, "numbered"), df.columns, [])
 
 
 #: Files whose first places are sent to all executors; beyond, both sides are shuffled.
 FILES_SENT = 100_000
 
 
-def _numbered(table: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    """The columns with each row's place: in the order of ``keys``, within them of the files and of the rows in each.
+def placed(table: DataFrame, columns: list[str], keys: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """The columns of stored files with each row's place: in the order of ``keys``, within them of folders and files and of the rows in each.
 
     Rows of equal keys stand together in a file.  Counting reads no column but the keys; a row for each
     file and key is summed up, as many as the driver lists itself.
@@ -81,7 +81,8 @@ def _numbered(table: DataFrame, columns: list[str], keys: list[str]) -> DataFram
     rows = table.select(*[quoted(c) for c in columns], *keys, name.alias(part), F.col("_metadata.row_index").alias(inside))
     each = rows.groupBy(part, *keys).agg(F.count("*").alias("__n"), F.min(inside).alias("__first"))
     number = F.regexp_extract(part, r"part-(\d+)-[^/]*$", 1).try_cast("long")
-    before = Window.orderBy(*keys, number, part).rowsBetween(Window.unboundedPreceding, -1)
+    folder = F.regexp_replace(part, "/[^/]*$", "")
+    before = Window.orderBy(*keys, folder, number, part).rowsBetween(Window.unboundedPreceding, -1)
     starts = each.select(part, *keys, (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__start"))
     starts = F.broadcast(starts) if each.count() <= FILES_SENT else starts
     joined = rows.join(starts, [part, *keys], "left")
@@ -136,12 +137,12 @@ def load_dataset(spark: SparkSession, path: str, *, focused_only: bool = True, c
     if not row_index:
         return as_text(df.select(*[quoted(c) for c in names]))
     if kind == "parquet":  # files hold their rows' places
-        return as_text(_numbered(df, names, []))
+        return as_text(placed(df, names, []))
     if kind == "excel":
         return with_row_index(as_text(df.select(*[quoted(c) for c in names])))
     # a task may read blocks of several files: rows are written with their blocks, which then give the order
     rows = as_text(df.select(*[quoted(c) for c in names])) if not keys else df.select(*[quoted(c).cast("string").alias(c) for c in names], *keys)
-    return _numbered(scratch.cut(rows, "rows"), names, [k for k in keys if k != csv_records.SEQ])
+    return placed(scratch.cut(rows, "rows"), names, [k for k in keys if k != csv_records.SEQ])
 
 
 def _csv(writer: DataFrameWriter) -> DataFrameWriter:
