@@ -176,11 +176,15 @@ class _Counted(io.RawIOBase):
 
 # --- over tables
 
+#: Repeated digests that are sent to all executors, 28 bytes each and as much again to find them by: some 60 MB.
+DIGESTS_SENT = 1 << 20
 
-def write(df: DataFrame, folder: str, *, id_column: str = "page_id", url: str = "url", payload: str = "html", archive_bytes: int = 64 << 20, zip64: bool = False) -> DataFrame:
+def write(df: DataFrame, folder: str, *, id_column: str = "page_id", url: str = "url", payload: str = "html", archive_bytes: int = 64 << 20, zip64: bool = False, sent: int = DIGESTS_SENT) -> DataFrame:
     """Writes archives into ``folder``, an address that all executors reach, and returns their list.
 
-    Tasks are those of the join, which adaptive execution sizes by bytes.  A task
+    Payloads that come several times are told by a join with the list of their digests.  Up to
+    ``sent`` of them go to all executors, so no page is shuffled; beyond, the join shuffles
+    pages, and adaptive execution sizes its tasks by bytes.  A task
     writes archives of about ``archive_bytes``, under names of its own, so an
     attempt that is repeated leaves no part of another's; only the archives of
     attempts that succeeded are in the list.
@@ -191,7 +195,7 @@ def write(df: DataFrame, folder: str, *, id_column: str = "page_id", url: str =
     rows = rows.withColumn("sha", F.unhex(F.sha1(F.col("body").cast("binary"))))
     several = rows.select("id", "sha").groupBy("sha").agg(F.max("id").alias("largest"), F.count("*").alias("n")).where("n > 1").select("sha", "largest", F.lit(True).alias("several"))
     several = cut(several, "several")  # a table, so that the join can be split at a frequent payload
-    joined = rows.join(several, "sha", "left").withColumn("largest", F.when(F.col("several"), F.col("largest")).otherwise(F.col("id")))
+    joined = rows.join(F.broadcast(several) if several.count() <= sent else several, "sha", "left").withColumn("largest", F.when(F.col("several"), F.col("largest")).otherwise(F.col("id")))
     response = F.col("id").eqNullSafe(F.col("largest"))
     source = joined.select("id", "url", F.when(response, F.col("body")).alias("body"), F.octet_length("body").cast("long").alias("size"), "sha", "largest", response.alias("response"))
 
