@@ -8,7 +8,8 @@ so far are compacted away, and only the rest reads the next dimensions.
 
 Queries come to the tasks in passes of bounded size, run one after the other over all
 candidates; every task keeps k candidates for each query, and the best k of these are
-final.  What the driver holds is one pass, however many queries there are.
+final.  What the driver holds is one pass, however many queries there are; what passes find is
+added to one folder and read once, so the plan is the same for any number of them.
 
 Defined results
   null id, null vector, null or non-finite component   takes no part, nor does a
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._run import cut, ship
+from ._run import cut, scratch, ship
 
 STEP, BLOCK, QUERY_GROUP = 16, 8192, 64
 PASS_BYTES = 32 << 20
@@ -143,7 +144,7 @@ def search(df: DataFrame, queries: DataFrame, *, k: int = 5, id_column: str = "v
     if passes > 1:  # queries are written by pass, so that each reads its own alone
         asked = asked.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(passes)).alias("p"))
         asked = cut(asked.repartitionByRange(passes, "p").sortWithinPartitions("p"), "queries")
-    found = None
+    out = scratch(spark, "found")
     for p in range(passes):
         mine = (asked.where(F.col("p") == p) if passes > 1 else asked).groupBy("id").agg(F.max("v").alias("v")).collect() if size else []
         by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
@@ -152,11 +153,11 @@ def search(df: DataFrame, queries: DataFrame, *, k: int = 5, id_column: str = "v
                 by_length.setdefault(len(v), []).append((r.id, v))
         sent = spark.sparkContext.broadcast({n: (np.array([i for i, _ in x], np.int64), np.stack([v for _, v in x])) for n, x in by_length.items()})
         one = _best(rows.mapInArrow(_scan(sent, k, scale), "query_id long, vec_id long, score long"), k)
-        if passes > 1:  # run now, so that the driver and the workers hold the queries of one pass only
-            one = cut(one, "found")
-            sent.destroy()
-        found = one if found is None else found.unionByName(one)
-    return found
+        if passes == 1:
+            return one
+        one.write.mode("append").parquet(out)  # run now, so that the driver and the workers hold the queries of one pass only
+        sent.destroy()
+    return spark.read.schema(one.schema).parquet(out)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
