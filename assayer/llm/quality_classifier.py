@@ -43,7 +43,7 @@ REPEATED_WORD, REPEATED_LINE = "\x00word", "\x00line"
 _RUNS = ((re.compile(r"[^\W\d_]+"), None), (re.compile(r"\d+"), "9"))
 _CORE = re.compile(r"[\W_]+")
 _SIGNS = re.compile(r"([^\w])\1+")
-_KEPT = 200_000  # words whose tokens a worker remembers
+_KEPT, _LONGEST = 200_000, 64  # words whose tokens a worker remembers, and characters of the longest of them
 
 
 def shape(word: str) -> str:
@@ -76,7 +76,9 @@ def stream(text: str) -> list[str]:
             if found is None:
                 if len(known) > _KEPT:
                     known.clear()
-                found = known[w] = word_tokens(w)
+                found = word_tokens(w)
+                if len(w) <= _LONGEST:
+                    known[w] = found
             out += found
             if w == last:
                 out.append(REPEATED_WORD)
@@ -121,12 +123,14 @@ class Model:
         words, known, get = text.split(), self.__dict__.setdefault("_known", {}), self.tokens.get
         if len(known) > _KEPT:
             known.clear()
+        long: dict[str, tuple[int, ...]] = {}  # forgotten with the text
         for w in set(words):
             if w not in known:
-                known[w] = tuple(get(t, -1) for t in word_tokens(w))
+                (known if len(w) <= _LONGEST else long)[w] = tuple(get(t, -1) for t in word_tokens(w))
+        of = (lambda w: long.get(w) or known[w]) if long else known.__getitem__
         lines = [x for x in text.split("\n") if x.split()]
         marks = [get(REPEATED_WORD, -1)] * sum(map(eq, words, words[1:])) + [get(REPEATED_LINE, -1)] * (len(lines) - len(set(lines)))
-        return chain(chain.from_iterable(map(known.__getitem__, words)), marks)
+        return chain(chain.from_iterable(map(of, words)), marks)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers

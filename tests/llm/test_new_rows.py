@@ -13,7 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, lexical, periodic, queries, token_files
+from assayer.llm import bpe, lexical, periodic, quality_classifier, queries, token_files
 
 DOCS = "/root/testdata/sf0.001"
 
@@ -114,6 +114,15 @@ def test_remembered_pieces_are_bounded(library):
     assert sum(len(k) for k in v.known) - before < 1000 and not v.known.long
 
 
+def test_remembered_words_are_bounded():
+    m = quality_classifier.Model({"\x01a": 3}, np.ones((9, 4), np.float32), np.zeros(6), np.ones(6))
+    long = ["ab" * 50_000 + chr(97 + i) for i in range(9)]
+    ids = [list(m._ids(f"{w} x {w}")) for w in long]
+    assert all(sorted(i) == sorted(ids[0]) for i in ids) and set(m._known) == {"x"}
+    quality_classifier._memory.clear()
+    assert all(len(quality_classifier.stream(w)) == 2 for w in long) and not quality_classifier._memory
+
+
 def test_both_engines_split_alike():
     import regex
 
