@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -97,3 +98,21 @@ def improvement(both: DataFrame) -> DataFrame:
         F.avg("completeness_gain").alias("mean_completeness_gain"),
         F.avg("conformity_gain").alias("mean_conformity_gain"),
     )
+
+
+def throughput(df: DataFrame, rules: Mapping[str, Rule], *, as_of=None) -> DataFrame:
+    """rule_type, n_columns, values, seconds and values_per_second: each type's rules over their columns in a job of its own.
+
+    The first job also pays for what Spark does once; the times are those of this cluster as busy as it is.
+    """
+    kinds: dict[str, list[str]] = {}
+    for c in df.columns:
+        if c in rules:
+            kinds.setdefault(rules[c].rule_type, []).append(c)
+    rows = []
+    for kind, columns in sorted(kinds.items()):
+        began = time.monotonic()
+        n = df.agg(F.count("*"), *[F.count_if(conforms(quoted(c), rules[c], c, as_of)) for c in columns]).first()[0]
+        rows.append((kind, len(columns), n * len(columns), time.monotonic() - began))
+    found = df.sparkSession.createDataFrame(rows, "rule_type string, n_columns int, values long, seconds double")
+    return found.withColumn("values_per_second", F.try_divide("values", "seconds"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.rules import Rule
 from ..operators import anomaly, issues, profile, recommend, repair, validate
-from ..sources import files
+from ..sources import files, scratch
 from ..sources.catalog import provider_rules
 from ..sources.history import History
 
@@ -29,7 +29,8 @@ class Outcome:
 def run(df: DataFrame, rules: Mapping[str, Rule] | None = None, *, at: dt.datetime, dataset_name: str = "dataset", history: History | None = None, settings: anomaly.Settings = anomaly.Settings(), maps: repair.Maps | None = None, execute: bool = True, only_actionable: bool = True, rows_to_profile: int | None = None, folder: str | None = None) -> Outcome:
     """All stages over a dataset with a ``row_index``; ``rows_to_profile`` samples what is profiled, not what is repaired.
 
-    ``folder``, a shared one, takes the outcomes of repairs, so that they are worked out once.
+    ``folder``, a shared one, takes the outcomes of repairs, so that they are worked out once; without it
+    they go to a scratch folder.
     """
     rules = provider_rules() if rules is None else rules
     day = at.date()
@@ -46,7 +47,7 @@ def run(df: DataFrame, rules: Mapping[str, Rule] | None = None, *, at: dt.dateti
     out = Outcome(found, seen, anomalies, advice, run_id=run_id)
     if execute:
         recs = repair.collected(advice)
-        out.repaired = repair.repair(df, recs, rules, maps=maps, as_of=day, only_actionable=only_actionable, folder=folder)
+        out.repaired = repair.repair(df, recs, rules, maps=maps, as_of=day, only_actionable=only_actionable, folder=folder or scratch.fresh_path(df.sparkSession, "outcomes"))
         touched = [c for c in dict.fromkeys([*(r.column_name for r in recs), *rules]) if c in df.columns]
         before = validate.scores(df, rules, {c: c for c in touched}, as_of=day)
         after = validate.scores(repair.effective(out.repaired.table, touched), rules, {c: c for c in touched}, as_of=day)

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import Rule
 from ..operators import anomaly, issues, profile, recommend, repair, reports
-from ..sources import files
+from ..sources import files, scratch
 from ..sources.catalog import provider_rules
 from ..sources.history import History
 
@@ -59,9 +59,18 @@ def apply_fixes(spark: SparkSession, path: str, output: str, accepted: Iterable[
     df = files.load_dataset(spark, path, focused_only=False)
     names = repair.Recommendation.__dataclass_fields__
     recs = [repair.Recommendation(**{k: v for k, v in r.items() if k in names}) for r in accepted]
-    done = repair.repair(df, recs, rules, maps=maps, as_of=day, only_actionable=False)
+    folder = scratch.fresh_path(spark, "outcomes")  # worked out once for all that follows
+    done = repair.repair(df, recs, rules, maps=maps, as_of=day, only_actionable=False, folder=folder)
     table = done.table.drop(files.ROW)
     files.save_dataset(table, output)
     audit = output.rsplit(".", 1)[0] + "_fix_recommendations.csv"
     files.save_dataset(done.sidecar, audit)
-    return {"output": output, "audit": audit, "results": values(done.results), "preview": [r.asDict() for r in files.preview(table).collect()]}
+    results, shown = values(done.results), [r.asDict() for r in files.preview(files.first_rows(done.table, 20).drop(files.ROW)).collect()]
+    told = {"results": results, "rows_fixed": sum(r["rows_fixed"] for r in results), "details": values(repair.details(done.sidecar)), "columns": table.columns, "row_count": table.count()}
+    scratch.release(folder)
+    return {"output": output, "audit": audit, "preview": shown, **told}
+
+
+def download(spark: SparkSession, path: str) -> Iterator[bytes]:
+    """The chunks of a repaired CSV file, for a response that is streamed.  FileNotFoundError if it isn't there."""
+    return files.chunks(spark, path)

@@ -955,6 +955,13 @@ def focused_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KIND = " ".join(f"WHEN '{h}' THEN '{RULES[h].rule_type}'" for h in HEADERS.values())
 
 
+@query(f"{V}{METRICS} SELECT CASE column_name {_KIND} END AS rule_type, CAST(count(*) AS INTEGER) AS n_columns, CAST(sum(total_count) AS BIGINT) AS values, true AS timed FROM metrics GROUP BY 1")
+def rule_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each type's rules are timed over."""
+    found = validate.throughput(providers(spark, sf_dir), RULES, as_of=AS_OF)
+    return found.select("rule_type", "n_columns", "values", ((F.col("seconds") > 0) & (F.col("values_per_second") > 0)).alias("timed"))
+
+
 @query(f"{V}{METRICS} SELECT CASE column_name {_KIND} END AS rule_type, count(*) AS n_columns, CAST(sum(non_null_count) AS BIGINT) AS checked, CAST(sum(conforming_count) AS BIGINT) AS conforming FROM metrics GROUP BY 1")
 def rule_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What rules of each type cover: columns, values and how many of these conform."""

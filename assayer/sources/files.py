@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import shutil
+from collections.abc import Iterator
 from datetime import datetime
 from pathlib import Path
 
@@ -171,6 +172,44 @@ def save_dataset(df: DataFrame, path: str, *, single_file: bool = False) -> str:
     return path
 
 
+def chunks(spark: SparkSession, path: str, size: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a saved CSV, a file or a folder of parts, in their order and with one header; ``size`` of them at once.
+
+    For a download: it goes through the driver, but never more of it than a chunk and a header.
+    """
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    fs, where = _fs(spark, path)
+    parts = [where] if fs.getFileStatus(where).isFile() else sorted((s.getPath() for s in fs.listStatus(where) if s.isFile() and not s.getPath().getName().startswith(("_", "."))), key=lambda p: (len(p.getName()), p.getName()))
+    read = spark.sparkContext._jvm.org.apache.commons.io.IOUtils
+    for i, part in enumerate(parts):
+        left, stream, header = fs.getFileStatus(part).getLen(), fs.open(part), i > 0
+        held = b""
+        try:
+            while left:
+                n = min(size, left)
+                held += bytes(read.toByteArray(stream, n))
+                left -= n
+                if header:  # ends with the first line end outside of quotes
+                    at = _header_end(held)
+                    if at is None and left:
+                        continue
+                    held, header = held[at or len(held) :], False
+                if held:
+                    yield held
+                held = b""
+        finally:
+            stream.close()
+
+
+def _header_end(data: bytes) -> int | None:
+    at = -1
+    while (at := data.find(b"\n", at + 1)) >= 0:
+        if data.count(b'"', 0, at) % 2 == 0:
+            return at + 1
+    return None
+
+
 def backup(path: str, at: datetime) -> str:
     """A copy ``<stem>_backup_<time><suffix>`` beside a local file or folder."""
     p = Path(path)

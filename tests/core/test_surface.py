@@ -55,3 +55,30 @@ def test_entry_without_the_other_part(tmp_path):
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 50 and set(o) <= set(q) and not any(n.startswith('op1') for n in q); print('fine')"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"})
     assert "fine" in out.stdout, out.stderr
+
+
+def test_downloads_have_one_header(spark, tmp_path):
+    from assayer.sources import files
+
+    path = str(tmp_path / "o.csv")
+    df = spark.range(0, 300, 1, 4).selectExpr("id", "CONCAT('line\n', id, '\"') AS `odd\nname`")
+    files.save_dataset(df, path)
+    for size in (7, 64, 1 << 20):
+        (tmp_path / "got.csv").write_bytes(b"".join(service.download(spark, path) if size == 1 << 20 else files.chunks(spark, path, size)))
+        got = spark.read.csv(str(tmp_path / "got.csv"), header=True, escape='"', multiLine=True)
+        assert got.columns == ["id", "odd\nname"] and sorted(int(r[0]) for r in got.collect()) == list(range(300))
+    one = files.save_dataset(df.limit(3), str(tmp_path / "one.csv"), single_file=True)
+    assert b"".join(service.download(spark, one)) == (tmp_path / "one.csv").read_bytes()
+    with pytest.raises(FileNotFoundError):
+        next(service.download(spark, str(tmp_path / "none.csv")))
+
+
+def test_throughput_by_rule_type(spark):
+    from assayer.functions.rules import Rule
+    from assayer.operators import validate
+
+    df = spark.createDataFrame([("1", "a", "b")] * 10, "x string, y string, z string")
+    rules = {"x": Rule("1", "x", "numeric"), "y": Rule("2", "y", "regex", {"pattern": "a"}), "z": Rule("3", "z", "regex", {"pattern": "a"})}
+    got = {r.rule_type: r for r in validate.throughput(df, rules).collect()}
+    assert (got["regex"].n_columns, got["regex"]["values"], got["numeric"]["values"]) == (2, 20, 10) and got["regex"].values_per_second > 0
+    assert validate.throughput(df, {}).isEmpty() and validate.throughput(df.limit(0), rules).count() == 2
