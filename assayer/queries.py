@@ -757,13 +757,14 @@ def first_rows_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.preview(rows).select(ROW, F.col("NPI").alias("npi"), nulls.quoted(HEADERS["org"]).alias("org"))
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> history.History:
-    """A store with a run that was expired and one that was stored twice."""
+def _stored(spark: SparkSession, sf_dir: str, *names: str) -> history.History:
+    """A store with, for each dataset's name, a run that was expired and one that was stored twice."""
     found, seen = _issues(spark, sf_dir)
     store, now = history.History(spark, scratch.fresh_path(spark, "history")), dt.datetime(2024, 6, 30)
-    store.store(found, seen, at=now - dt.timedelta(days=200), dataset_name="providers", run_id="old")
-    for _ in range(2):
-        store.store(found, seen, at=now, dataset_name="providers", run_id="new")
+    for name in names or ("providers",):
+        store.store(found, seen, at=now - dt.timedelta(days=200), dataset_name=name, run_id="old")
+        for _ in range(2):
+            store.store(found, seen, at=now, dataset_name=name, run_id="new")
     return store
 
 
@@ -792,6 +793,15 @@ def stored_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(*r, cleared, kept) for r in rows], "column_name string, stored long, high long, cleared long, kept long")
 
 
+@query(f"{V}{ISSUES} SELECT d AS dataset_name, t AS table_name, CASE t WHEN 'profiling_runs' THEN 1 WHEN 'column_metrics' THEN (SELECT count(*) FROM metrics) ELSE (SELECT count(*) FROM found) END * (d = 'x/y')::INT AS n FROM (VALUES ('a:b 50%'), ('x/y')) x(d), (VALUES ('profiling_runs'), ('column_metrics'), ('issues')) y(t)")
+def deleted_by_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two datasets with runs of the same id, under names that folders escape: one is deleted, files and all."""
+    store = _stored(spark, sf_dir, "a:b 50%", "x/y")
+    store.delete_run("new", dataset="a:b 50%")
+    left = [(d, t, store.table(t, d).count()) for d in ("a:b 50%", "x/y") for t in ("profiling_runs", "column_metrics", "issues")]
+    return spark.createDataFrame(left, "dataset_name string, table_name string, n long")
+
+
 @query(f"{V}{ISSUES} SELECT 'profiling_runs' AS table_name, CAST(1 AS BIGINT) AS n_before, CAST(0 AS BIGINT) AS n_after UNION ALL SELECT 'column_metrics', count(*), 0 FROM metrics UNION ALL SELECT 'issues', count(*), 0 FROM found UNION ALL SELECT 'anomalies', 0, 0")
 def deleted_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _stored(spark, sf_dir)
