@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._run import cut, fresh
+from ._run import cut, fresh, scratch
 
 RUN_WORDS, WINDOW_WORDS = 20, 10
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -92,31 +92,31 @@ def _around(words: int) -> list[Column]:
     return [before.alias("before"), F.slice("h", last + 1, F.greatest(F.lit(0), right - (F.col("len") - 1))).alias("after")]
 
 
+#: Occurrences of which the first ones are sent to all executors: 10 MB of them at most.
+FEW = 50_000
+
+
 def _agreements(met: DataFrame) -> DataFrame:
     """id, th and spans of lines (lo, hi) in which an occurrence equals an earlier one.
 
     ``met`` has an occurrence of a gram in each row, twice: with the lines to its left
     and to its right (``context``), and a ``key`` that is the same for one gram and side.
     """
-    found = []
+    spark, folder, number = met.sparkSession, scratch(met.sparkSession, "agreements"), 0
     while True:
-        first = met.groupBy("key").agg(F.count("*").alias("f"), F.min(F.struct("id", "th", "i", "context")).alias("first")).where("f > 1")
-        first = cut(first.select("key", "first"), "first")  # a table, so that the join can be split at a frequent key
-        if first.isEmpty():
-            break
+        first = met.groupBy("key").agg(F.count("*").alias("f"), F.min(F.struct("id", "th", "i", "context")).alias("first")).where("f > 1").select("key", "first")
+        # a table, so that the join can be split at a frequent key; of few occurrences no more than half as many can be first
+        first = F.broadcast(first) if met.count() <= FEW else cut(first, "first")
         later = met.join(first, "key").where(~F.struct("id", "th", "i").eqNullSafe(F.struct("first.id", "first.th", "first.i")))
         here = F.when(F.col("right"), F.struct(F.col("i").alias("lo"), (F.col("i") + F.col("len") + F.col("e")).alias("hi"))).otherwise(F.struct((F.col("i") - F.col("e")).alias("lo"), (F.col("i") + F.col("len")).alias("hi")))
         further = F.when(F.col("e") < F.size("context"), F.xxhash64("key", "e", F.get("context", F.col("e"))))
-        later = later.withColumn("e", _agree("context", "first.context"))
-        later = cut(later.select("id", "th", "i", "len", "right", "context", here.alias("span"), further.alias("key")), "later")
-        found.append(later.select("id", "th", "span"))
-        met = later.where("key IS NOT NULL").select("key", "id", "th", "i", "len", "right", "context")
-    if not found:
-        return met.select("id", "th", F.struct(F.col("i").alias("lo"), F.col("i").alias("hi")).alias("span")).limit(0)
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+        later = later.withColumn("e", _agree("context", "first.context")).select("id", "th", "i", "len", "right", "context", here.alias("span"), further.alias("key"))
+        later.write.parquet(f"{folder}/round={number}")
+        rows = spark.read.schema(later.schema).parquet(f"{folder}/round={number}")
+        if rows.isEmpty():
+            break
+        met, number = rows.where("key IS NOT NULL").select("key", "id", "th", "i", "len", "right", "context"), number + 1
+    return spark.read.schema(later.schema).parquet(folder).select("id", "th", "span")
 
 
 def repeated_lines(df: DataFrame, *, id_column: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
