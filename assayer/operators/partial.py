@@ -100,9 +100,9 @@ def metrics(merged: DataFrame) -> DataFrame:
     )
 
 
-def top_values(merged: DataFrame, n: int = 5) -> DataFrame:
-    """column_name, value, n and rank of the most frequent values, nulls left out, ties to the smaller text."""
-    listed = F.call_function("approx_top_k_estimate", F.col("frequent"), F.lit(ITEMS))
+def top_values(merged: DataFrame, n: int = 5, items: int = ITEMS) -> DataFrame:
+    """column_name, value, n and rank of the most frequent values, nulls left out, ties to the smaller text; ``items`` as the states were made with."""
+    listed = F.call_function("approx_top_k_estimate", F.col("frequent"), F.lit(items))
     each = merged.select("column_name", F.explode(listed).alias("x")).select("column_name", F.col("x.item").alias("value"), F.col("x.count").alias("n")).where(F.col("value").isNotNull())
     order = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)

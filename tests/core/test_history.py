@@ -122,6 +122,8 @@ def test_states_of_parts_merge_to_the_whole(spark, tmp_path):
     assert got["few"]["unique_count"] == 40 and got["none"]["unique_count"] == 0
     tops = lambda df: sorted((r.column_name, r.value, r.n, r["rank"]) for r in df.where("column_name IN ('few')").collect())
     assert tops(partial.top_values(merged)) == tops(whole.top_values)
+    few = partial.merge(partial.states(rows, {}, columns=["few"], items=60, lg=10), items=60)
+    assert tops(partial.top_values(few, items=60)) == tops(whole.top_values) and partial.metrics(few).first().unique_count == 40
     assert partial.profile_new(spark, h, str(tmp_path / "d é 50%"), {"NPI": NPI}, dataset_name="a/b", run_id="3").count() == 4  # nothing new to read
     assert partial.states(rows.limit(0), {}, source=F.col("few")).count() == 0 and partial.merge(partial.states(rows.limit(0), {})).count() in (0, 4)
 
