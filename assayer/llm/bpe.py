@@ -114,9 +114,11 @@ class _Known(dict):
         self.ids_of, self.before, self.long = ids_of, before, {}
 
     def __missing__(self, piece: str) -> bytes:
-        kept = self if len(piece) <= LONGEST else self.long
-        ids = kept.get(piece) or self.before.get(piece) or array("i", self.ids_of(piece)).tobytes()
-        kept[piece] = ids
+        if len(piece) > LONGEST:
+            ids = self.long.get(piece) or array("i", self.ids_of(piece)).tobytes()
+            self.long[piece] = ids
+        else:
+            self[piece] = ids = self.before.get(piece) or array("i", self.ids_of(piece)).tobytes()
         return ids
 
 
@@ -132,7 +134,8 @@ class Pieces:
         self.known = _Known(ids_of, {})
 
     def encode(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, pool: ThreadPoolExecutor | None = None) -> np.ndarray:
-        if len(text) <= chunk and self.fast and (text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text)):
+        """Ids of the whole text.  Chunks pay with threads alone: without a ``pool`` the faster engine, linear too, takes long texts whole."""
+        if (len(text) <= chunk or not pool) and self.fast and (text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text)):
             pieces = self.fast.findall(text)
         else:
             pieces = pretokenise(text, self.pattern, chunk, overlap, pool)

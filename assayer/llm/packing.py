@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -146,7 +147,7 @@ class Tokenizer:
         self.library = tokenizers.Tokenizer.from_file(path)
         self.special, self.special_id = special, self.library.token_to_id(special)
         letters, model = _byte_letters(tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)), self.library.model
-        self.pieces = bpe.Pieces(pattern, lambda p: [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))], kept)
+        self.pieces = bpe.Pieces(pattern, lambda p: [t.id for t in model.tokenize(charmap_decode(p.encode(), "strict", letters)[0])], kept)
 
     def encode(self, text: str) -> np.ndarray:
         if not _western(text) and _unassigned()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():

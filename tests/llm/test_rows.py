@@ -514,6 +514,18 @@ def test_ids_of_runs_of_two_million(encoder, run):
     assert encoder.encode(t).tolist() == encoder.library.encode(t, add_special_tokens=False).ids
 
 
+def test_long_texts_take_the_faster_engine(encoder, monkeypatch):
+    """Without threads no text is cut into chunks for the slower one, but those with characters that the faster one can't class."""
+    slower = []
+    monkeypatch.setattr(bpe, "pretokenise", lambda t, *rest: slower.append(t) or encoder.pieces.pattern.findall(t))
+    rng = random.Random(11)
+    long = ["".join(rng.choices("ab'st \n\t1é,.　 日本\r", k=3 * bpe.CHUNK)), "it's a word, 12 " * 9_000, " " * bpe.CHUNK + "x"]
+    for t in long:
+        assert encoder.encode(t).tolist() == encoder.library.encode(t, add_special_tokens=False).ids
+    assert not slower
+    assert encoder.encode(long[0] + "😀").tolist() == encoder.library.encode(long[0] + "😀", add_special_tokens=False).ids and len(slower) == 1
+
+
 def test_texts_are_split_as_by_the_library(encoder):
     """Over every assigned character, beside letters, digits and signs."""
     from tokenizers import pre_tokenizers
