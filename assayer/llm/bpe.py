@@ -23,7 +23,7 @@ import base64
 import hashlib
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 from itertools import accumulate
@@ -40,8 +40,8 @@ from ._run import refuse_clash, ship
 CHUNK, OVERLAP, THREADS = 1 << 15, 512, 2
 #: Characters that the pattern looks at behind the end of a match that could be another one: of "'re" the last two.
 LOOK_AHEAD = 2
-#: Characters of the longest piece that is remembered.
-LONGEST = 64
+#: Characters of the longest piece that is remembered, and of texts that are looked up before what is new in them is encoded.
+LONGEST, TOGETHER = 64, 1 << 19
 
 
 def ends(text: str, pattern: regex.Pattern, start: int, stop: int) -> list[int]:
@@ -108,43 +108,65 @@ def plain(pattern: str) -> re.Pattern | None:
 
 
 class _Known(dict):
-    """Pieces and the bytes of their ids; one that isn't there is taken from the generation before, or encoded."""
+    """Pieces and the bytes of their ids; one that isn't there is taken from the generation before, or gets an empty place for its ids."""
 
-    def __init__(self, ids_of: Callable[[str], list[int]], before: dict[str, bytes]):
-        self.ids_of, self.before, self.long = ids_of, before, {}
+    def __init__(self, before: dict[str, bytes]):
+        self.before, self.new, self.long = before, {}, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(piece) > LONGEST:
-            ids = self.long.get(piece) or array("i", self.ids_of(piece)).tobytes()
-            self.long[piece] = ids
-        else:
-            self[piece] = ids = self.before.get(piece) or array("i", self.ids_of(piece)).tobytes()
+    def __missing__(self, piece: str) -> bytes | bytearray:
+        ids = self.before.get(piece)
+        if ids is None:
+            return (self.new if len(piece) <= LONGEST else self.long).setdefault(piece, bytearray())
+        self[piece] = ids
         return ids
 
 
 class Pieces:
     """Pre-tokenised pieces met lately with their ids, in two generations of ``kept`` each, so frequent ones stay.
 
-    A piece of more than ``LONGEST`` characters is forgotten when its text is done, so what is
+    Texts are looked up some at a time, and then the pieces that nobody knew are encoded in a row.
+    A piece of more than ``LONGEST`` characters is forgotten when its texts are done, so what is
     remembered is bounded in bytes too, whatever the texts.
     """
 
     def __init__(self, pattern: str, ids_of: Callable[[str], list[int]], kept: int = 200_000):
-        self.pattern, self.fast, self.kept = regex.compile(pattern), plain(pattern), kept
-        self.known = _Known(ids_of, {})
+        self.pattern, self.fast, self.ids_of, self.kept = regex.compile(pattern), plain(pattern), ids_of, kept
+        self.known = _Known({})
 
     def encode(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, pool: ThreadPoolExecutor | None = None) -> np.ndarray:
         """Ids of the whole text.  Chunks pay with threads alone: without a ``pool`` the faster engine, linear too, takes long texts whole."""
+        return self._together([text], chunk, overlap, pool)[0]
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids of each text, ``TOGETHER`` characters and a text at a time."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._together(some)
+                some, size = [], 0
+        yield from self._together(some)
+
+    def _split(self, text: str, chunk: int, overlap: int, pool: ThreadPoolExecutor | None) -> list[str]:
         if (len(text) <= chunk or not pool) and self.fast and (text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text)):
-            pieces = self.fast.findall(text)
-        else:
-            pieces = pretokenise(text, self.pattern, chunk, overlap, pool)
+            return self.fast.findall(text)
+        return pretokenise(text, self.pattern, chunk, overlap, pool)
+
+    def _together(self, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP, pool: ThreadPoolExecutor | None = None) -> list[np.ndarray]:
         if len(self.known) > self.kept:
             self.known.before = {}
-            self.known = _Known(self.known.ids_of, self.known)
-        ids = np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.int32)
-        self.known.long.clear()
-        return ids
+            self.known = _Known(self.known)
+        known = self.known
+        known.new, known.long = {}, {}  # places that an error left empty are none
+        found = [list(map(known.__getitem__, self._split(t, chunk, overlap, pool))) for t in texts]
+        for piece, place in known.new.items():
+            known[piece] = ids = array("i", self.ids_of(piece)).tobytes()
+            place += ids
+        for piece, place in known.long.items():
+            place += array("i", self.ids_of(piece)).tobytes()
+        known.new, known.long = {}, {}
+        return [np.frombuffer(b"".join(x), np.int32) for x in found]
 
 
 class Vocabulary(Pieces):

@@ -150,13 +150,27 @@ class Tokenizer:
         self.pieces = bpe.Pieces(pattern, lambda p: [t.id for t in model.tokenize(charmap_decode(p.encode(), "strict", letters)[0])], kept)
 
     def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; pieces that are new to several of them are encoded in a row."""
+        split = [self._parts(t) for t in texts]
+        found, out = self.pieces.encode_all(p for parts in split for p in parts), []
+        for text, parts in zip(texts, split):
+            if not parts:
+                out.append(np.asarray(self.library.encode(text, add_special_tokens=False).ids, np.uint32))
+                continue
+            ids = [next(found)]
+            for _ in parts[1:]:
+                ids += [np.array([self.special_id], np.int32), next(found)]
+            out.append(np.concatenate(ids).astype(np.uint32))
+        return out
+
+    def _parts(self, text: str) -> list[str]:
+        """What lies between special tokens; nothing for a text that goes through the library."""
         if not _western(text) and _unassigned()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
-            return np.asarray(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        parts = text.split(self.special) if self.special_id is not None else [text]
-        out = [self.pieces.encode(parts[0])]
-        for part in parts[1:]:
-            out += [np.array([self.special_id], np.int32), self.pieces.encode(part)]
-        return np.concatenate(out).astype(np.uint32)
+            return []
+        return text.split(self.special) if self.special_id is not None else [text]
 
 
 def _western(text: str) -> bool:

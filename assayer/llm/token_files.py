@@ -71,7 +71,7 @@ def encode(rows: DataFrame, *, end_id: int = END_ID, json_path: str | None = Non
         for batch in batches:
             for a in range(0, batch.num_rows, 256):  # lists of a few rows at once
                 some = batch.slice(a, 256)
-                ids = [np.concatenate((encoder.encode(t.as_py()).view(np.int32), end)) for t in some.column(1)]
+                ids = [np.concatenate((x.view(np.int32), end)) for x in encoder.encode_all(some.column(1).to_pylist())]
                 lengths = np.array([len(x) for x in ids], np.int64)
                 cuts = np.concatenate(([0], np.cumsum(lengths)))
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))

@@ -526,6 +526,29 @@ def test_long_texts_take_the_faster_engine(encoder, monkeypatch):
     assert encoder.encode(long[0] + "😀").tolist() == encoder.library.encode(long[0] + "😀", add_special_tokens=False).ids and len(slower) == 1
 
 
+def test_new_pieces_of_many_texts_are_encoded_together(monkeypatch):
+    import public_tokenizers
+
+    encoder = packing.Tokenizer(public_tokenizers.path("byte_bpe_50k.json"), bpe.default_pattern(), kept=50)
+    told = lambda t: encoder.library.encode(t, add_special_tokens=False).ids
+    texts = [*odd_texts(), "x\u0378y", "a <|endoftext|> b<|endoftext|>", "ab" * 200, "", "ab" * 200 + " c"]
+    ids_of = encoder.pieces.ids_of
+
+    def failing(piece):
+        raise MemoryError
+
+    monkeypatch.setattr(encoder.pieces, "ids_of", failing)
+    with pytest.raises(MemoryError):
+        encoder.encode_all(["never a place without ids"])
+    monkeypatch.setattr(encoder.pieces, "ids_of", ids_of)
+    assert encoder.encode("never a place without ids").tolist() == told("never a place without ids")
+    for together in (1, 100, 1 << 19):
+        monkeypatch.setattr(bpe, "TOGETHER", together)
+        assert [x.tolist() for x in encoder.encode_all(texts)] == [told(t) for t in texts]
+        assert not encoder.pieces.known.long and all(type(x) is bytes and x for x in encoder.pieces.known.values())
+    assert encoder.encode_all([]) == []
+
+
 def test_texts_are_split_as_by_the_library(encoder):
     """Over every assigned character, beside letters, digits and signs."""
     from tokenizers import pre_tokenizers
